@@ -78,7 +78,7 @@ def shared_table(df: DataFrame, name: str, by: list[str] | None = None) -> DataF
     """Writes df to the shared folder and reads it back: later plans start from the files."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
