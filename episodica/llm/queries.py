@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,4 +73,5 @@ QUERIES = {
     "op9_rules": op9_rules,
     "op10_audio": op10_audio,
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE = {"op4_licences": licences.oracle(), "op9_rules": rules.oracle()}

@@ -164,7 +164,7 @@ def _remove(with_text: bool):
                         left = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
                         gone, words = total - len(left), [words[i] for i in left.tolist()]
                 kept = b" ".join(words)
-                rows.append((total, gone, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text and gone else None))
+                rows.append((total, gone, hashlib.sha256(kept).hexdigest(), (kept if gone else raw.as_py()).decode("utf-8", "replace") if with_text else None))
             c = list(zip(*rows, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string()), pa.array(c[3], pa.string())], ["k1", "k2", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
@@ -172,7 +172,7 @@ def _remove(with_text: bool):
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", with_text: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row for each input row: the columns of `keep`, n_words, n_removed, kept_sha256; and kept_text (null: nothing was removed) if with_text.
+    """One row for each input row: the columns of `keep`, n_words, n_removed, kept_sha256; and kept_text (the text as it was if nothing was removed) if with_text.
 
     Each distinct text is looked at once, however many copies it has. A null text has no words. Texts under 35 words have no window and
     stay whole. All occurrences of a repeated window go, the first included, judged on the input. Null ids and repeated rows are like
@@ -195,5 +195,6 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", with_text: bool = Fa
     marks = cold.unionByName(hot.join(often, ["v", "h"]).select("k1", "k2", "first", F.lit(1).cast("long").alias("n")))
     marks = marks.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "n")).alias("marks"))
     done = texts.join(marks, ["k1", "k2"], "left").select("k1", "k2", "raw", "copies", "marks").mapInArrow(_remove(with_text), _RESULT)
-    rows = keyed.select(*keep, F.col("_k1").alias("k1"), F.col("_k2").alias("k2"))
-    return rows.join(done, ["k1", "k2"]).select(*keep, "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else []))
+    rows = keyed.select(*keep, F.col("_k1").alias("_r1"), F.col("_k2").alias("_r2"), F.col(text_col).isNotNull().alias("_said"))
+    joined = rows.join(done, (F.col("_r1") == F.col("k1")) & (F.col("_r2") == F.col("k2")))
+    return joined.select(*keep, "n_words", "n_removed", "kept_sha256", *([F.when(F.col("_said"), F.col("kept_text")).alias("kept_text")] if with_text else []))
