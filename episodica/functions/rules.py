@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType
 
 
 def _number(text: str | None) -> Decimal | None:
@@ -22,7 +23,7 @@ def _number(text: str | None) -> Decimal | None:
     return value.normalize() if value.is_finite() else None
 
 
-@pandas_udf("boolean")
+@pandas_udf(BooleanType())
 def _equal(a: pd.Series, b: pd.Series, tolerance: pd.Series) -> pd.Series:
     out = []
     for x, y, t in zip(a, b, tolerance, strict=True):
@@ -39,7 +40,7 @@ def exact_match(predicted: Column, label: Column, tolerance: float = 0.0) -> Col
 
 # Spellings that mean the same.
 _WORDS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
-_DROP = ["\\left", "\\right", "\\!", "\\,", "\;", "\\ ", "$", "\\%", "%", "^\\circ", "^{\\circ}", "\\displaystyle"]
+_DROP = ["\\left", "\\right", "\\!", "\\,", "\\;", "\\ ", "$", "\\%", "%", "^\\circ", "^{\\circ}", "\\displaystyle"]
 
 
 def plain_math(text: str) -> str:
@@ -92,7 +93,7 @@ def math_same(a: str | None, b: str | None) -> bool:
     return False
 
 
-@pandas_udf("boolean")
+@pandas_udf(BooleanType())
 def _math(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([math_same(x, y) for x, y in zip(a, b, strict=True)])
 

@@ -9,18 +9,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FIELDS = ["uid", "protocol", "review_seq", "review_number", "action", "before_seq", "before_key", "after_seq", "after_key", "actor_turn_observed", "updates", "status", "exclusion_reason"]
-_W = Window.partitionBy("uid").orderBy("seq")
-_BEFORE, _TO = _W.rowsBetween(Window.unboundedPreceding, -1), _W.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _w() -> Window:
+    return Window.partitionBy("uid").orderBy("seq")
+
+
+def _to(last: int) -> Window:
+    """All rows up to this one (0) or to the one before it (-1)."""
+    return _w().rowsBetween(Window.unboundedPreceding, last)
 
 
 def per_transitions(events: DataFrame) -> DataFrame:
     """PER: before is the latest executor turn since the last submission; after is the next event of (submission, review, executor turn)
     if that is an executor turn. An event that is both review and submission counts as a submission."""
     kind = F.when(F.col("is_submission"), "submission").when(F.col("is_review"), "review").when(F.col("is_actor"), "actor")
-    e = events.where("protocol = 'per'").withColumn("kind", kind).where("kind IS NOT NULL").withColumn("seg", F.count_if(F.col("kind") == "submission").over(_TO))
+    e = events.where("protocol = 'per'").withColumn("kind", kind).where("kind IS NOT NULL").withColumn("seg", F.count_if(F.col("kind") == "submission").over(_to(0)))
     turn = F.struct("seq", "answer_key")
     back = Window.partitionBy("uid", "seg").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    e = e.withColumns({"before": F.last(F.when(F.col("kind") == "actor", turn), ignorenulls=True).over(back), "next_kind": F.lead("kind").over(_W), "next": F.lead(turn).over(_W)})
+    e = e.withColumns({"before": F.last(F.when(F.col("kind") == "actor", turn), ignorenulls=True).over(back), "next_kind": F.lead("kind").over(_w()), "next": F.lead(turn).over(_w())})
     acted = F.col("next_kind") == "actor"
     none, parsed = F.col("before").isNull(), F.col("next")["answer_key"].isNotNull()
     status = (
@@ -32,7 +39,7 @@ def per_transitions(events: DataFrame) -> DataFrame:
         .when(F.col("next_kind") == "submission", "submission_precedes_next_executor_candidate").when(F.col("next_kind") == "review", "additional_review_precedes_executor_response").otherwise("no_next_executor_candidate")
     )
     return e.where("kind = 'review'").select(
-        "uid", "protocol", F.col("seq").alias("review_seq"), F.row_number().over(_W).cast("long").alias("review_number"), "action",
+        "uid", "protocol", F.col("seq").alias("review_seq"), F.row_number().over(_w()).cast("long").alias("review_number"), "action",
         F.col("before")["seq"].alias("before_seq"), F.col("before")["answer_key"].alias("before_key"),
         F.when(acted, F.col("next")["seq"]).alias("after_seq"), F.when(acted, F.col("next")["answer_key"]).alias("after_key"),
         F.coalesce(acted, F.lit(False)).alias("actor_turn_observed"), F.lit(0).cast("long").alias("updates"), status.alias("status"), why.alias("exclusion_reason"),
@@ -43,7 +50,7 @@ def broadcast_transitions(events: DataFrame) -> DataFrame:
     """Broadcast: an anchor opens an interval that the next anchor or submission closes. An interval with reviews is one opportunity; its
     actors link to anchors by equal source and answer key."""
     e = events.where("protocol = 'broadcast'").withColumn("bound", F.col("is_anchor") | F.col("is_submission"))
-    e = e.withColumn("iv", F.count_if("bound").over(_TO))
+    e = e.withColumn("iv", F.count_if("bound").over(_to(0)))
     reviewed = F.max(F.when(F.col("is_review"), F.col("seq"))).over(Window.partitionBy("uid", "iv"))
     e = e.withColumn("last_review", reviewed)
     first = lambda c: F.min_by(c, "seq")
@@ -119,7 +126,7 @@ def frozen_labels(events: DataFrame) -> DataFrame:
 
     A verdict takes the latest submission with an answer since the verdict before it; unequal verdicts on one key leave value null.
     """
-    e = events.where("is_submission OR verdict IS NOT NULL").withColumn("at", F.count_if(F.col("verdict").isNotNull()).over(_BEFORE))
+    e = events.where("is_submission OR verdict IS NOT NULL").withColumn("at", F.count_if(F.col("verdict").isNotNull()).over(_to(-1)))
     inside = Window.partitionBy("uid", "at").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     pending = F.last(F.when(F.col("is_submission") & F.col("answer_key").isNotNull(), F.struct("seq", "answer_key")), ignorenulls=True).over(inside)
     v = e.withColumn("pending", pending).where("verdict IS NOT NULL AND pending IS NOT NULL")
