@@ -40,7 +40,7 @@ PAIR = "uid bigint, review_seq bigint, before_key string, after_key string, clos
 _STATE = "before string, review bigint, last bigint"
 
 
-def _pairs(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _pairs(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, wait_ms: int | None) -> Iterator[pd.DataFrame]:
     """Keeps three values a trajectory: the latest answer, the open review and the last sequence number; earlier rows are late and dropped."""
     before, review, last = state.get if state.exists else (None, None, -1)
     out = []
@@ -64,14 +64,17 @@ def _pairs(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
             else:
                 before = answer if answer is not None else before
         state.update((before, review, last))
-        state.setTimeoutDuration(3_600_000)
+        if wait_ms:
+            state.setTimeoutDuration(wait_ms)
     yield pd.DataFrame(out, columns=["uid", "review_seq", "before_key", "after_key", "closed_by"]).astype({"uid": "int64", "review_seq": "int64"})
 
 
-def review_pairs(events: DataFrame) -> DataFrame:
-    """Each PER review with the answer before it and whatever follows it, given out when its boundary arrives or an hour has passed.
-    events: uid, seq, kind (actor, review or submission), answer_key; a trajectory's rows arrive in order of seq."""
-    return events.groupBy("uid").applyInPandasWithState(_pairs, PAIR, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def review_pairs(events: DataFrame, wait_ms: int | None = 3_600_000) -> DataFrame:
+    """Each PER review with the answer before it and whatever follows it, given out when its boundary arrives or the wait is over.
+    events: uid, seq, kind (actor, review or submission), answer_key; a trajectory's rows arrive in order of seq.
+    With a wait the query runs until it is stopped; for a run over what is there now (availableNow) give None."""
+    step = lambda key, batches, state: _pairs(key, batches, state, wait_ms)
+    return events.groupBy("uid").applyInPandasWithState(step, PAIR, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if wait_ms else GroupStateTimeout.NoTimeout)
 
 
 def first_wins_sink(path: str, key: list[str]):
