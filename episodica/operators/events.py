@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+#: What operators over transitions and labels read of the classified log; no texts.
+PARSED = ["uid", "seq", "protocol", "stage", "sender", "is_actor", "is_review", "is_anchor", "is_update", "is_submission", "answer_key", "source_key", "reviewed_key", "action", "positions", "verdict"]
 SPECIAL = ["system", "evaluator", "reviewer", "planner"]
 
 

@@ -44,6 +44,11 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
     return events.classify(adapter.messages(spark, d))
 
 
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    """The log without its texts, parsed once, for plans that read it in several branches."""
+    return files.stored(_log(spark, d).select(events.PARSED), "parsed-log")
+
+
 def _keys(df: DataFrame) -> DataFrame:
     """The cell of a trajectory follows from its id in this log."""
     u = F.col("uid")
@@ -56,7 +61,7 @@ def _labels(log: DataFrame) -> DataFrame:
 
 
 def _labeled(spark: SparkSession, d: str) -> DataFrame:
-    log = _log(spark, d)
+    log = _parsed(spark, d)
     return _keys(transitions.label(transitions.transitions(log), _labels(log)))
 
 
@@ -78,7 +83,7 @@ def per_transitions(spark, d):
 
 @query(sql.over(f"SELECT {FIELDS} FROM bro", sql.BROADCAST))
 def broadcast_transitions(spark, d):
-    return transitions.broadcast_transitions(_log(spark, d)).select(*transitions.FIELDS)
+    return transitions.broadcast_transitions(_parsed(spark, d)).select(*transitions.FIELDS)
 
 
 @query(sql.over("SELECT uid, answer_key, value, conflict, sources FROM lab", sql.LABELS))
@@ -162,7 +167,7 @@ def status_counts(spark, d):
 @query(sql.labeled("SELECT uid, review_seq, dataset, actor, tier, problem FROM t JOIN (SELECT DISTINCT uid, dataset, actor, tier, problem FROM s WHERE tier IN (1, 2, 3)) USING (uid)"))
 def events_with_metadata(spark, d):
     meta = adapter.steps(spark, d).select("uid", "dataset", "actor", "tier", "problem").distinct().where(F.col("tier").isin(1, 2, 3))
-    return transitions.transitions(_log(spark, d)).select("uid", "review_seq").join(meta, "uid")
+    return transitions.transitions(_parsed(spark, d)).select("uid", "review_seq").join(meta, "uid")
 
 
 # Attempts

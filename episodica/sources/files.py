@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,24 @@ def parquet(spark: SparkSession, path: str, schema: str | StructType | None = No
     return df.select(*columns) if columns else df
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet to the folder that all executors share (spark.checkpoint.dir) and reads it back.
+
+    For results that several branches of one plan read and that cost more than their size: branches then prune and filter the files.
+    Only a local session may do without the setting.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="episodica-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def messages(spark: SparkSession, path: str, schema: str = MESSAGES) -> DataFrame:
     """The message log as uid, seq and so on. A row without an index is placed where it arrived: by file and row in it."""
     df = spark.read.schema(schema).parquet(path).withColumns({"_f": F.col(_FILE), "_r": F.col("_metadata.row_index")})
