@@ -20,6 +20,15 @@ def _to(last: int) -> Window:
     return _w().rowsBetween(Window.unboundedPreceding, last)
 
 
+def alignment(before_seq: Column, before: Column, reviewed: Column, adjacent: Column) -> Column:
+    """How the candidate that a review names stands to the actor's answer before it. `adjacent`: before is the turn that the review follows."""
+    some = lambda c: F.coalesce(c, F.lit("")) != ""
+    return (
+        F.when(before_seq.isNull(), "missing_actor_before").when(some(before) & some(reviewed), F.when(before == reviewed, "match").otherwise("mismatch"))
+        .when(adjacent, "structural_match").otherwise("unverifiable")
+    )
+
+
 def per_transitions(events: DataFrame) -> DataFrame:
     """PER: before is the latest executor turn since the last submission; after is the next event of (submission, review, executor turn)
     if that is an executor turn. An event that is both review and submission counts as a submission."""
@@ -43,6 +52,7 @@ def per_transitions(events: DataFrame) -> DataFrame:
         F.col("before")["seq"].alias("before_seq"), F.col("before")["answer_key"].alias("before_key"),
         F.when(acted, F.col("next")["seq"]).alias("after_seq"), F.when(acted, F.col("next")["answer_key"]).alias("after_key"),
         F.coalesce(acted, F.lit(False)).alias("actor_turn_observed"), F.lit(0).cast("long").alias("updates"), status.alias("status"), why.alias("exclusion_reason"),
+        alignment(F.col("before")["seq"], F.col("before")["answer_key"], F.col("reviewed_key"), F.lit(True)).alias("candidate_alignment"),
     )
 
 
@@ -88,6 +98,7 @@ def broadcast_transitions(events: DataFrame) -> DataFrame:
         broadcast_action(F.col("positions")).alias("action"), "before_seq", F.when(F.col("before_seq").isNotNull(), F.col("reviewed")).alias("before_key"),
         "after_seq", F.when(linked, F.col("next_reviewed")).alias("after_key"), F.col("acted").alias("actor_turn_observed"), F.col("updates").cast("long").alias("updates"),
         pick(1, "no_actor_response_observed").alias("status"), pick(2, "no_linked_later_actor_candidate").alias("exclusion_reason"),
+        alignment(F.col("before_seq"), F.col("reviewed"), F.col("reviewed"), F.lit(False)).alias("candidate_alignment"),
     )
 
 
@@ -137,12 +148,17 @@ def frozen_labels(events: DataFrame) -> DataFrame:
     )
 
 
-def label(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds before_correct, after_correct (tri-state), conflicts, transition_outcome, answer_pair_parsed, strict, bucket."""
+def label(pairs: DataFrame, labels: DataFrame, aligned: bool = True) -> DataFrame:
+    """Adds before_correct, after_correct (tri-state), conflicts, transition_outcome, answer_pair_parsed, strict, bucket.
+
+    A strict pair's review speaks of the answer before it; aligned=False leaves this condition out.
+    """
     side = lambda s: labels.select("uid", F.col("answer_key").alias(f"{s}_key"), F.col("value").alias(f"{s}_correct"), F.col("conflict").alias(f"{s}_conflict"))
     x = pairs.join(side("before"), ["uid", "before_key"], "left").join(side("after"), ["uid", "after_key"], "left")
     both = F.col("before_key").isNotNull() & F.col("after_key").isNotNull()
     strict = F.col("before_seq").isNotNull() & F.col("after_seq").isNotNull() & both & (F.col("updates") == 0) & (F.col("exclusion_reason") == "")
+    if aligned:
+        strict = strict & F.col("candidate_alignment").isin("match", "structural_match")
     bucket = (
         F.when(F.col("status").startswith("missing_actor") | F.col("status").contains("unlinked"), "source_link_failure").when(~F.col("actor_turn_observed"), "no_after")
         .when(~both, "parser_incomplete").when(F.col("updates") > 0, "gate_confounded").when(strict, "strict_pre_gate").otherwise("other_non_strict")

@@ -60,9 +60,25 @@ def _labels(log: DataFrame) -> DataFrame:
     return transitions.frozen_labels(log).withColumn("uid", F.explode(F.array("uid", F.col("uid") + 1)))
 
 
-def _labeled(spark: SparkSession, d: str) -> DataFrame:
+def _labeled(spark: SparkSession, d: str, aligned: bool = False) -> DataFrame:
+    """Without the alignment condition of the strict gate, as the SQL of the queries over it says; see _aligned."""
     log = _parsed(spark, d)
-    return _keys(transitions.label(transitions.transitions(log), _labels(log)))
+    return _keys(transitions.label(transitions.transitions(log), _labels(log), aligned))
+
+
+def _aligned(spark: SparkSession, d: str) -> DataFrame:
+    return _labeled(spark, d, True)
+
+
+def also_aligned(f: Callable[..., DataFrame]):
+    """Registers the query once more, as NAME_aligned, over rows under the whole strict gate."""
+
+    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(spark, sf_dir, _aligned)
+
+    whole.__name__, whole.__doc__ = f"{f.__name__}_aligned", f.__doc__
+    query(ORACLE[f.__name__].replace(sql.LABELED, sql.ALIGNED))(whole)
+    return f
 
 
 def _attempts(spark: SparkSession, d: str) -> DataFrame:
@@ -96,19 +112,22 @@ def label_conflicts(spark, d):
     return transitions.frozen_labels(_log(spark, d)).groupBy("uid").agg(F.count("*").alias("keys"), count_if(F.col("conflict")).alias("conflicts"))
 
 
+@also_aligned
 @query(sql.labeled("SELECT uid, protocol, review_seq, status, before_key, after_key, before_correct, after_correct, strict, bucket, transition_outcome, answer_changed FROM l"))
-def labeled_transitions(spark, d):
-    return _labeled(spark, d).select("uid", "protocol", "review_seq", "status", "before_key", "after_key", "before_correct", "after_correct", "strict", "bucket", "transition_outcome", "answer_changed")
+def labeled_transitions(spark, d, labeled=_labeled):
+    return labeled(spark, d).select("uid", "protocol", "review_seq", "status", "before_key", "after_key", "before_correct", "after_correct", "strict", "bucket", "transition_outcome", "answer_changed")
 
 
+@also_aligned
 @query(sql.labeled(sql.summary("dataset, actor, protocol")))
-def per_cell_summary(spark, d):
-    return cells.cell_summary(_labeled(spark, d))
+def per_cell_summary(spark, d, labeled=_labeled):
+    return cells.cell_summary(labeled(spark, d))
 
 
+@also_aligned
 @query(sql.labeled(sql.revise("dataset, protocol")))
-def revise_conditioned(spark, d):
-    return cells.revise_counts(_labeled(spark, d), ["dataset", "protocol"])
+def revise_conditioned(spark, d, labeled=_labeled):
+    return cells.revise_counts(labeled(spark, d), ["dataset", "protocol"])
 
 
 @query(sql.labeled(f"""SELECT dataset, {sql.count("action = 'revise'")} AS explicit, {sql.count("action IN ('revise', 'unknown')")} AS wide, {sql.count("action = 'revise' AND answer_changed")} AS explicit_changed,
@@ -117,9 +136,10 @@ def route_sensitivity(spark, d):
     return cells.route_counts(_labeled(spark, d), ["dataset"])
 
 
+@also_aligned
 @query(sql.labeled(f"""SELECT protocol, sum(strict_pairs)::BIGINT AS den, sum(strict_changed)::BIGINT AS num, {sql.rate("sum(strict_changed)", "sum(strict_pairs)")} AS rate, {sql.count("strict_pairs > 0")} AS cells FROM ({sql.revise("dataset, protocol")}) GROUP BY protocol"""))
-def pooled_uptake(spark, d):
-    return cells.pooled(cells.revise_counts(_labeled(spark, d), ["dataset", "protocol"]), ["protocol"], "strict_changed", "strict_pairs")
+def pooled_uptake(spark, d, labeled=_labeled):
+    return cells.pooled(cells.revise_counts(labeled(spark, d), ["dataset", "protocol"]), ["protocol"], "strict_changed", "strict_pairs")
 
 
 def _grid(spark: SparkSession) -> DataFrame:
@@ -127,25 +147,28 @@ def _grid(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f"d{i}", f"m{j}", p) for i in range(6) for j in range(2) for p in ("per", "broadcast")], "dataset string, actor string, protocol string")
 
 
-def _matrix(spark: SparkSession, d: str) -> DataFrame:
-    return cells.matrix(_labeled(spark, d), _grid(spark))
+def _matrix(spark: SparkSession, d: str, labeled) -> DataFrame:
+    return cells.matrix(labeled(spark, d), _grid(spark))
 
 
+@also_aligned
 @query(sql.matrix())
-def matrix_2x5(spark, d):
-    return _matrix(spark, d)
+def matrix_2x5(spark, d, labeled=_labeled):
+    return _matrix(spark, d, labeled)
 
 
+@also_aligned
 @query(sql.directions())
-def matrix_direction_counters(spark, d):
-    return cells.directions(_matrix(spark, d), ["dataset", "actor"])
+def matrix_direction_counters(spark, d, labeled=_labeled):
+    return cells.directions(_matrix(spark, d, labeled), ["dataset", "actor"])
 
 
+@also_aligned
 @query(sql.labeled("""SELECT dataset, actor, per_strict, broadcast_strict, CASE WHEN per_strict IS NULL OR broadcast_strict IS NULL THEN 'missing_protocol' WHEN per_strict = 0 OR broadcast_strict = 0 THEN 'refused_zero_strict'
   ELSE 'descriptive' END AS status FROM (SELECT dataset, actor, CASE WHEN bool_or(protocol = 'per') THEN count_if(protocol = 'per' AND bucket = 'strict_pre_gate')::BIGINT END AS per_strict,
   CASE WHEN bool_or(protocol = 'broadcast') THEN count_if(protocol = 'broadcast' AND bucket = 'strict_pre_gate')::BIGINT END AS broadcast_strict FROM l GROUP BY dataset, actor)"""))
-def comparison_gate(spark, d):
-    return cells.comparison_status(cells.cell_summary(_labeled(spark, d)), ["dataset", "actor"])
+def comparison_gate(spark, d, labeled=_labeled):
+    return cells.comparison_status(cells.cell_summary(labeled(spark, d)), ["dataset", "actor"])
 
 
 @query("SELECT unnest([" + ", ".join(f"'{v}'" for v in sql.VIOLATIONS) + "]) AS name, 0::BIGINT AS violations")
@@ -154,9 +177,10 @@ def partition_invariants(spark, d):
     return cells.violations(cells.cell_summary(x), x)
 
 
+@also_aligned
 @query(sql.labeled("SELECT protocol, to_json(list_sort(list(DISTINCT status)))::VARCHAR AS status_json, to_json(list_sort(list(DISTINCT bucket)))::VARCHAR AS bucket_json FROM l GROUP BY protocol"))
-def status_sets(spark, d):
-    return cells.status_sets(_labeled(spark, d), ["protocol"], "status", "bucket")
+def status_sets(spark, d, labeled=_labeled):
+    return cells.status_sets(labeled(spark, d), ["protocol"], "status", "bucket")
 
 
 @query(sql.labeled("SELECT protocol, status, count(*) AS n FROM l GROUP BY protocol, status"))
@@ -255,12 +279,13 @@ def feedback_incorporation(spark, d):
     return A.incorporation(_labeled(spark, d), ["protocol"])
 
 
+@also_aligned
 @query(sql.labeled(f"""SELECT protocol, grouping(protocol) = 1 AS total, {sql.count("action = 'revise' AND NOT before_correct")} AS useful_revisions, {sql.count("action = 'revise' AND NOT before_correct AND strict")} AS eligible,
   {sql.count("action = 'revise' AND NOT before_correct AND strict AND answer_changed")} AS coupled, {sql.rate("count_if(action = 'revise' AND NOT before_correct AND strict AND answer_changed)", "count_if(action = 'revise' AND NOT before_correct AND strict)")} AS coupling FROM l GROUP BY GROUPING SETS ((), (protocol))"""))
-def strict_coupling_by_protocol(spark, d):
+def strict_coupling_by_protocol(spark, d, labeled=_labeled):
     useful = (F.col("action") == "revise") & F.coalesce(~F.col("before_correct"), F.lit(False))
     a, b = count_if(useful & F.col("strict")), count_if(useful & F.col("strict") & F.col("answer_changed"))
-    x = _labeled(spark, d).rollup("protocol").agg((F.grouping("protocol") == 1).alias("total"), count_if(useful).alias("useful_revisions"), a.alias("eligible"), b.alias("coupled"))
+    x = labeled(spark, d).rollup("protocol").agg((F.grouping("protocol") == 1).alias("total"), count_if(useful).alias("useful_revisions"), a.alias("eligible"), b.alias("coupled"))
     return x.withColumn("coupling", rate(F.col("coupled"), F.col("eligible")))
 
 

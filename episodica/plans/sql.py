@@ -65,6 +65,12 @@ LABELED = f"""
       WHEN NOT before_correct AND NOT after_correct THEN 'changed_still_wrong' WHEN before_correct AND NOT after_correct THEN 'harmed' WHEN before_correct AND after_correct THEN 'changed_still_correct'
       ELSE 'changed_correctness_unlabeled' END AS transition_outcome, CASE WHEN answer_pair_parsed THEN before_key <> after_key END AS answer_changed, {KEYS} FROM t1)"""
 
+#: The same rows under the whole strict gate: a review that names another candidate than the answer before it isn't strict.
+ALIGNED = LABELED.replace("\n  l AS (", "\n  l0 AS (") + """,
+  named AS (SELECT uid, seq AS review_seq, lower(answer) AS reviewed FROM s WHERE protocol = 'per' AND kind = 'review' AND k < 40),
+  l1 AS (SELECT l0.*, reviewed IS NOT NULL AND before_key IS NOT NULL AND reviewed <> before_key AS mismatch FROM l0 LEFT JOIN named USING (uid, review_seq)),
+  l AS (SELECT * REPLACE (strict AND NOT mismatch AS strict, CASE WHEN bucket = 'strict_pre_gate' AND mismatch THEN 'other_non_strict' ELSE bucket END AS bucket) FROM l1)"""
+
 ATTEMPTS = """
   a0 AS (SELECT *, 1 + coalesce(count_if(kind IN ('pass', 'fail')) OVER (PARTITION BY uid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS attempt, kind IN ('executor', 'submission') AS cand FROM s WHERE protocol = 'per'),
   att AS (SELECT uid, attempt, bool_or(kind = 'pass') AS passed, max(CASE WHEN kind IN ('pass', 'fail') THEN seq END) AS closed_seq, count(*) - 1 AS turns, arg_min(lower(answer), seq) FILTER (cand) AS first_key,

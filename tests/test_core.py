@@ -43,6 +43,12 @@ def test_repaired(spark):
     assert (r.before_correct, r.after_correct, r.transition_outcome, r.bucket, r.action) == (False, True, "repaired", "strict_pre_gate", "revise")
 
 
+@pytest.mark.parametrize(("said", "bucket"), [("Candidate Answer: \\boxed{C}", "other_non_strict"), ("Candidate Answer: \\boxed{A}", "strict_pre_gate"), ("no candidate named", "strict_pre_gate")])
+def test_review_of_another_candidate_is_not_strict(spark, said, bucket):
+    r = labeled(spark, "per", executor("A"), reviewer(f"Diagnosis: no\n{said}"), executor("B")).first()
+    assert (r.bucket, r.strict) == (bucket, bucket == "strict_pre_gate")
+
+
 def test_conflicting_verdicts(spark):
     e = events.classify(log(spark, "per", submit("A"), verdict("PASS"), submit("A"), verdict("FAIL")))
     r = transitions.frozen_labels(e).first()
