@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,42 +47,64 @@ RULES = [
     ("CC0-1.0", ["cc0"]),
     ("proprietary", ["reserved"]),
 ]
+# Sentences as the SQL sees them.
 END = r"[.!?:;]+[ \t\r\n]+|\n+|[.!?:;]+\z"
 OTHER = r"[^a-z0-9\n]+"
+# Sentences as scan() sees them: marks that begin a line (comments, bullets) go, `v. 2` is no end, and so is a single line break.
+STEPS = [
+    (r"(\A|\n)[^a-z0-9\n]+", "$1"),
+    (r"\bv\.[ \t\r\n]+(?=[0-9])", "v "),
+    (r"(?<![.!?:;])[.!?:;]++(?:[ \t\r\n]+|\z)|\n[^a-z0-9]*\n", "\u0001"),
+    (r"[^a-z0-9\n\u0001]+", " "),
+    (r" ?\n ?", " | "),
+    (r" ?\u0001 ?", " . "),
+]
 
 
-def sentences_of(text: Column) -> Column:
-    """The text's sentences: lower case, letters and digits of ASCII, one space between words; no empty ones."""
-    marked = F.regexp_replace(F.regexp_replace(F.lower(text), F.lit(END), F.lit("\n")), F.lit(OTHER), F.lit(" "))
-    return F.split(marked, " ?\n ?")
+def marked(text: Column) -> Column:
+    """The text's words: lower case, letters and digits of ASCII, one space between them; ` . ` ends a sentence, ` | ` is a line break inside one."""
+    out = F.lower(text)
+    for pattern, by in STEPS:
+        out = F.regexp_replace(out, F.lit(pattern), F.lit(by))
+    return F.concat(F.lit(" . "), out, F.lit(" . "))
 
 
-def normal(sentence: str) -> list[str]:
-    import re
+def notices() -> dict[str, str]:
+    """The words of a notice, ` . ` between its sentences -> identifier."""
+    ends = lambda s: re.split(r"[.!?:;]+(?:\s+|\Z)", re.sub(r"\bv\.\s+(?=\d)", "v ", s.lower()))
+    return {" . ".join(" ".join(re.findall("[a-z0-9]+", x)) for x in ends(s) if x): name for name, said in SENTENCES.items() for s in said}
 
-    marked = re.sub(OTHER, " ", re.sub(END.replace(r"\z", r"\Z"), "\n", sentence.lower()))
-    return [s.strip() for s in marked.split("\n") if s.strip()]
+
+def pattern() -> str:
+    """Any notice, the longest first, that begins and ends with a sentence or a line. Lines may break between its words."""
+    one = lambda n: r" \. ".join(x.replace(" ", r"(?: \|)? ") for x in n.split(" . "))
+    return r"(?<= [.|] )(?:" + "|".join(map(one, sorted(notices(), key=len, reverse=True))) + r")(?= [.|] )"
+
+
+def normal(sentence: str) -> list[str]:
+    text = re.sub(OTHER, " ", re.sub(END.replace(r"\z", r"\Z"), "\n", sentence.lower()))
+    return [s.strip() for s in text.split("\n") if s.strip()]
 
 
 def known() -> dict[str, str]:
-    """Normal sentence -> identifier. A notice of several sentences is known by its last one."""
+    """Normal sentence -> identifier, for the SQL, which knows a notice of several sentences by its last one."""
     return {normal(s)[-1]: name for name, said in SENTENCES.items() for s in said}
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id_col, licence (of the first rule that fits; null if none does), licences (of
-    all that fit, in rule order, joined by commas), sentence_ids (of the known sentences, in text order) and n_known.
+    all that fit, in rule order, joined by commas), sentence_ids (of the known notices, in text order) and n_known.
+
+    A notice is met where all its sentences follow each other, wrapped over lines (commented ones too) or not, from the begin of a sentence or
+    line to the end of one. The SQL meets unwrapped notices only, and those of several sentences by their last one.
 
     Rows are independent: no shuffle, no Python. A null or empty text knows no sentence (licence null, the strings
     empty, n_known 0). Repeated rows and null ids pass through, an empty table gives an empty result, long texts are
     read whole, other columns are ignored.
     """
-    names = known()
-    table = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
-    ids = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.filter(F.transform(sentences_of(F.coalesce(F.col(text_col), F.lit(""))), lambda s: F.trim(s)), lambda s: s.isin(*names)).alias("said"),
-    ).select("doc_id", F.transform("said", lambda s: F.element_at(table, s)).alias("ids"))
+    table = F.create_map(*(F.lit(x) for kv in notices().items() for x in kv))
+    found = F.regexp_extract_all(marked(F.coalesce(F.col(text_col), F.lit(""))), F.lit(pattern()), F.lit(0))
+    ids = docs.select(F.col(id_col).alias("doc_id"), F.transform(found, lambda s: F.element_at(table, F.replace(s, F.lit(" |"), F.lit("")))).alias("ids"))
     line = F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" "))
     fits = F.array_compact(F.array(*(F.when(line.contains(" " + " ".join(seq) + " "), F.lit(name)) for name, seq in RULES)))
     out = ids.select("doc_id", F.array_join("ids", ",").alias("sentence_ids"), F.size("ids").cast("long").alias("n_known"), F.array_distinct(fits).alias("fits"))

@@ -273,6 +273,21 @@ def test_licences(spark):
     assert got == {1: ("Apache-2.0", "Apache-2.0,MIT,proprietary", 3), 2: (None, "", 0), 3: (None, "", 0), 4: ("MIT", "MIT", 1)}
 
 
+def test_licences_wrapped_over_lines(spark):
+    import textwrap
+
+    full = lambda *names: " ".join(licences.SENTENCES[n][-1] + "." for n in names)
+    wrap = lambda t, mark: "\n".join(mark + x for x in textwrap.wrap(t, 50))
+    want = {"MIT": ["mit_grant", "mit_notice"], "GPL-3.0-or-later": ["gpl_free", "gpl_hope"], "BSD-2-Clause": ["bsd_grant", "bsd_warranty"], "BSD-3-Clause": ["bsd_grant", "bsd_endorse", "bsd_warranty"], "MPL-2.0": ["mpl2_name"], "Apache-2.0": ["apache2_name", "apache2_copy", "apache2_as_is"]}
+    licence = {k: " ".join(licences.SENTENCES[n][0 if n == "mpl2_name" else -1] + "." for n in v) for k, v in want.items()}
+    cases = [(k, ",".join(v), f"int x;\n\n{wrap(licence[k], mark)}\n{mark}\n{mark}more text") for k, v in want.items() for mark in ("", "# ", " * ", "// ", "; ", "-- ")]
+    cases += [(None, "", t) for t in ("2.0", "Version: 2.0", "see\n2.0\nthere", "Apache License, v. 2.0", "you can redistribute it", full("gpl_hope").split("; ")[1], "the MIT License is short")]
+    cases += [("MIT", "mit_name", "a line\nMIT License\nanother line"), ("Apache-2.0", "apache2_name", "Licensed under the Apache License,\r\nVersion 2.0\r\n")]
+    d = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["licence"], r["sentence_ids"]) for r in licences.scan(d).collect()}
+    assert got == {i: (name, ids) for i, (name, ids, _) in enumerate(cases)}
+
+
 def test_audio(docs, rows):
     import zlib
 
