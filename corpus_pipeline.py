@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from episodica.llm import bpe, language, minhash, mixing, substrings
 from episodica.llm.util import shared_table
 
-#: A document goes if it has no letter, or if not even this share of its letters is in one language.
-LEAST_SHARE = 0.3
+#: A document stays if at least this share of its letters is in one learned language and reads like it.
+LEAST_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ SWITCH, SAMPLE = 8.0, 1500
 #: A script is used in a language if so many of its words are written in it.
 LEAST_SHARE = 0.01
 REMEMBERED = 300_000
+#: Letters of usual text that a span is filled up with before it is judged, so that a rare word or two alone don't condemn it.
+BENEFIT = 12
 
 
 def words_of(text: str) -> list[bytes]:
@@ -33,7 +35,10 @@ def words_of(text: str) -> list[bytes]:
 
 
 def script_of(word: bytes) -> int:
-    return 0 + _OF[bisect_right(_FIRST, ord(word.decode("utf-8", "replace")[0])) - 1]
+    """The script of the first letter; of a word without one, of its first sign."""
+    said = word.decode("utf-8", "replace")
+    first = said[0] if said[0].isalpha() else next(filter(str.isalpha, said), said[0])
+    return 0 + _OF[bisect_right(_FIRST, ord(first)) - 1]
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -53,17 +58,29 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def mixed_up(words: list[bytes]) -> list[bytes]:
+    """Words of the same lengths in letters from the same words, in a fixed random order."""
+    said = [w.decode("utf-8", "replace") for w in words]
+    letters = np.array(list("".join(said)))
+    mixed = "".join(letters[np.random.default_rng(0).permutation(len(letters))])
+    stop = np.cumsum([len(w) for w in said]).tolist()
+    return [mixed[a:b].encode("utf-8", "replace") for a, b in zip([0, *stop], stop, strict=False)]
+
+
 @dataclass
 class Model:
     langs: list[str]
     logp: np.ndarray  # buckets x languages
     uses: np.ndarray  # scripts x languages
+    usual: np.ndarray | None = None  # mean log-likelihood of a letter in a language's own text
+    least: np.ndarray | None = None  # half-way between that and the same text with its letters mixed up
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Counts n-grams and scripts over about `sample` documents of each language that aren't held out, drawn by hash.
 
-    Tasks hand on counts for each language and bucket; the driver gets at most 2^15 and a few rows for each language.
+    Tasks hand on counts for each language and bucket, and the same for their texts with letters mixed up at random, which show
+    how unlike the language a text without sense is; the driver gets at most 2^16 and a few rows for each language.
     """
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
     rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -78,19 +95,25 @@ def learn(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 words = words_of(text)
                 if words:
-                    n = sums.setdefault(lang, np.zeros((1 << BITS) + len(NAMES), dtype=np.int64))
+                    n = sums.setdefault(lang, np.zeros((2 << BITS) + len(NAMES), dtype=np.int64))
                     n[: 1 << BITS] += np.bincount(features(words)[0], minlength=1 << BITS)
-                    n[1 << BITS :] += np.bincount(list(map(script_of, words)), minlength=len(NAMES))
+                    n[1 << BITS : 2 << BITS] += np.bincount(features(mixed_up(words))[0], minlength=1 << BITS)
+                    n[2 << BITS :] += np.bincount(list(map(script_of, words)), minlength=len(NAMES))
         for lang, n in sums.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(n[at])], ["lang", "at", "n"])
 
     table = drawn.mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows)
-    counts = np.zeros(((1 << BITS) + len(NAMES), len(langs)))
+    counts = np.zeros(((2 << BITS) + len(NAMES), len(langs)))
     counts[table["at"].to_numpy(dtype=np.int64), np.searchsorted(langs, table["lang"].to_numpy(dtype=str)) if len(table) else []] = table["n"].to_numpy(dtype=float)
-    grams, scripts = counts[: 1 << BITS] + 0.1, counts[1 << BITS :]
-    return Model(langs, np.log(grams / grams.sum(axis=0)).astype(np.float32), scripts / np.maximum(scripts.sum(axis=0), 1) >= LEAST_SHARE)
+    seen, mixed, scripts = counts[: 1 << BITS], counts[1 << BITS : 2 << BITS], counts[2 << BITS :]
+    grams, total = seen + 0.1, np.maximum(seen.sum(axis=0), 1)
+    logp = np.log(grams / grams.sum(axis=0))
+    # Each n-gram is judged by the others, as in a text that wasn't learned.
+    usual = (seen * np.log(np.maximum(grams - 1, 0.1) / grams.sum(axis=0))).sum(axis=0) / total
+    least = (usual + (mixed * logp).sum(axis=0) / total) / 2
+    return Model(langs, logp.astype(np.float32), scripts / np.maximum(scripts.sum(axis=0), 1) >= LEAST_SHARE, usual, np.where(least < usual, least, -np.inf))
 
 
 class Scorer:
@@ -99,6 +122,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.m, self.at = model, {}
         self.scores = np.zeros((1024, len(model.langs)), dtype=np.float32)
+        self.letters, self.used = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)  # bytes of each word; if its script is used
 
     def rows(self, lists: list[list[bytes]]) -> list[np.ndarray]:
         new = set().union(*lists) - self.at.keys()
@@ -110,6 +134,7 @@ class Scorer:
             need = first + len(new)
             if need > len(self.scores):
                 self.scores = np.concatenate([self.scores[:first], np.zeros((2 * need - first, self.scores.shape[1]), np.float32)])
+                self.letters, self.used = (np.concatenate([x[:first], np.zeros(2 * need - first, np.int64)]) for x in (self.letters, self.used))
             for k in range(0, len(new), 20_000):
                 part = new[k : k + 20_000]
                 bucket, owner = features(part)
@@ -119,6 +144,8 @@ class Scorer:
                 # Words of a script that no language is known to use speak for none.
                 s = np.where(some[:, None], np.where(uses, s, s.min(axis=1, keepdims=True) - 3 * SWITCH), 0)
                 self.scores[first + k : first + k + len(part)] = s
+                size = np.fromiter((len(w) if w.isalpha() or any(map(str.isalpha, w.decode("utf-8", "replace"))) else 0 for w in part), dtype=np.int64, count=len(part))
+                self.letters[first + k : first + k + len(part)], self.used[first + k : first + k + len(part)] = size, size * some
             self.at.update(zip(new, range(first, need), strict=True))
         get = self.at.__getitem__
         return [np.fromiter(map(get, w), dtype=np.int32, count=len(w)) for w in lists]
@@ -159,8 +186,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """Returns id_col, the columns of `keep`, held_out, lang_pred, score (share of the letters that lang_pred's spans hold) and
     spans array<struct<lang, start, stop>> (in words, stop excluded).
 
-    Rows are independent; nothing is shuffled. Null texts and texts without a letter, or a model without languages, give `und`
-    with score 0 and no spans. Ties go to the language that comes first by name. A null id counts as held out. Repeated rows
+    Letters of scripts that no learned language uses, and of spans that read far less like their language than learned text does,
+    are no language's but count in the whole, so that the score says how sure lang_pred is; such spans aren't returned.
+    Rows are independent; nothing is shuffled. Null texts, texts without a letter or without a span of a learned language, or a
+    model without languages, give `und` with score 0 and no spans. Ties go to the language that comes first by name. A null id counts as held out. Repeated rows
     pass through, an empty table gives an empty result, long texts are read whole, other columns are ignored.
     """
     kept = list(dict.fromkeys(c for c in (id_col, *keep)))
@@ -180,11 +209,19 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             full = [i for i, w in enumerate(lists) if w]
             out: list[tuple[str, float, list[dict]]] = [("und", 0.0, [])] * len(lists)
             if full and langs:
-                for i, path in zip(full, scorer.paths(scorer.rows([lists[i] for i in full])), strict=True):
-                    letters = np.bincount(path, np.fromiter(map(len, lists[i]), dtype=np.int64, count=len(path)), minlength=len(langs))
-                    cuts = np.flatnonzero(np.diff(path, prepend=-1, append=-1)).tolist()
+                rows = scorer.rows([lists[i] for i in full])
+                for i, at, path in zip(full, rows, scorer.paths(rows), strict=True):
+                    cuts = np.flatnonzero(np.diff(path, prepend=-1, append=-1))
+                    first, used = cuts[:-1], scorer.used[at]
+                    lang, size = path[first], np.add.reduceat(used, first)
+                    if model.least is not None:
+                        likely = np.add.reduceat(np.where(used > 0, scorer.scores[at, path], 0), first)
+                        size = np.where(likely + BENEFIT * model.usual[lang] >= model.least[lang] * (size + BENEFIT), size, 0)
+                    letters = np.bincount(lang, size, minlength=len(langs))
                     best = int(letters.argmax())
-                    out[i] = (langs[best], float(letters[best] / letters.sum()), [{"lang": langs[path[a]], "start": a, "stop": b} for a, b in zip(cuts, cuts[1:], strict=False)])
+                    if letters[best]:
+                        spans = [{"lang": langs[x], "start": a, "stop": b} for x, n, a, b in zip(lang.tolist(), size.tolist(), cuts.tolist(), cuts[1:].tolist(), strict=False) if n]
+                        out[i] = (langs[best], float(letters[best] / scorer.letters[at].sum()), spans)
             return out
 
         for b in batches:

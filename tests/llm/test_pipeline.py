@@ -28,3 +28,16 @@ def test_stages(spark):
     assert ids[3] == ids[2] and not seen[3].where(F.col("text").contains(passage)).count()
     assert seen[5].count() == seen[4].count() and ids[5] == ids[4]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_language_stage_keeps_learned_languages_only(spark):
+    rng = random.Random(5)
+    syllables = {"en": "the and ing ter ough ness wh ly ed con st er".split(), "fr": "le eau tion que oir é ment aux en ch ille ou".split()}
+    word = lambda x: "".join(rng.choice(syllables[x]) for _ in range(rng.randrange(1, 4)))
+    noise = lambda abc, n: " ".join("".join(rng.choice(abc) for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    rows = [(i, " ".join(word(x) for _ in range(40)), x) for i, x in enumerate(["en", "fr"] * 150)]
+    rows += [(300, "это как не что был совсем другой текст", None), (301, "这是一个中文文本 没有别的", None), (302, noise("abcdefghijklmnopqrstuvwxyz", 80), None)]
+    rows += [(303, rows[0][1] + " это", None), (304, noise("абвгдежзиклмно", 60) + " the and", None), (305, "“" + rows[2][1] + "” — …", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert set(range(306)) - kept == {300, 301, 302, 304}
