@@ -194,6 +194,13 @@ def events_with_metadata(spark, d):
     return transitions.transitions(_parsed(spark, d)).select("uid", "review_seq").join(meta, "uid")
 
 
+@query(sql.labeled("SELECT uid, review_seq, dataset, actor, tier, problem FROM t LEFT JOIN (SELECT DISTINCT uid, dataset, actor, tier, problem FROM s) USING (uid)"))
+def events_with_all_metadata(spark, d):
+    """events_with_metadata without its scope of tiers: every review, with its trajectory's metadata."""
+    meta = adapter.steps(spark, d).select("uid", "dataset", "actor", "tier", "problem").distinct()
+    return transitions.transitions(_parsed(spark, d)).select("uid", "review_seq").join(meta, "uid", "left")
+
+
 # Attempts
 
 
@@ -549,6 +556,13 @@ def exact_match(spark, d):
     return x.select("l_orderkey", "l_linenumber", rules.exact_match(F.col("l_quantity").cast("string"), (F.col("l_tax") * 100).cast("string")).alias("same"))
 
 
+@query("SELECT l_orderkey, l_linenumber, l_quantity = l_tax * 100 AS same FROM lineitem")
+def exact_match_all(spark, d):
+    """exact_match over every line."""
+    x = _table(spark, d, "lineitem")
+    return x.select("l_orderkey", "l_linenumber", rules.exact_match(F.col("l_quantity").cast("string"), (F.col("l_tax") * 100).cast("string")).alias("same"))
+
+
 @query()
 def math_equal_rule(spark, d):
     x = adapter.steps(spark, d)

@@ -44,3 +44,11 @@ def test_query(spark, duck, name):
         names = [c[0] for c in said.description]
         assert sorted(names) == sorted(df.columns)
         assert rows(found, df.columns) == rows(said.fetchall(), names)
+
+
+def test_whole_tables(spark, duck):
+    all_lines = duck.execute("SELECT count(*) FROM lineitem").fetchone()[0]
+    assert catalog.QUERIES["exact_match_all"](spark, SF).count() == all_lines
+    reviews = catalog.QUERIES["labeled_transitions"](spark, SF).count()
+    found = catalog.QUERIES["events_with_all_metadata"](spark, SF)
+    assert found.where("tier IS NOT NULL").count() == reviews > catalog.QUERIES["events_with_metadata"](spark, SF).count()
