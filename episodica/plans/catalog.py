@@ -416,20 +416,33 @@ _BOOT = """
   rp AS (SELECT protocol, rep, sum(num)::DOUBLE / nullif(sum(den), 0) AS rate FROM dr JOIN un USING (protocol, i) GROUP BY protocol, rep)"""
 
 
-def _replicates(spark: SparkSession, d: str) -> DataFrame:
+def _replicates(spark: SparkSession, d: str, replicates: int) -> DataFrame:
     stats = _labeled(spark, d).groupBy("protocol", "problem").agg(count_if(F.col("answer_changed")).alias("num"), count_if(F.col("answer_pair_parsed")).alias("den"))
-    return sampling.bootstrap(stats, "protocol", "problem", "num", "den", 40)
+    return sampling.bootstrap(stats, "protocol", "problem", "num", "den", replicates)
 
 
+def also_1000(f: Callable[..., DataFrame]):
+    """Registers the interval once more, as NAME_1000, from the reference's 1,000 replicates."""
+
+    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(spark, sf_dir, 1000)
+
+    whole.__name__, whole.__doc__ = f"{f.__name__}_1000", f.__doc__
+    query(ORACLE[f.__name__].replace("range(1, 41)", "range(1, 1001)"))(whole)
+    return f
+
+
+@also_1000
 @query(sql.over("SELECT protocol, count(rate) AS replicates, round(quantile_cont(rate, 0.025), 9) AS lo, round(quantile_cont(rate, 0.975), 9) AS hi FROM rp GROUP BY protocol", sql.PER, sql.BROADCAST, sql.LABELS, sql.LABELED, _BOOT))
-def bootstrap_ci(spark, d):
-    return sampling.interval(_replicates(spark, d), ["protocol"])
+def bootstrap_ci(spark, d, replicates=40):
+    return sampling.interval(_replicates(spark, d, replicates), ["protocol"])
 
 
+@also_1000
 @query(sql.over("SELECT 1 AS one, count(delta) AS replicates, round(quantile_cont(delta, 0.025), 9) AS lo, round(quantile_cont(delta, 0.975), 9) AS hi FROM (SELECT rep, max(CASE WHEN protocol = 'broadcast' THEN rate END) - max(CASE WHEN protocol = 'per' THEN rate END) AS delta FROM rp GROUP BY rep)", sql.PER, sql.BROADCAST, sql.LABELS, sql.LABELED, _BOOT))
-def paired_delta_ci(spark, d):
+def paired_delta_ci(spark, d, replicates=40):
     side = lambda p: F.max(F.when(F.col("protocol") == p, F.col("rate")))
-    x = _replicates(spark, d).groupBy("rep").agg((side("broadcast") - side("per")).alias("rate"))
+    x = _replicates(spark, d, replicates).groupBy("rep").agg((side("broadcast") - side("per")).alias("rate"))
     return sampling.interval(x.withColumn("one", F.lit(1)), ["one"])
 
 

@@ -52,3 +52,9 @@ def test_whole_tables(spark, duck):
     reviews = catalog.QUERIES["labeled_transitions"](spark, SF).count()
     found = catalog.QUERIES["events_with_all_metadata"](spark, SF)
     assert found.where("tier IS NOT NULL").count() == reviews > catalog.QUERIES["events_with_metadata"](spark, SF).count()
+
+
+@pytest.mark.parametrize("name", ["bootstrap_ci_1000", "paired_delta_ci_1000"])
+def test_intervals_take_1000_replicates(spark, name):
+    """Those without a parsed pair have no rate, which happens on the smallest tables."""
+    assert all(500 < r.replicates <= 1000 for r in catalog.QUERIES[name](spark, SF).collect())
