@@ -20,9 +20,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group, and one row of each id."""
-    stay = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Keeps one row of each group of near copies: the one with the least id (none comes last), then the least digest of its text, then the least other columns.
+
+    A document is what has one id and one text; either may be null. Rows that share an id only are different documents.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    groups = minhash.near_duplicates(keyed, "_key").select("_key", "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.sha2(F.encode("text", "utf-8"), 256).alias("digest"), "_key")
+    stay = keyed.select("_key", order.alias("order")).join(groups, "_key").groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first._key").alias("_key"))
+    row = F.min(F.struct(*(F.col(c) for c in docs.columns))).alias("row")
+    return keyed.join(stay, "_key", "left_semi").groupBy("_key").agg(row).select("row.*").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,13 @@ def test_language_stage_keeps_learned_languages_only(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()}
     assert set(range(306)) - kept == {300, 301, 302, 304}
+
+
+def test_near_dedup_keeps_texts_without_ids(spark):
+    rng = random.Random(6)
+    text = [" ".join(f"w{rng.randrange(9000)}" for _ in range(60)) for _ in range(5)]
+    rows = [(None, text[0], "b"), (None, text[0], "a"), (1, text[1], "a"), (1, text[2], "a"), (2, text[3], "b"), (None, text[3] + " end", "a"), (4, text[4], "a"), (3, text[4] + " end", "b"), (5, None, "a"), (None, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for d in (docs.coalesce(1), docs.repartition(5)):
+        got = {tuple(r) for r in corpus_pipeline.near_dedup(spark, d, "").collect()}
+        assert got == {rows[1], rows[2], rows[3], rows[4], rows[7], rows[8], rows[9]}
