@@ -136,6 +136,13 @@ def append_json(df: DataFrame, path: str) -> None:
 
 
 def write_manifest(spark: SparkSession, counts: dict, outputs: str, path: str) -> None:
-    """Counts and the digests of the files below `outputs`, as one line of JSON with sorted keys."""
-    found = {r.path.rsplit("/", 1)[-1]: r.sha256 for r in digests(spark, outputs, "part-*").limit(10_000).collect()}
-    spark.createDataFrame([(json.dumps({"counts": counts, "files": found}, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    """The digests of the files below `outputs` as a table, `path`-files (path below outputs, length, sha256), and as one line of JSON with
+    sorted keys the counts, the number of files and the table's own digest, which doesn't depend on the order of its rows."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(outputs)
+    base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    digests(spark, outputs, "part-*").select(F.substr("path", F.lit(len(base) + 2)).alias("path"), "length", "sha256").write.mode("overwrite").parquet(f"{path}-files")
+    # Digests of rows, of the sorted rows of each of 4,096 parts, and of the sorted parts: no row grows with the table.
+    whole = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
+    rows = spark.read.parquet(f"{path}-files").select(F.sha2(F.to_json(F.struct("path", "length", "sha256")), 256).alias("row"))
+    found = rows.groupBy(F.substring("row", 1, 3)).agg(whole("row").alias("part"), F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), whole("part").alias("sha256")).first()
+    spark.createDataFrame([(json.dumps({"counts": counts, "files": {"count": found.n, "sha256": found.sha256}}, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)

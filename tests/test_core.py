@@ -130,6 +130,19 @@ def test_tables(spark, tmp_path):
     assert "| k |" in reports.markdown(df.select("k"))
 
 
+def test_manifest_has_every_file(spark, tmp_path):
+    import hashlib
+    import json
+
+    spark.range(40).selectExpr("id", "id % 4 AS k").coalesce(1).write.partitionBy("k").parquet(str(tmp_path / "out"))
+    for name in "ab":
+        files.write_manifest(spark, {"rows": 40}, str(tmp_path / "out"), str(tmp_path / name))
+    said = [json.loads(spark.read.text(str(tmp_path / name)).first().value) for name in "ab"]
+    want = {(str(p.relative_to(tmp_path / "out")), p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in (tmp_path / "out").rglob("part-*")}
+    assert len(want) == 4 and set(map(tuple, spark.read.parquet(str(tmp_path / "a-files")).collect())) == want
+    assert said[0] == said[1] and said[0]["counts"] == {"rows": 40} and said[0]["files"]["count"] == 4 and len(said[0]["files"]["sha256"]) == 64
+
+
 def drain(writer):
     query = writer.trigger(availableNow=True).start()
     try:
