@@ -82,7 +82,8 @@ def log_mel(raw: bytes) -> np.ndarray:
         edge = x[len(x) - (TAPS - DOWN) :]
         y = np.concatenate([rest, resample(x)])
         if at + PIECE >= len(data):
-            y = np.concatenate([y, np.zeros(max(0, FRAME - len(y)), dtype=np.float32)])
+            # Zeros up to the next whole frame, so that every sample stands in one.
+            y = np.concatenate([y, np.zeros(max(FRAME - len(y), (FRAME - len(y)) % HOP), dtype=np.float32)])
         n = max(0, (len(y) - FRAME) // HOP + 1)
         if n:
             cut = np.lib.stride_tricks.sliding_window_view(y, FRAME)[: (n - 1) * HOP + 1 : HOP]

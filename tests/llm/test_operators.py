@@ -304,3 +304,11 @@ def test_audio_pieces_make_no_difference(monkeypatch):
     whole = audio.log_mel(raw)
     monkeypatch.setattr(audio, "PIECE", 1 << 12)
     assert np.allclose(audio.log_mel(raw), whole, atol=1e-4) and len(whole) == (len(raw) // 2 - audio.FRAME) // audio.HOP + 1
+
+
+def test_audio_ends_stand_in_a_frame():
+    hop = audio.HOP * audio.DOWN
+    for n in (64 * 9, 64 * 10, 64 * 11, 64 * 12, 64 * 13):
+        quiet = bytes([128]) * (n - 64)
+        assert len(audio.log_mel(quiet + bytes(64))) == max(1, -(-(n - audio.FRAME * audio.DOWN) // hop) + 1)
+        assert not np.allclose(audio.log_mel(quiet + bytes(64))[-1], audio.log_mel(quiet + bytes([128]) * 64)[-1])
