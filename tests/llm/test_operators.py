@@ -115,9 +115,10 @@ def test_densified_bins_agree_as_the_sets_do():
     assert abs(np.mean(agree) - 0.75) < 0.04
 
 
-@pytest.mark.parametrize("hot", [5000, 0])
-def test_substrings_against_all_windows(docs, rows, hot, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT", hot)
+@pytest.mark.parametrize(("split", "bucket", "at_once"), [(1000, 500_000, 100_000), (0, 500_000, 50), (0, 2, 100_000), (3, 0, 50)])
+def test_substrings_against_all_windows(docs, rows, split, bucket, at_once, monkeypatch):
+    for name, value in (("SPLIT", split), ("BUCKET", bucket), ("AT_ONCE", at_once)):
+        monkeypatch.setattr(substrings, name, value)
     words = [WORD.findall(r[1] or "") for r in rows]
     seen = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
     want = Counter()
