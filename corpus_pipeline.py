@@ -14,37 +14,63 @@ from episodica.llm.util import shared_table
 LEAST_SHARE = 0.5
 
 
+def boxed(docs: DataFrame, *others) -> DataFrame:
+    """All columns as one struct `row`, beside those that an operator reads: no name of a row can clash with a result's."""
+    return docs.select(F.struct("*").alias("row"), *others)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language.identify(docs, language.learn(docs), keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    """Keeps documents that are surely of one learned language. Null texts and texts without letters go.
+
+    Repeated rows stay or go together, a null id or source changes nothing, an empty table gives an empty one; extra columns, whatever
+    their names, pass through; texts are read whole.
+    """
+    rows = boxed(docs, "doc_id", "text")
+    found = language.identify(rows, language.learn(docs), keep=("row",))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies: the one with the least id (none comes last), then the least digest of its text, then the least other columns.
 
-    A document is what has one id and one text; either may be null. Rows that share an id only are different documents.
+    A document is what has one id and one text; either may be null. Rows that share an id only are different documents. Documents
+    without words link with nothing and stay, once each if rows repeat. An empty table gives an empty one; extra columns, whatever
+    their names, pass through (they must have an order, as any but maps do); texts are read whole.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
-    groups = minhash.near_duplicates(keyed, "_key").select("_key", "component_id").distinct()
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.sha2(F.encode("text", "utf-8"), 256).alias("digest"), "_key")
-    stay = keyed.select("_key", order.alias("order")).join(groups, "_key").groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first._key").alias("_key"))
-    row = F.min(F.struct(*(F.col(c) for c in docs.columns))).alias("row")
-    return keyed.join(stay, "_key", "left_semi").groupBy("_key").agg(row).select("row.*").select(docs.columns)
+    keyed = boxed(docs, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text").alias("key"), "doc_id", "text")
+    groups = minhash.near_duplicates(keyed, "key").select("key", "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.sha2(F.encode("text", "utf-8"), 256).alias("digest"), "key")
+    stay = keyed.select("key", order.alias("order")).join(groups, "key").groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first.key").alias("key"))
+    return keyed.join(stay, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")).select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose their repeated passages; every document stays, n_chars is counted anew."""
-    others = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
-    out = substrings.remove_repeats(docs, with_text=True, keep=others).withColumnRenamed("kept_text", "text")
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    """Texts lose their repeated passages; every row stays, n_chars (where there is one) is counted anew.
+
+    A null text stays null, a text under 35 words stays as it is, repeated rows lose all words if they have 35 or more; an empty table
+    gives an empty one; extra columns, whatever their names, pass through; texts are read whole.
+    """
+    others = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars"))).alias("row"), "text")
+    out = substrings.remove_repeats(others, with_text=True, keep=("row",))
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, three times at most.
+
+    Null and empty texts weigh nothing; they stay once where their source is wanted in half or more. A null source is a source.
+    Repeated rows share one decision; an empty table gives an empty one; extra columns, whatever their names, pass through.
+    """
     return mixing.take(docs, mixing.mix_sources(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each row: doc_id, lang, source, ids, n_tokens, ids_sha256, decoded_sha256.
+
+    A null or empty text has no ids; repeated rows and null ids pass through; an empty table gives an empty one; extra columns are left
+    out; texts are read whole.
+    """
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=("lang", "source"))
 
 

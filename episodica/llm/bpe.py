@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Fixed value: the published pre-token pattern of this vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -232,8 +233,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     kept = list(dict.fromkeys(c for c in (id_col, *keep) if c != text_col))
     names = [f"k{i}" for i in range(len(kept))]
     source = docs.select(*(F.col(c).alias(n) for c, n in zip(kept, names, strict=True)), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    kinds = [(f.name, f.dataType.simpleString()) for f in source.schema.fields[:-1]]
-    schema = ", ".join(f"{n} {k}" for n, k in kinds) + ", ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = StructType([*source.schema.fields[:-1], *StructType.fromDDL("ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string").fields])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)

@@ -195,8 +195,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     kept = list(dict.fromkeys(c for c in (id_col, *keep)))
     names = [f"k{i}" for i in range(len(kept))]
     source = docs.select(*(F.col(c).alias(n) for c, n in zip(kept, names, strict=True)), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    schema = StructType.fromDDL(f"{kinds}, lang_pred string, score double, spans array<struct<lang: string, start: long, stop: long>>")
+    schema = StructType([*source.schema.fields[:-1], *StructType.fromDDL("lang_pred string, score double, spans array<struct<lang: string, start: long, stop: long>>").fields])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^15 floats for each language
     span = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
 

@@ -119,8 +119,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
 
 
 def take(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The mix itself: each row of docs as often as its decision says, with the columns of docs."""
+    """The mix itself: each row of docs as often as its decision says, with the columns of docs.
+
+    Null ids and sources meet their own decision, repeated rows are taken alike, an empty table gives an empty one. Columns of docs
+    travel as one struct, so that their names can't clash with a decision's.
+    """
     d = decisions.select("doc_id", "source", "size", "copies").where("copies > 0").distinct().alias("d")
-    k = docs.withColumn("_size", n_words(F.col("text"))).alias("k")
-    on = F.col("k.doc_id").eqNullSafe(F.col("d.doc_id")) & F.col("k.source").eqNullSafe(F.col("d.source")) & (F.col("k._size") == F.col("d.size"))
-    return k.join(d, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("d.copies")))).select(*(F.col(f"k.{c}") for c in docs.columns))
+    k = docs.select(F.struct("*").alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size")).alias("k")
+    on = F.col("k.doc_id").eqNullSafe(F.col("d.doc_id")) & F.col("k.source").eqNullSafe(F.col("d.source")) & (F.col("k.size") == F.col("d.size"))
+    return k.join(d, on).select(F.col("k.row").alias("row"), F.explode(F.sequence(F.lit(1), F.col("d.copies"))).alias("copy")).select("row.*")
