@@ -20,6 +20,8 @@ BINS = BANDS * ROWS
 PERCENT = 75
 #: Stars that a rare shingle gets at first; members that one task compares with a star's centre in a row.
 STARS, CHUNK = 32, 64
+#: Documents of one shingle that meet in one task.
+SALT = 500
 
 _EDGES = (np.arange(BINS, dtype=np.uint64) * np.uint64((1 << 64) // BINS)).astype(np.uint64)
 #: Where an empty bin looks: for each bin a sequence of random bins.
@@ -131,33 +133,46 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def rare_shingles(open_: DataFrame, texts: DataFrame) -> DataFrame:
-    """An exact filter for links between components: h, id, n, largest, rank.
+    """An exact filter for links between components: h, id, n, largest, place, able, parts, part.
 
     Order all shingles: first those of one component alone, then by number of documents. A link has 75 % of either set in common, so the
     first n - ceil(0.75 n) + 1 shingles of both sets share one, and it is not one of a single component: these are the rows. At
     the first shingle that two sets share, each has only its rest to share; so a set that has less than the threshold needs from two sets
-    of its own size can only link with smaller ones, up to `largest`. One of each linked pair has largest >= n: rank numbers those
-    in each shingle, as stars' centres; it is null for the rest.
+    of its own size can only link with smaller ones, up to `largest`. One of each linked pair has largest >= n: `able` counts those
+    of a shingle and `place`, which is null for the rest, spreads them over 0 to able, as stars' centres. A shingle of many documents
+    is dealt in `parts` parts.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            for i, t in zip(b.column("id"), b.column("text"), strict=True):
-                s = shingles(t.as_py(), hashes).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i.as_py(), dtype=np.int64)), pa.array(s)], ["id", "h"])
+            sets, size, first = [], 0, 0
+            for k, t in enumerate(b.column("text")):
+                sets.append(shingles(t.as_py(), hashes).view(np.int64))
+                size += len(sets[-1])
+                if size >= 200_000 or k == b.num_rows - 1:
+                    of = pa.array(np.repeat(np.arange(first, k + 1), [len(s) for s in sets]))
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(of), pa.array(np.concatenate(sets))], ["id", "h"])
+                    sets, size, first = [], 0, k + 1
 
     every = texts.join(open_.select("id"), "id").select("id", "text").mapInArrow(spread, "id long, h long").join(open_, "id")
     across = every.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h", "df")
     own = Window.partitionBy("id")
     first = (
-        every.join(across, "h").withColumn("shared", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "h")))
-        .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.col("shared")))
+        every.join(across, "h").withColumn("shared", F.count("*").over(own)).withColumn("at", F.row_number().over(own.orderBy("df", "h")))
+        .where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.col("shared")))
     )
-    left = first.withColumn("largest", F.floor((F.col("shared") - F.col("place") + 1) * (100 + PERCENT) / PERCENT + 1e-9).cast("long") - F.col("n"))
-    able = F.col("largest") >= F.col("n")
-    rank = F.when(able, F.row_number().over(Window.partitionBy("h").orderBy(F.desc(able), F.xxhash64("id"), "id")) - 1)
-    return left.select("h", "id", "n", "largest", rank.alias("rank"))
+    largest = F.floor((F.col("shared") - F.col("at") + 1) * (100 + PERCENT) / PERCENT + 1e-9).cast("long") - F.col("n")
+    parts = F.ceil(F.col("df") / SALT).cast("long")
+    left = shared_table(first.withColumns({"largest": largest, "parts": parts, "part": F.pmod(F.xxhash64("id"), parts)}), "dedup-first")
+    able = left.groupBy("h", "parts").agg(F.count_if(F.col("largest") >= F.col("n")).alias("able"))
+    place = F.when(F.col("largest") >= F.col("n"), F.pmod(F.xxhash64("id", "h"), F.lit(1 << 52)) / float(1 << 52) * F.col("able"))
+    return left.join(in_parts(able), ["h", "part"]).select("h", "id", "n", "largest", place.alias("place"), "able", "parts", "part")
+
+
+def in_parts(x: DataFrame) -> DataFrame:
+    """A row for each part of its shingle, without the number of parts."""
+    return x.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,10 +184,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared rare shingle; those get further stars, sixteen times as many each round, until every pair left is checked or in one
     component. So no link of a pair that shares a bucket is lost.
 
-    A null or empty text, or one without words, has an empty set: it links with nothing and is kept. Rows of one id are one
-    document. A null id takes its set's component_id (null, and not kept, if no row of the set has an id). Repeated rows are in one
+    Two documents that no shared shingle rules out, in two components, are compared at last, however many share it: at most each such
+    pair once. A shingle's rows are dealt in parts of about SALT documents, with a copy of the stars' centres for each.
+
+    A null or empty text, or one without words, has an empty set: it links with nothing and is kept. Ids may be of any type that has
+    an order; those that aren't whole numbers are hashed on the way. Rows of one id are one document. A null id takes its set's component_id (null, and not kept, if no row of the set has an id). Repeated rows are in one
     component; an empty table gives an empty result; other columns are ignored.
     """
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        keyed = docs.select(F.col(id_col).alias("id"), F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)).alias("key"), F.col(text_col).alias("text"))
+        found = near_duplicates(keyed, "key", "text").join(keyed.select("id", "key").distinct(), "key", "left")
+        least = found.groupBy("component_id").agg(F.min("id").alias("least"))
+        return found.join(least, "component_id", "left").select(F.col("id").alias(id_col), "n_shingles", F.col("least").alias("component_id"), F.coalesce(F.col("id") == F.col("least"), F.lit(False)).alias("kept"))
     prints = shared_table(fingerprints(docs, id_col, text_col), "dedup-prints")
     sets = prints.where("key IS NOT NULL AND id IS NOT NULL")
     nodes = sets.groupBy("key").agg(F.min("id").alias("id"))
@@ -202,12 +225,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     low, high = 0, STARS
     while True:
         now = rare.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        split = now.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("rank").alias("last")).where((F.col("least") != F.col("most")) & (F.col("last") >= low))
-        now = shared_table(now.join(split.select("h"), "h", "left_semi"), "dedup-rest")
+        split = now.groupBy("h", "parts").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("able").alias("able")).where((F.col("least") != F.col("most")) & (F.col("able") > low))
+        now = shared_table(now.join(in_parts(split.select("h", "parts")), ["h", "part"], "left_semi"), "dedup-rest")
         if now.isEmpty():
             break
-        centre = now.where(F.col("rank").between(low, high - 1)).select("h", F.col("id").alias("a"), F.col("n").alias("an"), F.col("largest").alias("alargest"), F.col("root").alias("ar"), F.col("rank").alias("arank"))
-        unseen = now.join(centre, "h").where((F.col("rank").isNull() | (F.col("rank") > F.col("arank"))) & (F.col("root") != F.col("ar")) & alike(F.col("n"), F.col("an")) & (F.col("n") <= F.col("alargest")) & (F.col("an") <= F.col("largest"))).select("a", F.col("id").alias("b")).distinct()
+        centre = in_parts(now.where((F.col("place") >= low) & (F.col("place") < high)).select("h", "parts", F.col("id").alias("a"), F.col("n").alias("an"), F.col("largest").alias("alargest"), F.col("root").alias("ar"), F.struct("place", "id").alias("aplace")))
+        after = F.col("place").isNull() | (F.struct("place", "id") > F.col("aplace"))
+        unseen = now.join(centre, ["h", "part"]).where(after & (F.col("root") != F.col("ar")) & alike(F.col("n"), F.col("an")) & (F.col("n") <= F.col("alargest")) & (F.col("an") <= F.col("largest"))).select("a", F.col("id").alias("b")).distinct()
         known = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
         more = shared_table(verify(unseen.join(known, ["a", "b"], "left_anti"), texts), "dedup-checked")
         checked = checked.unionByName(more)

@@ -85,24 +85,56 @@ def test_near_duplicates_against_all_pairs(docs, rows):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(sets[i]), root[i], root[i] == i) for i in sets}
 
 
-def test_near_duplicates_many_close_copies(spark):
-    rng = random.Random(8)
-    base = [f"b{i}" for i in range(200)]
-    rows = []
-    for i in range(150):
-        words = list(base)
-        for _ in range(rng.randrange(1, 9)):
-            words[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
-        rows.append((i, " ".join(words)))
-    sets = {i: shingle_set(t) for i, t in rows}
+def classes(sets):
+    """The least id that each can reach over links, by all pairs."""
     root = {i: i for i in sets}
-    for a in sets:
-        for b in sets:
-            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and root[a] != root[b]:
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    for a in sorted(sets):
+        met = Counter(b for x in sets[a] for b in holders[x] if b > a)
+        for b, n in met.items():
+            if root[a] != root[b] and 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
                 low, high = sorted((root[a], root[b]))
                 root = {k: low if v == high else v for k, v in root.items()}
+    return root
+
+
+def close_copies(n=150, length=200, edits=9, seed=8):
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(length)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.randrange(1, edits)):
+            words[rng.randrange(length)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(("stars", "salt"), [(32, 500), (1, 7)])
+def test_near_duplicates_many_close_copies(spark, stars, salt, monkeypatch):
+    monkeypatch.setattr(minhash, "STARS", stars)
+    monkeypatch.setattr(minhash, "SALT", salt)
+    rows = close_copies()
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == root
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == classes({i: shingle_set(t) for i, t in rows})
+
+
+def test_near_duplicates_with_ids_of_other_types(spark):
+    rows = [*close_copies(40, 120, 14), (None, "no id " * 9), (90, None)]
+    whole = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    named = minhash.near_duplicates(spark.createDataFrame([(None if i is None else f"d{i:03}", t) for i, t in rows], "doc_id string, text string")).collect()
+    name = lambda i: None if i is None else f"d{i:03}"
+    assert Counter((name(r.doc_id), r.n_shingles, name(r.component_id), r.kept) for r in whole) == Counter(map(tuple, named))
+
+
+def test_near_duplicates_of_the_given_documents(spark):
+    """Recall over whole tables: every class of the 1,000 documents at scale 0.01 by all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert got == classes({r.doc_id: shingle_set(r.text) for r in docs.collect()})
 
 
 def test_densified_bins_agree_as_the_sets_do():
