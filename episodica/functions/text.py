@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Closed sets of texts that stand for no answer.
 NO_ANSWER = ["", ".", "..", "...", "…", "none", "[none]", "null", "n/a", "[no candidate answer]", "[no extracted final answer]", "no solution yet", "no advice yet"]
+#: What the log calls an answer: fixed wording and its longest length.
 EXPLICIT = r"(?i)(?:final\s+answer|answer)\s*(?:is|:)\s*([^\n]{1,160})"
 BOX = "\\boxed{"
 _EDGES = r"^\s+|\s+$"
@@ -70,15 +71,24 @@ def is_placeholder(x: Column) -> Column:
 
 
 def explicit_answer(x: Column) -> Column:
-    """The last box, unwrapped; else the last "final answer is"; '' for placeholders, long prose and nothing."""
+    """The last box, unwrapped as long as it holds boxes; else the last "final answer is"; '' for placeholders, long prose and nothing."""
     raw = strip(sanitize_boxed(x))
     inner = lambda a: _let(boxed_all(a), lambda b: F.when(F.size(b) > 0, F.element_at(b, -1)).otherwise(a))
+    # A box has at most one box inside for each marker that is left in it.
+    unwrap = lambda a: F.aggregate(F.sequence(F.lit(1), F.size(F.split(a, r"\\boxed\{"))), a, lambda t, _: inner(t))
     said = F.rtrim(strip(F.try_element_at(F.regexp_extract_all(raw, F.lit(EXPLICIT), F.lit(1)), F.lit(-1))), F.lit("."))
     short = F.when((F.char_length(said) <= 120) & (F.size(F.split(said, r"\s+")) <= 12), said).otherwise("")
-    answer = _let(boxed_all(raw), lambda b: F.when(F.size(b) > 0, inner(inner(F.element_at(b, -1)))).otherwise(F.coalesce(short, F.lit(""))))
+    answer = _let(boxed_all(raw), lambda b: F.when(F.size(b) > 0, _let(F.element_at(b, -1), unwrap)).otherwise(F.coalesce(short, F.lit(""))))
     return _let(answer, lambda a: F.when(is_placeholder(a), "").otherwise(a))
 
 
+def field_answer(x: Column) -> Column:
+    """The answer in a field of its own: an explicit one, else the field itself if it is short and has no sign of an explicit one."""
+    raw = strip(sanitize_boxed(x))
+    short = (F.char_length(raw) <= 120) & (F.size(F.split(raw, r"\s+")) <= 12) & ~raw.contains(BOX) & ~raw.rlike(EXPLICIT)
+    return F.when(is_placeholder(raw), "").otherwise(_let(explicit_answer(x), lambda a: F.when(a != "", a).when(short, raw).otherwise("")))
+
+
 def normalize_answer(x: Column) -> Column:
     """A comparison key: last box, no \\text wrapper, no white space, lower case; up to eight letters are sorted."""
     text = _let(boxed_all(strip(sanitize_boxed(x))), lambda b: F.when(F.size(b) > 0, F.element_at(b, -1)).otherwise(strip(sanitize_boxed(x))))

@@ -40,7 +40,11 @@ def classify(messages: DataFrame) -> DataFrame:
             "is_evaluation": stage.contains("evaluation") & ~stage.contains("hint") & ~memory & ~stage.contains("submission"),
         }
     )
-    polled = F.coalesce(F.nullif(X.json_field(F.col("extra_json"), "candidate_answer"), F.lit("")), F.nullif(F.regexp_extract("content", r"(?im)^\s*candidate\s*=\s*(.+?)\s*$", 1), F.lit(""))) if "extra_json" in messages.columns else F.lit(None).cast("string")
+    # A poll says its candidate in a field of its data, else in its last line for one.
+    line = F.try_element_at(F.regexp_extract_all("content", F.lit(r"(?im)^\s*candidate\s*=\s*(.+?)\s*$"), F.lit(1)), F.lit(-1))
+    data = X.field_answer(X.json_field(F.col("extra_json"), "candidate_answer")) if "extra_json" in messages.columns else F.lit("")
+    polled = F.coalesce(F.nullif(data, F.lit("")), X.field_answer(line))
+    polled = F.when((data != "") | line.isNotNull(), polled)
     own = X.explicit_answer(F.col("content"))
     answer = F.when(F.col("is_actor") & stage.startswith("poll_"), F.coalesce(polled, own)).when(F.col("is_actor") | F.col("is_submission"), own)
     return out.withColumns(

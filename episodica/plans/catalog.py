@@ -14,27 +14,7 @@ from ..operators import cells, events, reports, sampling, sequences, transitions
 from ..sources import files
 from ..streaming import live
 from . import adapter, sql
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    """Registers a function under its name; doubles are rounded to nine places, as the SQL does."""
-
-    def put(f: Callable[[SparkSession, str], DataFrame]):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            out = f(spark, sf_dir)
-            return out.select(*(F.round(c, 9).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes))
-
-        run.__name__, run.__doc__ = f.__name__, f.__doc__
-        QUERIES[f.__name__] = run
-        if oracle:
-            ORACLE[f.__name__] = oracle
-        return f
-
-    return put
-
+from .registry import ORACLE, QUERIES, query
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")

@@ -47,7 +47,7 @@ BROADCAST = """
       WHEN acted THEN 'actor_turn_has_no_subsequent_review_anchor' ELSE 'no_linked_later_actor_candidate' END AS exclusion_reason FROM i2)"""
 
 LABELS = """
-  f0 AS (SELECT *, count_if(kind IN ('pass', 'fail')) OVER (PARTITION BY uid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seg FROM s WHERE protocol = 'per' AND kind IN ('submission', 'pass', 'fail')),
+  f0 AS (SELECT *, coalesce(count_if(kind IN ('pass', 'fail')) OVER (PARTITION BY uid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM s WHERE protocol = 'per' AND kind IN ('submission', 'pass', 'fail')),
   f1 AS (SELECT *, last_value(CASE WHEN kind = 'submission' THEN lower(answer) END IGNORE NULLS) OVER w AS pa, last_value(CASE WHEN kind = 'submission' THEN seq END IGNORE NULLS) OVER w AS ps
     FROM f0 WINDOW w AS (PARTITION BY uid, seg ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   lab AS (SELECT uid, pa AS answer_key, CASE WHEN bool_and(kind = 'pass') = bool_or(kind = 'pass') THEN bool_and(kind = 'pass') END AS value, bool_and(kind = 'pass') <> bool_or(kind = 'pass') AS conflict,
