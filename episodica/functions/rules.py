@@ -1,12 +1,8 @@
-"""Answer equality that built-in expressions can't give: decimals of any form, and rules for written mathematics.
-
-Both work on Arrow batches; callers send only pairs whose texts differ.
-"""
+"""Answer equality: of numbers, natively, and by rules for written mathematics, on Arrow batches."""
 
 from __future__ import annotations
 
 import re
-from decimal import Decimal, InvalidOperation
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,27 +11,34 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
 
-def _number(text: str | None) -> Decimal | None:
-    try:
-        value = Decimal((text or "").replace(",", "").strip().rstrip("."))
-    except InvalidOperation:
-        return None
-    return value.normalize() if value.is_finite() else None
+_PLAIN = r"^[+-]?(\d+\.?\d*|\.\d+)$"
+_POWER = r"^[+-]?(\d+\.?\d*|\.\d+)[eE][+-]?\d+$"
 
 
-@pandas_udf(BooleanType())
-def _equal(a: pd.Series, b: pd.Series, tolerance: pd.Series) -> pd.Series:
-    out = []
-    for x, y, t in zip(a, b, tolerance, strict=True):
-        m, n = _number(x), _number(y)
-        out.append(m is not None and n is not None and abs(m - n) <= Decimal(str(t)))
-    return pd.Series(out)
+def _digits(t: Column) -> Column:
+    """One text for each plain decimal of any length: its sign, digits without leading zeros, point, digits without trailing zeros. Null for other texts."""
+    body = F.regexp_replace(t, "^[+-]", "")
+    whole = F.regexp_replace(F.regexp_extract(body, r"^(\d*)", 1), "^0+", "")
+    part = F.regexp_replace(F.regexp_extract(body, r"\.(\d*)$", 1), "0+$", "")
+    value = F.concat(whole, F.lit("."), part)
+    return F.when(t.rlike(_PLAIN), F.when(t.startswith("-") & (value != "."), F.concat(F.lit("-"), value)).otherwise(value))
+
+
+def numeric_equal(a: Column, b: Column, tolerance: float = 0.0) -> Column:
+    """Whether two texts are numbers within a tolerance; thousands' commas and an end's dots don't count. Plain decimals are compared exactly, whatever their length; powers of ten and tolerances by 38 digits, else as doubles."""
+    x, y = (F.rtrim(F.trim(F.replace(c, F.lit(","), F.lit(""))), F.lit(".")) for c in (a, b))
+    number = lambda t: t.rlike(_PLAIN) | t.rlike(_POWER)
+    exact = [t.try_cast("decimal(38,18)") for t in (x, y)]
+    rough = [t.try_cast("double") for t in (x, y)]
+    near = F.when(exact[0].isNotNull() & exact[1].isNotNull(), F.abs(exact[0] - exact[1]) <= F.lit(str(tolerance)).cast("decimal(38,18)")).otherwise(F.abs(rough[0] - rough[1]) <= tolerance)
+    same = near if tolerance else F.coalesce(_digits(x) == _digits(y), near)
+    return F.coalesce(number(x) & number(y) & same, F.lit(False))
 
 
 def exact_match(predicted: Column, label: Column, tolerance: float = 0.0) -> Column:
     """Equal numbers within a tolerance, else equal stripped texts; an empty prediction matches nothing."""
     a, b = F.trim(F.coalesce(predicted, F.lit(""))), F.trim(F.coalesce(label, F.lit("")))
-    return F.when(a == "", False).when(a == b, True).otherwise(_equal(a, b, F.lit(tolerance)))
+    return F.when(a == "", False).when(a == b, True).otherwise(numeric_equal(a, b, tolerance))
 
 
 # Spellings that mean the same.

@@ -23,22 +23,40 @@ def summary_counts() -> list[Column]:
     out += [count_if(conflict("before")).alias("before_conflict"), count_if(conflict("after")).alias("after_conflict"), count_if(conflict("before") | conflict("after")).alias("any_conflict")]
     for prefix, where in (("", F.lit(True)), ("strict_", F.col("bucket") == "strict_pre_gate"), ("gate_", F.col("bucket") == "gate_confounded")):
         out += [count_if(where & (F.col("transition_outcome") == o)).alias(f"{prefix}outcome_{o}") for o in OUTCOMES]
+        out += [count_if(where & labeled).alias(f"{prefix}correctness_pair_labeled")] if prefix else []
     return out
 
 
+def memory_counts() -> list[Column]:
+    """What review memory says; of rows with_memory()."""
+    route = F.col("route_observed")
+    return [count_if("memory_valid").alias("review_memory_provenance_valid"), count_if(route).alias("review_route_observed"), *(count_if(route & (F.col("action") == a)).alias(f"review_route_observed_action_{a}") for a in ACTIONS)]
+
+
 def cell_summary(labeled: DataFrame, by: list[str] = CELL) -> DataFrame:
-    """One pass, partial aggregation: every counter of a cell."""
-    return labeled.groupBy(*by).agg(*summary_counts())
+    """One pass, partial aggregation: every counter of a cell; those of review memory where the rows have it."""
+    return labeled.groupBy(*by).agg(*summary_counts(), *(memory_counts() if "route_observed" in labeled.columns else []))
+
+
+def pre_wrong_counts(labeled: DataFrame, by: list[str]) -> DataFrame:
+    """Labelled pairs that were wrong before: all, strict and gate-confounded ones, and the repaired among each."""
+    base = F.coalesce(~F.col("before_correct"), F.lit(False)) & F.col("after_correct").isNotNull()
+    parts = (("", base), ("strict_", base & F.col("strict")), ("gate_", base & (F.col("bucket") == "gate_confounded")))
+    return labeled.groupBy(*by).agg(*(f for p, c in parts for f in (count_if(c).alias(f"{p}labeled_pre_wrong"), count_if(c & (F.col("transition_outcome") == "repaired")).alias(f"{p}repaired"))))
+
+
+def _followed(prefix: str, here: Column) -> list[Column]:
+    """What became of answers that were wrong before, `here` being the rows: whether they changed, and to what if that is labelled."""
+    known = here & F.col("after_correct").isNotNull()
+    at = lambda o: known & (F.col("transition_outcome") == o)
+    cols = {"pairs": here, "changed": here & F.col("answer_changed"), "unchanged": here & ~F.col("answer_changed"), "labeled": known, "repaired": at("repaired"), "labeled_unchanged": at("unchanged"), "labeled_still_wrong": at("changed_still_wrong"), "changed_labeled": at("changed_still_wrong") | at("repaired")}
+    return [count_if(c).alias(f"{prefix}{n}") for n, c in cols.items()]
 
 
 def revise_counts(labeled: DataFrame, by: list[str]) -> DataFrame:
     """Counters of explicit revisions of answers that were wrong before, strict and gate-confounded."""
     wrong = (F.col("action") == "revise") & F.coalesce(~F.col("before_correct"), F.lit(False))
-    out = []
-    for p, bucket in (("strict", "strict_pre_gate"), ("gate", "gate_confounded")):
-        here = wrong & (F.col("bucket") == bucket)
-        out += [count_if(here).alias(f"{p}_pairs"), count_if(here & F.col("answer_changed")).alias(f"{p}_changed"), count_if(here & ~F.col("answer_changed")).alias(f"{p}_unchanged")]
-        out += [count_if(here & F.col("after_correct").isNotNull()).alias(f"{p}_labeled"), count_if(here & F.col("after_correct")).alias(f"{p}_repaired")]
+    out = [c for p, bucket in (("strict_", "strict_pre_gate"), ("gate_", "gate_confounded")) for c in _followed(p, wrong & (F.col("bucket") == bucket))]
     x = labeled.groupBy(*by).agg(*out)
     for p in ("strict", "gate"):
         x = x.withColumns({f"{p}_uptake": rate(F.col(f"{p}_changed"), F.col(f"{p}_pairs")), f"{p}_coverage": rate(F.col(f"{p}_labeled"), F.col(f"{p}_pairs")), f"{p}_repair": rate(F.col(f"{p}_repaired"), F.col(f"{p}_labeled"))})
@@ -46,10 +64,11 @@ def revise_counts(labeled: DataFrame, by: list[str]) -> DataFrame:
 
 
 def route_counts(labeled: DataFrame, by: list[str]) -> DataFrame:
-    """PER only: what changes if reviews of unknown action count as revisions too."""
-    per = labeled.where("protocol = 'per' AND before_correct = false AND answer_pair_parsed")
-    wide = F.col("action").isin("revise", "unknown")
-    return per.groupBy(*by).agg(count_if(F.col("action") == "revise").alias("explicit"), count_if(wide).alias("wide"), count_if((F.col("action") == "revise") & F.col("answer_changed")).alias("explicit_changed"), count_if(wide & F.col("answer_changed")).alias("wide_changed"))
+    """Strict PER pairs that were wrong before, if reviews of unknown action whose memory shows a route count as revisions too. labeled: with_memory()."""
+    explicit = F.col("action") == "revise"
+    linked = (F.col("action") == "unknown") & F.col("route_observed")
+    per = labeled.where("protocol = 'per' AND strict AND before_correct = false").where(explicit | linked)
+    return per.groupBy(*by).agg(count_if(explicit).alias("explicit"), count_if(linked).alias("linked_route"), *_followed("", F.lit(True)))
 
 
 def matrix(labeled: DataFrame, grid: DataFrame) -> DataFrame:
@@ -68,7 +87,7 @@ def matrix(labeled: DataFrame, grid: DataFrame) -> DataFrame:
     for k in parts:
         lo, hi = wilson(F.col(f"{k}_k"), F.col(f"{k}_n"))
         x = x.withColumns({f"{k}_rate": rate(F.col(f"{k}_k"), F.col(f"{k}_n")), f"{k}_lo": lo, f"{k}_hi": hi})
-    return x.withColumn("sparse", F.col("uptake_n") < 20)
+    return x.withColumns({"label_coverage": rate(F.col("repair_n"), F.col("uptake_n")), "sparse": F.col("uptake_n") < 20})
 
 
 def directions(m: DataFrame, by: list[str]) -> DataFrame:

@@ -107,19 +107,41 @@ def transitions(events: DataFrame) -> DataFrame:
 
 
 def memory_link(log: DataFrame) -> DataFrame:
-    """The event right after each PER review, checked as its memory record: uid, review_seq, link_status (reasons joined by | or linked)."""
+    """The event right after each PER review, checked as its memory record: uid, review_seq, memory_action, memory_valid, route_observed, link_status.
+
+    link_status is "linked" or all reasons against it, joined by |. Only a record without any counts. log: classified, with event_uid,
+    previous_event_uid and extra_json.
+    """
     w = Window.partitionBy("uid").orderBy("seq")
-    nxt = lambda c: F.lead(c).over(w)
-    m = log.withColumns({"n_seq": nxt("seq"), "n_stage": F.lower(nxt("stage")), "n_sender": F.lower(nxt("sender")), "n_type": nxt("event_type"), "n_extra": nxt("extra_json"), "n_prev": nxt("previous_event_uid")}).where("is_review AND protocol = 'per'")
-    field = lambda f: F.get_json_object("n_extra", f"$.candidate_memory_event.{f}")
-    payload = F.get_json_object("n_extra", "$.candidate_memory_event")
-    reasons = F.array_compact(F.array(
-        F.when(F.col("n_seq").isNull(), "missing_next_event"), F.when(F.col("n_seq") != F.col("seq") + 1, "sequence_gap"), F.when(F.col("n_type") != "meta", "event_type_mismatch"),
-        F.when(F.col("n_sender") != "system", "not_system_authored"), F.when(F.coalesce("n_extra", F.lit("")) == "", "missing_extra_json").when(payload.isNull(), "missing_candidate_memory_event"),
-        F.when(F.col("n_prev") != F.col("event_uid"), "previous_event_uid_mismatch"), F.when(F.lower(field("source")) != "reviewer", "source_mismatch"),
-        F.when(F.lower(field("authority")) != "reviewer", "authority_mismatch"), F.when(~F.col("n_stage").startswith(F.lower("stage")), "stage_mismatch"),
-    ))
-    return m.select("uid", F.col("seq").alias("review_seq"), F.when(F.size(reasons) == 0, "linked").otherwise(F.array_join(reasons, "|")).alias("link_status"))
+    cols = ["seq", "event_type", "sender", "role", "stage", "previous_event_uid", "extra_json"]
+    m = log.where("protocol = 'per'").withColumn("n", F.lead(F.struct(*cols)).over(w)).where("is_review")
+    clean = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    n, extra = F.col("n"), clean(F.col("n")["extra_json"])
+    payload = F.get_json_object(extra, "$.candidate_memory_event")
+    field = lambda f: clean(F.get_json_object(payload, f"$.{f}"))
+    unread = (
+        F.when(extra == "", "missing_extra_json").when(F.try_parse_json(extra).isNull(), "malformed_extra_json")
+        .when(~extra.startswith("{"), "extra_json_not_object").when(~F.coalesce(payload, F.lit("")).startswith("{"), "missing_candidate_memory_event")
+    )
+    stage, action = clean(F.col("stage")), field("action")
+    against = [
+        unread, F.when(n["seq"] != F.col("seq") + 1, "not_immediate_sequence"), F.when(F.lower(clean(n["event_type"])) != "summary", "event_type_not_summary"),
+        F.when((F.lower(clean(n["sender"])) != "system") | (F.lower(clean(n["role"])) != "system"), "not_system_authored"),
+        F.when((stage == "") | (clean(n["stage"]) != F.concat(stage, F.lit("_candidate_memory"))) | (field("stage") != stage), "stage_mismatch"),
+        F.when((clean(F.col("event_uid")) == "") | (clean(n["previous_event_uid"]) != clean(F.col("event_uid"))), "previous_event_uid_mismatch"),
+        F.when((field("source") == "") | (F.lower(field("source")) != F.lower(clean(F.col("sender")))), "source_mismatch"),
+        F.when(field("authority") != "internal_reviewer_suggestion", "authority_mismatch"), F.when(action == "", "missing_action"),
+    ]
+    status = F.when(n.isNull(), "no_immediate_next_event").otherwise(F.coalesce(F.nullif(F.concat_ws("|", *against), F.lit("")), F.lit("linked")))
+    x = m.select("uid", F.col("seq").alias("review_seq"), action.alias("memory_action"), status.alias("link_status"))
+    valid = F.col("link_status") == "linked"
+    return x.select("uid", "review_seq", "memory_action", valid.alias("memory_valid"), (valid & (F.col("memory_action") == "review_route")).alias("route_observed"), "link_status")
+
+
+def with_memory(labeled: DataFrame, links: DataFrame) -> DataFrame:
+    """Adds memory_valid and route_observed, false without a record."""
+    x = labeled.join(links.select("uid", "review_seq", "memory_valid", "route_observed"), ["uid", "review_seq"], "left")
+    return x.na.fill(False, ["memory_valid", "route_observed"])
 
 
 def outcome(before: Column, after: Column, bc: Column, ac: Column) -> Column:
@@ -132,20 +154,21 @@ def outcome(before: Column, after: Column, bc: Column, ac: Column) -> Column:
     )
 
 
-def frozen_labels(events: DataFrame) -> DataFrame:
-    """uid, answer_key, value, conflict, sources: what runtime verdicts say of submitted answers.
+def frozen_labels(events: DataFrame, finals: DataFrame | None = None) -> DataFrame:
+    """uid, answer_key, value, conflict, sources: what runtime verdicts, and final judgements if given, say of submitted answers.
 
-    A verdict takes the latest submission with an answer since the verdict before it; unequal verdicts on one key leave value null.
+    A verdict takes the latest submission with an answer since the verdict before it; unequal judgements of one key leave value null.
+    finals: uid, answer_key, value of each trajectory's final answer; those without an answer or a value say nothing.
     """
     e = events.where("is_submission OR verdict IS NOT NULL").withColumn("at", F.count_if(F.col("verdict").isNotNull()).over(_to(-1)))
     inside = Window.partitionBy("uid", "at").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     pending = F.last(F.when(F.col("is_submission") & F.col("answer_key").isNotNull(), F.struct("seq", "answer_key")), ignorenulls=True).over(inside)
     v = e.withColumn("pending", pending).where("verdict IS NOT NULL AND pending IS NOT NULL")
-    low, high = F.min("verdict"), F.max("verdict")
-    source = F.concat(F.lit("runtime_evaluator_submission_sequence_"), F.col("pending")["seq"])
-    return v.groupBy("uid", F.col("pending")["answer_key"].alias("answer_key")).agg(
-        F.when(low == high, low).alias("value"), (low != high).alias("conflict"), F.array_join(F.array_sort(F.collect_set(source)), "+").alias("sources"),
-    )
+    said = v.select("uid", F.col("pending")["answer_key"].alias("answer_key"), F.col("verdict").alias("value"), F.concat(F.lit("runtime_evaluator_submission_sequence_"), F.col("pending")["seq"]).alias("source"))
+    if finals is not None:
+        said = said.unionByName(finals.where("value IS NOT NULL AND answer_key <> ''").select("uid", "answer_key", "value", F.lit("trajectory_final_correct").alias("source")))
+    low, high = F.min("value"), F.max("value")
+    return said.groupBy("uid", "answer_key").agg(F.when(low == high, low).alias("value"), (low != high).alias("conflict"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"))
 
 
 def label(pairs: DataFrame, labels: DataFrame, aligned: bool = True) -> DataFrame:

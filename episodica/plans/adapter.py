@@ -55,6 +55,27 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def memory_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The PER part of the log with a memory record after most reviews, some of them broken; seq is twice that of steps()."""
+    base = messages(spark, sf_dir).where("protocol = 'per'").select(
+        "uid", (F.col("seq") * 2).alias("seq"), "protocol", "event_type", "stage", "sender", "role", "content", F.concat(F.lit("u"), F.col("seq")).alias("event_uid"),
+        F.lit(None).cast("string").alias("previous_event_uid"), F.lit(None).cast("string").alias("extra_json"), (F.col("k") % 10).alias("d"),
+    )
+    d = F.col("d")
+    said = F.to_json(F.struct(F.when(d < 3, "review_route").otherwise("review_note").alias("action"), F.lit("Reviewer").alias("source"), F.when(d == 6, "actor").otherwise("internal_reviewer_suggestion").alias("authority"), F.lit("reviewer_0").alias("stage")))
+    memory = base.where("stage = 'reviewer_0' AND d < 9").select(
+        "uid", (F.col("seq") + 1).alias("seq"), "protocol", F.when(d == 8, "meta").otherwise("summary").alias("event_type"), F.lit("reviewer_0_candidate_memory").alias("stage"), F.lit("system").alias("sender"), F.lit("system").alias("role"), F.lit("").alias("content"),
+        F.lit(None).cast("string").alias("event_uid"), F.when(d == 8, "u-1").otherwise(F.col("event_uid")).alias("previous_event_uid"), F.when(d == 7, "{broken").otherwise(F.concat(F.lit('{"candidate_memory_event": '), said, F.lit("}"))).alias("extra_json"), "d",
+    )
+    return base.unionByName(memory).drop("d")
+
+
+def finals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each PER trajectory's last submitted answer, and what its producer said of it: uid, answer_key, value (null for some)."""
+    s = steps(spark, sf_dir).where("protocol = 'per' AND kind = 'submission'")
+    return s.groupBy("uid").agg(F.lower(F.max_by("answer", "seq")).alias("answer_key")).withColumn("value", F.when(F.col("uid") % 5 != 0, F.col("uid") % 3 == 0))
+
+
 #: The same steps for DuckDB, from the kinds and answers, without any text.
 STEPS_SQL = """
   b AS (SELECT user_id AS uid, event_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq,

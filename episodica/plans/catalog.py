@@ -40,24 +40,20 @@ def _labels(log: DataFrame) -> DataFrame:
     return transitions.frozen_labels(log).withColumn("uid", F.explode(F.array("uid", F.col("uid") + 1)))
 
 
-def _labeled(spark: SparkSession, d: str, aligned: bool = False) -> DataFrame:
-    """Without the alignment condition of the strict gate, as the SQL of the queries over it says; see _aligned."""
+def _labeled(spark: SparkSession, d: str) -> DataFrame:
     log = _parsed(spark, d)
-    return _keys(transitions.label(transitions.transitions(log), _labels(log), aligned))
+    return _keys(transitions.label(transitions.transitions(log), _labels(log)))
 
 
-def _aligned(spark: SparkSession, d: str) -> DataFrame:
-    return _labeled(spark, d, True)
+def _remembered(spark: SparkSession, d: str) -> DataFrame:
+    """_labeled with what review memory says; the log with memory has every number twice as high."""
+    links = transitions.memory_link(events.classify(adapter.memory_log(spark, d))).withColumn("review_seq", (F.col("review_seq") / 2).cast("long"))
+    return transitions.with_memory(_labeled(spark, d), links)
 
 
 def also_aligned(f: Callable[..., DataFrame]):
-    """Registers the query once more, as NAME_aligned, over rows under the whole strict gate."""
-
-    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(spark, sf_dir, _aligned)
-
-    whole.__name__, whole.__doc__ = f"{f.__name__}_aligned", f.__doc__
-    query(ORACLE[f.__name__].replace(sql.LABELED, sql.ALIGNED))(whole)
+    """NAME_aligned is an older name of NAME."""
+    QUERIES[f"{f.__name__}_aligned"], ORACLE[f"{f.__name__}_aligned"] = QUERIES[f.__name__], ORACLE[f.__name__]
     return f
 
 
@@ -94,32 +90,49 @@ def label_conflicts(spark, d):
 
 @also_aligned
 @query(sql.labeled("SELECT uid, protocol, review_seq, status, before_key, after_key, before_correct, after_correct, strict, bucket, transition_outcome, answer_changed FROM l"))
-def labeled_transitions(spark, d, labeled=_labeled):
-    return labeled(spark, d).select("uid", "protocol", "review_seq", "status", "before_key", "after_key", "before_correct", "after_correct", "strict", "bucket", "transition_outcome", "answer_changed")
+def labeled_transitions(spark, d):
+    return _labeled(spark, d).select("uid", "protocol", "review_seq", "status", "before_key", "after_key", "before_correct", "after_correct", "strict", "bucket", "transition_outcome", "answer_changed")
 
 
 @also_aligned
 @query(sql.labeled(sql.summary("dataset, actor, protocol")))
-def per_cell_summary(spark, d, labeled=_labeled):
-    return cells.cell_summary(labeled(spark, d))
+def per_cell_summary(spark, d):
+    return cells.cell_summary(_remembered(spark, d))
 
 
 @also_aligned
 @query(sql.labeled(sql.revise("dataset, protocol")))
-def revise_conditioned(spark, d, labeled=_labeled):
-    return cells.revise_counts(labeled(spark, d), ["dataset", "protocol"])
+def revise_conditioned(spark, d):
+    return cells.revise_counts(_labeled(spark, d), ["dataset", "protocol"])
 
 
-@query(sql.labeled(f"""SELECT dataset, {sql.count("action = 'revise'")} AS explicit, {sql.count("action IN ('revise', 'unknown')")} AS wide, {sql.count("action = 'revise' AND answer_changed")} AS explicit_changed,
-  {sql.count("action IN ('revise', 'unknown') AND answer_changed")} AS wide_changed FROM l WHERE protocol = 'per' AND NOT before_correct AND answer_pair_parsed GROUP BY dataset"""))
+@query(sql.labeled(f"""SELECT dataset, {sql.count("action = 'revise'")} AS explicit, {sql.count("action = 'unknown'")} AS linked_route, count(*) AS pairs, {sql.count("answer_changed")} AS changed, {sql.count("NOT answer_changed")} AS unchanged,
+  {sql.count("after_correct IS NOT NULL")} AS labeled, {sql.count("after_correct AND answer_changed")} AS repaired, {", ".join(f"{sql.count('true' + c)} AS {n}" for n, c in sql.FOLLOWED)}
+  FROM l WHERE protocol = 'per' AND strict AND NOT before_correct AND (action = 'revise' OR (action = 'unknown' AND route_observed)) GROUP BY dataset"""))
 def route_sensitivity(spark, d):
-    return cells.route_counts(_labeled(spark, d), ["dataset"])
+    return cells.route_counts(_remembered(spark, d), ["dataset"])
+
+
+@query(sql.over("SELECT uid, review_seq * 2 AS review_seq, memory_action, link_status = 'linked' AS memory_valid, link_status = 'linked' AND memory_action = 'review_route' AS route_observed, link_status FROM me", sql.MEMORY))
+def memory_links(spark, d):
+    return transitions.memory_link(events.classify(adapter.memory_log(spark, d)))
+
+
+@query(sql.labeled(f"""SELECT dataset, actor, {", ".join(f"{sql.count(f'NOT before_correct AND after_correct IS NOT NULL{c}')} AS {p}labeled_pre_wrong, {sql.count(f'NOT before_correct AND after_correct AND answer_changed{c}')} AS {p}repaired"
+  for p, c in (("", ""), ("strict_", " AND strict"), ("gate_", " AND bucket = 'gate_confounded'")))} FROM l GROUP BY dataset, actor"""))
+def pre_wrong_labeled(spark, d):
+    return cells.pre_wrong_counts(_labeled(spark, d), ["dataset", "actor"])
+
+
+@query(sql.over("SELECT uid, answer_key, value, conflict, sources FROM labf", sql.LABELS, sql.FINALS))
+def frozen_labels_with_finals(spark, d):
+    return transitions.frozen_labels(_log(spark, d), adapter.finals(spark, d))
 
 
 @also_aligned
 @query(sql.labeled(f"""SELECT protocol, sum(strict_pairs)::BIGINT AS den, sum(strict_changed)::BIGINT AS num, {sql.rate("sum(strict_changed)", "sum(strict_pairs)")} AS rate, {sql.count("strict_pairs > 0")} AS cells FROM ({sql.revise("dataset, protocol")}) GROUP BY protocol"""))
-def pooled_uptake(spark, d, labeled=_labeled):
-    return cells.pooled(cells.revise_counts(labeled(spark, d), ["dataset", "protocol"]), ["protocol"], "strict_changed", "strict_pairs")
+def pooled_uptake(spark, d):
+    return cells.pooled(cells.revise_counts(_labeled(spark, d), ["dataset", "protocol"]), ["protocol"], "strict_changed", "strict_pairs")
 
 
 def _grid(spark: SparkSession) -> DataFrame:
@@ -127,28 +140,28 @@ def _grid(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f"d{i}", f"m{j}", p) for i in range(6) for j in range(2) for p in ("per", "broadcast")], "dataset string, actor string, protocol string")
 
 
-def _matrix(spark: SparkSession, d: str, labeled) -> DataFrame:
-    return cells.matrix(labeled(spark, d), _grid(spark))
+def _matrix(spark: SparkSession, d: str) -> DataFrame:
+    return cells.matrix(_labeled(spark, d), _grid(spark))
 
 
 @also_aligned
 @query(sql.matrix())
-def matrix_2x5(spark, d, labeled=_labeled):
-    return _matrix(spark, d, labeled)
+def matrix_2x5(spark, d):
+    return _matrix(spark, d)
 
 
 @also_aligned
 @query(sql.directions())
-def matrix_direction_counters(spark, d, labeled=_labeled):
-    return cells.directions(_matrix(spark, d, labeled), ["dataset", "actor"])
+def matrix_direction_counters(spark, d):
+    return cells.directions(_matrix(spark, d), ["dataset", "actor"])
 
 
 @also_aligned
 @query(sql.labeled("""SELECT dataset, actor, per_strict, broadcast_strict, CASE WHEN per_strict IS NULL OR broadcast_strict IS NULL THEN 'missing_protocol' WHEN per_strict = 0 OR broadcast_strict = 0 THEN 'refused_zero_strict'
   ELSE 'descriptive' END AS status FROM (SELECT dataset, actor, CASE WHEN bool_or(protocol = 'per') THEN count_if(protocol = 'per' AND bucket = 'strict_pre_gate')::BIGINT END AS per_strict,
   CASE WHEN bool_or(protocol = 'broadcast') THEN count_if(protocol = 'broadcast' AND bucket = 'strict_pre_gate')::BIGINT END AS broadcast_strict FROM l GROUP BY dataset, actor)"""))
-def comparison_gate(spark, d, labeled=_labeled):
-    return cells.comparison_status(cells.cell_summary(labeled(spark, d)), ["dataset", "actor"])
+def comparison_gate(spark, d):
+    return cells.comparison_status(cells.cell_summary(_labeled(spark, d)), ["dataset", "actor"])
 
 
 @query("SELECT unnest([" + ", ".join(f"'{v}'" for v in sql.VIOLATIONS) + "]) AS name, 0::BIGINT AS violations")
@@ -159,8 +172,8 @@ def partition_invariants(spark, d):
 
 @also_aligned
 @query(sql.labeled("SELECT protocol, to_json(list_sort(list(DISTINCT status)))::VARCHAR AS status_json, to_json(list_sort(list(DISTINCT bucket)))::VARCHAR AS bucket_json FROM l GROUP BY protocol"))
-def status_sets(spark, d, labeled=_labeled):
-    return cells.status_sets(labeled(spark, d), ["protocol"], "status", "bucket")
+def status_sets(spark, d):
+    return cells.status_sets(_labeled(spark, d), ["protocol"], "status", "bucket")
 
 
 @query(sql.labeled("SELECT protocol, status, count(*) AS n FROM l GROUP BY protocol, status"))
@@ -168,19 +181,16 @@ def status_counts(spark, d):
     return _labeled(spark, d).groupBy("protocol", "status").agg(F.count("*").alias("n"))
 
 
-@query(sql.labeled("SELECT uid, review_seq, dataset, actor, tier, problem FROM t JOIN (SELECT DISTINCT uid, dataset, actor, tier, problem FROM s WHERE tier IN (1, 2, 3)) USING (uid)"))
-def events_with_metadata(spark, d):
-    meta = adapter.steps(spark, d).select("uid", "dataset", "actor", "tier", "problem").distinct().where(F.col("tier").isin(1, 2, 3))
-    return transitions.transitions(_parsed(spark, d)).select("uid", "review_seq").join(meta, "uid")
-
-
 @query(sql.labeled("SELECT uid, review_seq, dataset, actor, tier, problem FROM t LEFT JOIN (SELECT DISTINCT uid, dataset, actor, tier, problem FROM s) USING (uid)"))
-def events_with_all_metadata(spark, d):
-    """events_with_metadata without its scope of tiers: every review, with its trajectory's metadata."""
+def events_with_metadata(spark, d):
+    """Every review, with its trajectory's metadata."""
     meta = adapter.steps(spark, d).select("uid", "dataset", "actor", "tier", "problem").distinct()
     return transitions.transitions(_parsed(spark, d)).select("uid", "review_seq").join(meta, "uid", "left")
 
 
+QUERIES["events_with_all_metadata"], ORACLE["events_with_all_metadata"] = QUERIES["events_with_metadata"], ORACLE["events_with_metadata"]  # an older name
+
+
 # Attempts
 
 
@@ -269,10 +279,10 @@ def feedback_incorporation(spark, d):
 @also_aligned
 @query(sql.labeled(f"""SELECT protocol, grouping(protocol) = 1 AS total, {sql.count("action = 'revise' AND NOT before_correct")} AS useful_revisions, {sql.count("action = 'revise' AND NOT before_correct AND strict")} AS eligible,
   {sql.count("action = 'revise' AND NOT before_correct AND strict AND answer_changed")} AS coupled, {sql.rate("count_if(action = 'revise' AND NOT before_correct AND strict AND answer_changed)", "count_if(action = 'revise' AND NOT before_correct AND strict)")} AS coupling FROM l GROUP BY GROUPING SETS ((), (protocol))"""))
-def strict_coupling_by_protocol(spark, d, labeled=_labeled):
+def strict_coupling_by_protocol(spark, d):
     useful = (F.col("action") == "revise") & F.coalesce(~F.col("before_correct"), F.lit(False))
     a, b = count_if(useful & F.col("strict")), count_if(useful & F.col("strict") & F.col("answer_changed"))
-    x = labeled(spark, d).rollup("protocol").agg((F.grouping("protocol") == 1).alias("total"), count_if(useful).alias("useful_revisions"), a.alias("eligible"), b.alias("coupled"))
+    x = _labeled(spark, d).rollup("protocol").agg((F.grouping("protocol") == 1).alias("total"), count_if(useful).alias("useful_revisions"), a.alias("eligible"), b.alias("coupled"))
     return x.withColumn("coupling", rate(F.col("coupled"), F.col("eligible")))
 
 
@@ -392,7 +402,7 @@ def hash_subset(spark, d):
 _BOOT = """
   st AS (SELECT protocol, problem, count_if(answer_changed)::BIGINT AS num, count_if(answer_pair_parsed)::BIGINT AS den FROM l GROUP BY ALL),
   un AS (SELECT *, row_number() OVER (PARTITION BY protocol ORDER BY problem) - 1 AS i, count(*) OVER (PARTITION BY protocol) AS n FROM st),
-  dr AS (SELECT protocol, rep, ('0x' || substr(md5('b|' || rep || '|' || i), 1, 8))::BIGINT % n AS i FROM un, range(1, 41) r(rep)),
+  dr AS (SELECT protocol, rep, ('0x' || substr(md5('b|' || rep || '|' || i), 1, 8))::BIGINT % n AS i FROM un, range(1, 1001) r(rep)),
   rp AS (SELECT protocol, rep, sum(num)::DOUBLE / nullif(sum(den), 0) AS rate FROM dr JOIN un USING (protocol, i) GROUP BY protocol, rep)"""
 
 
@@ -402,25 +412,20 @@ def _replicates(spark: SparkSession, d: str, replicates: int) -> DataFrame:
 
 
 def also_1000(f: Callable[..., DataFrame]):
-    """Registers the interval once more, as NAME_1000, from the reference's 1,000 replicates."""
-
-    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(spark, sf_dir, 1000)
-
-    whole.__name__, whole.__doc__ = f"{f.__name__}_1000", f.__doc__
-    query(ORACLE[f.__name__].replace("range(1, 41)", "range(1, 1001)"))(whole)
+    """NAME_1000 is an older name of NAME."""
+    QUERIES[f"{f.__name__}_1000"], ORACLE[f"{f.__name__}_1000"] = QUERIES[f.__name__], ORACLE[f.__name__]
     return f
 
 
 @also_1000
 @query(sql.over("SELECT protocol, count(rate) AS replicates, round(quantile_cont(rate, 0.025), 9) AS lo, round(quantile_cont(rate, 0.975), 9) AS hi FROM rp GROUP BY protocol", sql.PER, sql.BROADCAST, sql.LABELS, sql.LABELED, _BOOT))
-def bootstrap_ci(spark, d, replicates=40):
+def bootstrap_ci(spark, d, replicates=1000):
     return sampling.interval(_replicates(spark, d, replicates), ["protocol"])
 
 
 @also_1000
 @query(sql.over("SELECT 1 AS one, count(delta) AS replicates, round(quantile_cont(delta, 0.025), 9) AS lo, round(quantile_cont(delta, 0.975), 9) AS hi FROM (SELECT rep, max(CASE WHEN protocol = 'broadcast' THEN rate END) - max(CASE WHEN protocol = 'per' THEN rate END) AS delta FROM rp GROUP BY rep)", sql.PER, sql.BROADCAST, sql.LABELS, sql.LABELED, _BOOT))
-def paired_delta_ci(spark, d, replicates=40):
+def paired_delta_ci(spark, d, replicates=1000):
     side = lambda p: F.max(F.when(F.col("protocol") == p, F.col("rate")))
     x = _replicates(spark, d, replicates).groupBy("rep").agg((side("broadcast") - side("per")).alias("rate"))
     return sampling.interval(x.withColumn("one", F.lit(1)), ["one"])
@@ -543,17 +548,13 @@ def boxed_all(spark, d):
     return x.select("uid", "seq", text.boxed_all(F.col("content")).alias("boxes"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity = l_tax * 100 AS same FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_orderkey, l_linenumber, l_quantity = l_tax * 100 AS same FROM lineitem")
 def exact_match(spark, d):
-    x = _table(spark, d, "lineitem").where("l_linenumber = 1")
+    x = _table(spark, d, "lineitem")
     return x.select("l_orderkey", "l_linenumber", rules.exact_match(F.col("l_quantity").cast("string"), (F.col("l_tax") * 100).cast("string")).alias("same"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity = l_tax * 100 AS same FROM lineitem")
-def exact_match_all(spark, d):
-    """exact_match over every line."""
-    x = _table(spark, d, "lineitem")
-    return x.select("l_orderkey", "l_linenumber", rules.exact_match(F.col("l_quantity").cast("string"), (F.col("l_tax") * 100).cast("string")).alias("same"))
+QUERIES["exact_match_all"], ORACLE["exact_match_all"] = QUERIES["exact_match"], ORACLE["exact_match"]  # an older name
 
 
 @query()

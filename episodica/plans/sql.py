@@ -54,7 +54,7 @@ LABELS = """
     array_to_string(list_sort(list(DISTINCT 'runtime_evaluator_submission_sequence_' || ps)), '+') AS sources FROM f1 WHERE kind IN ('pass', 'fail') AND pa IS NOT NULL GROUP BY uid, pa),
   lab2 AS (SELECT uid, answer_key, value, conflict FROM lab UNION ALL SELECT uid + 1, answer_key, value, conflict FROM lab)"""
 
-LABELED = f"""
+_UNALIGNED = f"""
   t AS (SELECT * FROM per UNION ALL SELECT * FROM bro),
   t1 AS (SELECT t.*, b.value AS before_correct, a.value AS after_correct, b.conflict AS before_conflict, a.conflict AS after_conflict,
     t.before_key IS NOT NULL AND t.after_key IS NOT NULL AS answer_pair_parsed FROM t LEFT JOIN lab2 b ON b.uid = t.uid AND b.answer_key = t.before_key LEFT JOIN lab2 a ON a.uid = t.uid AND a.answer_key = t.after_key),
@@ -65,12 +65,24 @@ LABELED = f"""
       WHEN NOT before_correct AND NOT after_correct THEN 'changed_still_wrong' WHEN before_correct AND NOT after_correct THEN 'harmed' WHEN before_correct AND after_correct THEN 'changed_still_correct'
       ELSE 'changed_correctness_unlabeled' END AS transition_outcome, CASE WHEN answer_pair_parsed THEN before_key <> after_key END AS answer_changed, {KEYS} FROM t1)"""
 
-#: The same rows under the whole strict gate: a review that names another candidate than the answer before it isn't strict.
-ALIGNED = LABELED.replace("\n  l AS (", "\n  l0 AS (") + """,
-  named AS (SELECT uid, seq AS review_seq, lower(answer) AS reviewed FROM s WHERE protocol = 'per' AND kind = 'review' AND k < 40),
-  l1 AS (SELECT l0.*, reviewed IS NOT NULL AND before_key IS NOT NULL AND reviewed <> before_key AS mismatch FROM l0 LEFT JOIN named USING (uid, review_seq)),
+#: Under the whole strict gate: a review that names another candidate than the answer before it isn't strict. And what review memory says.
+LABELED = _UNALIGNED.replace("\n  l AS (", "\n  l0 AS (") + """,
+  named AS (SELECT uid, seq AS review_seq, CASE WHEN k < 40 THEN lower(answer) END AS reviewed, k % 10 < 6 AS memory_valid, k % 10 < 3 AS route_observed FROM s WHERE protocol = 'per' AND kind = 'review'),
+  l1 AS (SELECT l0.*, reviewed IS NOT NULL AND before_key IS NOT NULL AND reviewed <> before_key AS mismatch, coalesce(memory_valid, false) AS memory_valid, coalesce(route_observed, false) AS route_observed FROM l0 LEFT JOIN named USING (uid, review_seq)),
   l AS (SELECT * REPLACE (strict AND NOT mismatch AS strict, CASE WHEN bucket = 'strict_pre_gate' AND mismatch THEN 'other_non_strict' ELSE bucket END AS bucket) FROM l1)"""
 
+#: What the record after a review lacks, by the review's k.
+MEMORY = """
+  me0 AS (SELECT *, lead(kind) OVER (PARTITION BY uid ORDER BY seq) AS nk FROM s WHERE protocol = 'per'),
+  me AS (SELECT uid, seq AS review_seq, CASE WHEN k % 10 < 3 THEN 'review_route' WHEN k % 10 IN (7, 9) THEN '' ELSE 'review_note' END AS memory_action, CASE WHEN k % 10 < 6 THEN 'linked' WHEN k % 10 = 6 THEN 'authority_mismatch'
+    WHEN k % 10 = 7 THEN 'malformed_extra_json|stage_mismatch|source_mismatch|authority_mismatch|missing_action' WHEN k % 10 = 8 THEN 'event_type_not_summary|previous_event_uid_mismatch' WHEN nk IS NULL THEN 'no_immediate_next_event'
+    ELSE 'missing_extra_json|not_immediate_sequence|event_type_not_summary|' || CASE WHEN nk = 'submission' THEN '' ELSE 'not_system_authored|' END || 'stage_mismatch|previous_event_uid_mismatch|source_mismatch|authority_mismatch|missing_action' END AS link_status FROM me0 WHERE kind = 'review')"""
+
+FINALS = """
+  fl AS (SELECT uid, pa AS answer_key, kind = 'pass' AS value, 'runtime_evaluator_submission_sequence_' || ps AS source FROM f1 WHERE kind IN ('pass', 'fail') AND pa IS NOT NULL
+    UNION ALL SELECT uid, arg_max(lower(answer), seq), uid % 3 = 0, 'trajectory_final_correct' FROM s WHERE protocol = 'per' AND kind = 'submission' AND uid % 5 <> 0 GROUP BY uid),
+  labf AS (SELECT uid, answer_key, CASE WHEN bool_and(value) = bool_or(value) THEN bool_and(value) END AS value, bool_and(value) <> bool_or(value) AS conflict, array_to_string(list_sort(list(DISTINCT source)), '+') AS sources FROM fl GROUP BY uid, answer_key)"""
+
 ATTEMPTS = """
   a0 AS (SELECT *, 1 + coalesce(count_if(kind IN ('pass', 'fail')) OVER (PARTITION BY uid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS attempt, kind IN ('executor', 'submission') AS cand FROM s WHERE protocol = 'per'),
   att AS (SELECT uid, attempt, bool_or(kind = 'pass') AS passed, max(CASE WHEN kind IN ('pass', 'fail') THEN seq END) AS closed_seq, count(*) - 1 AS turns, arg_min(lower(answer), seq) FILTER (cand) AS first_key,
@@ -104,14 +116,20 @@ def summary(by: str) -> str:
     out += [f"{count(c)} AS {n}" for c, n in (("before_conflict", "before_conflict"), ("after_conflict", "after_conflict"), ("coalesce(before_conflict, false) OR coalesce(after_conflict, false)", "any_conflict"))]
     for prefix, where in (("", ""), ("strict_", "bucket = 'strict_pre_gate' AND "), ("gate_", "bucket = 'gate_confounded' AND ")):
         out += [f"""{count(f"{where}transition_outcome = '{o}'")} AS {prefix}outcome_{o}""" for o in OUTCOMES]
+        out += [f"""{count(f"{where}before_correct IS NOT NULL AND after_correct IS NOT NULL")} AS {prefix}correctness_pair_labeled"""] if prefix else []
+    out += [f"{count('memory_valid')} AS review_memory_provenance_valid", f"{count('route_observed')} AS review_route_observed", *(f"""{count(f"route_observed AND action = '{a}'")} AS review_route_observed_action_{a}""" for a in ACTIONS)]
     return f"SELECT {by}, {', '.join(out)} FROM l GROUP BY {by}"
 
 
+#: Labelled answers that were wrong before and stay, change and stay wrong, or change.
+FOLLOWED = (("labeled_unchanged", " AND after_correct IS NOT NULL AND NOT answer_changed"), ("labeled_still_wrong", " AND NOT after_correct AND answer_changed"), ("changed_labeled", " AND after_correct IS NOT NULL AND answer_changed"))
+
+
 def revise(by: str) -> str:
     out = []
     for p, b in (("strict", "strict_pre_gate"), ("gate", "gate_confounded")):
         h = f"action = 'revise' AND NOT before_correct AND bucket = '{b}'"
-        out += [f"{count(h + c)} AS {p}_{n}" for n, c in (("pairs", ""), ("changed", " AND answer_changed"), ("unchanged", " AND NOT answer_changed"), ("labeled", " AND after_correct IS NOT NULL"), ("repaired", " AND after_correct"))]
+        out += [f"{count(h + c)} AS {p}_{n}" for n, c in (("pairs", ""), ("changed", " AND answer_changed"), ("unchanged", " AND NOT answer_changed"), ("labeled", " AND after_correct IS NOT NULL"), ("repaired", " AND after_correct"), *FOLLOWED)]
     rates = [f"{rate(f'{p}_{a}', f'{p}_{b}')} AS {p}_{n}" for p in ("strict", "gate") for n, a, b in (("uptake", "changed", "pairs"), ("coverage", "labeled", "pairs"), ("repair", "repaired", "labeled"))]
     return f"SELECT *, {', '.join(rates)} FROM (SELECT {by}, {', '.join(out)} FROM l GROUP BY {by})"
 
@@ -134,7 +152,7 @@ def _wilson(k: str, sign: str) -> str:
 
 def matrix() -> str:
     cols = [f"{k}_k, {k}_n, round({k}_rate, 9) AS {k}_rate, {_wilson(k, '-')} AS {k}_lo, {_wilson(k, '+')} AS {k}_hi" for k in ("precision", "uptake", "repair")]
-    return over(f"SELECT dataset, actor, protocol, {', '.join(cols)}, sparse FROM m", PER, BROADCAST, LABELS, LABELED, MATRIX)
+    return over(f"SELECT dataset, actor, protocol, {', '.join(cols)}, {rate('repair_n', 'uptake_n')} AS label_coverage, sparse FROM m", PER, BROADCAST, LABELS, LABELED, MATRIX)
 
 
 def directions() -> str:
