@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import md5_draw, rate
+from ..sources.files import stored
 
 
 def pick(df: DataFrame, key: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -40,14 +41,27 @@ def hash_subset(df: DataFrame, stratum: str, key: str, n: int, salt: str) -> Dat
     return pick(df, [stratum], [F.sha2(F.concat(F.lit(salt), F.lit("|"), F.col(key).cast("string")), 256), F.col(key)], n)
 
 
+def ranged(stats: DataFrame, group: str, unit: str) -> DataFrame:
+    """The units in ranges, with the number of each unit's range. It must be stored before numbered() reads it twice, since ranges are drawn from samples."""
+    return stats.repartitionByRange(group, unit).withColumn("_range", F.spark_partition_id())
+
+
+def numbered(stats: DataFrame, group: str, unit: str) -> DataFrame:
+    """Adds _i, each unit's place in its group from 0, and _n, the group's size. Places are counted inside ranges; only the ranges' sizes are added up in one task for each group."""
+    sizes = stats.groupBy(group, "_range").agg(F.count("*").alias("_c"))
+    by = Window.partitionBy(group)
+    first = sizes.select(group, "_range", (F.sum("_c").over(by.orderBy("_range")) - F.col("_c")).alias("_first"), F.sum("_c").over(by).alias("_n"))
+    place = F.row_number().over(Window.partitionBy(group, "_range").orderBy(unit)) - 1
+    return stats.withColumn("_place", place).join(first, [group, "_range"]).withColumn("_i", F.col("_first") + F.col("_place")).drop("_place", "_first", "_range")
+
+
 def bootstrap(stats: DataFrame, group: str, unit: str, num: str, den: str, replicates: int, seed: str = "b") -> DataFrame:
-    """Ratios of sums over resampled units: group, rep, rate.
+    """Ratios of sums over resampled units: group, rep, rate. The units are stored once, in ranges, so that no task numbers a whole group.
 
     Units of a group are numbered; draw i of a replicate takes unit md5(seed, group, rep, i) mod n. Draws are counted by unit before they meet the statistics, so that
     what is shuffled is at most one row per unit and replicate; a paired comparison uses equal seeds over equal unit numbers.
     """
-    w = Window.partitionBy(group).orderBy(unit)
-    units = stats.withColumns({"_i": (F.row_number().over(w) - 1).cast("long"), "_n": F.count("*").over(Window.partitionBy(group))})
+    units = numbered(stored(ranged(stats, group, unit), "bootstrap-units"), group, unit)
     draws = units.select(group, "_n", F.col("_i").alias("_d"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
     taken = md5_draw(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), F.col("_d").cast("string")), F.col("_n"))
     times = draws.groupBy(group, "rep", taken.alias("_i")).agg(F.count("*").alias("times"))

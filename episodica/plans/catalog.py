@@ -25,8 +25,8 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    """The log without its texts, parsed once, for plans that read it in several branches."""
-    return files.stored(_log(spark, d).select(events.PARSED), "parsed-log")
+    """The log without its texts, parsed once a session, for plans that read it in several branches."""
+    return files.stored_once(spark, "parsed-log", f"{d}/events.parquet", lambda: _log(spark, d).select(events.PARSED))
 
 
 def _keys(df: DataFrame) -> DataFrame:
@@ -47,8 +47,8 @@ def _labeled(spark: SparkSession, d: str) -> DataFrame:
 
 def _remembered(spark: SparkSession, d: str) -> DataFrame:
     """_labeled with what review memory says; the log with memory has every number twice as high."""
-    links = transitions.memory_link(events.classify(adapter.memory_log(spark, d))).withColumn("review_seq", (F.col("review_seq") / 2).cast("long"))
-    return transitions.with_memory(_labeled(spark, d), links)
+    links = files.stored_once(spark, "memory-links", f"{d}/events.parquet", lambda: transitions.memory_link(events.classify(adapter.memory_log(spark, d))))
+    return transitions.with_memory(_labeled(spark, d), links.withColumn("review_seq", (F.col("review_seq") / 2).cast("long")))
 
 
 def also_aligned(f: Callable[..., DataFrame]):
@@ -58,7 +58,7 @@ def also_aligned(f: Callable[..., DataFrame]):
 
 
 def _attempts(spark: SparkSession, d: str) -> DataFrame:
-    return A.attempts(_log(spark, d).where("protocol = 'per'"))
+    return A.attempts(_parsed(spark, d).where("protocol = 'per'"))
 
 
 def _problems(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +70,7 @@ FIELDS = ", ".join(transitions.FIELDS)
 
 @query(sql.over(f"SELECT {FIELDS} FROM per", sql.PER))
 def per_transitions(spark, d):
-    return transitions.per_transitions(_log(spark, d)).select(*transitions.FIELDS)
+    return transitions.per_transitions(_parsed(spark, d)).select(*transitions.FIELDS)
 
 
 @query(sql.over(f"SELECT {FIELDS} FROM bro", sql.BROADCAST))
@@ -80,12 +80,12 @@ def broadcast_transitions(spark, d):
 
 @query(sql.over("SELECT uid, answer_key, value, conflict, sources FROM lab", sql.LABELS))
 def frozen_labels(spark, d):
-    return transitions.frozen_labels(_log(spark, d))
+    return transitions.frozen_labels(_parsed(spark, d))
 
 
 @query(sql.over(f"SELECT uid, count(*) AS keys, {sql.count('conflict')} AS conflicts FROM lab GROUP BY uid", sql.LABELS))
 def label_conflicts(spark, d):
-    return transitions.frozen_labels(_log(spark, d)).groupBy("uid").agg(F.count("*").alias("keys"), count_if(F.col("conflict")).alias("conflicts"))
+    return transitions.frozen_labels(_parsed(spark, d)).groupBy("uid").agg(F.count("*").alias("keys"), count_if(F.col("conflict")).alias("conflicts"))
 
 
 @also_aligned
@@ -126,7 +126,7 @@ def pre_wrong_labeled(spark, d):
 
 @query(sql.over("SELECT uid, answer_key, value, conflict, sources FROM labf", sql.LABELS, sql.FINALS))
 def frozen_labels_with_finals(spark, d):
-    return transitions.frozen_labels(_log(spark, d), adapter.finals(spark, d))
+    return transitions.frozen_labels(_parsed(spark, d), adapter.finals(spark, d))
 
 
 @also_aligned
@@ -295,12 +295,12 @@ _PROCESS = """
 
 @query(sql.over("""SELECT u.*, distinct_candidates, repeats, commonest, loops FROM (SELECT uid, round((max(n) - min(n))::DOUBLE / sum(n), 9) AS imbalance, count(*) AS speakers FROM (SELECT uid, sender, count(*) AS n FROM sp GROUP BY ALL) GROUP BY uid) u LEFT JOIN c2 USING (uid)""", _PROCESS))
 def diagnostics(spark, d):
-    return A.process(_log(spark, d))
+    return A.process(_parsed(spark, d))
 
 
 @query(sql.over("SELECT sender, count(*) AS turns, round(count(*)::DOUBLE / sum(count(*)) OVER (), 9) AS share FROM sp GROUP BY sender", _PROCESS))
 def turn_share(spark, d):
-    return A.turn_share(_log(spark, d))
+    return A.turn_share(_parsed(spark, d))
 
 
 # Sequences
@@ -533,7 +533,7 @@ def excerpt(spark, d):
 
 @query("SELECT uid, seq, answer_key FROM (" + sql.over("SELECT uid, seq, lower(answer) AS answer_key FROM s WHERE kind IN ('executor', 'submission', 'discussion')") + ")")
 def normalize_answer(spark, d):
-    return _log(spark, d).where("answer_key IS NOT NULL").select("uid", "seq", "answer_key")
+    return _parsed(spark, d).where("answer_key IS NOT NULL").select("uid", "seq", "answer_key")
 
 
 @query(sql.over("SELECT uid, seq, lower(answer) AS inner_key FROM s WHERE kind IN ('executor', 'submission', 'discussion')"))

@@ -42,6 +42,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def stored_once(spark: SparkSession, name: str, source: str, make) -> DataFrame:
+    """stored(make()), written once a session for one state of the files at `source`: their paths, sizes and times of change are part of the key."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    key = (spark.sparkContext.applicationId, name, *sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found))
+    if key not in _STORED:
+        _STORED[key] = stored(make(), name)
+    return _STORED[key]
+
+
 def messages(spark: SparkSession, path: str, schema: str = MESSAGES) -> DataFrame:
     """The message log as uid, seq and so on. A row without an index is placed where it arrived: by file and row in it."""
     df = spark.read.schema(schema).parquet(path).withColumns({"_f": F.col(_FILE), "_r": F.col("_metadata.row_index")})

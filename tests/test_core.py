@@ -173,3 +173,83 @@ def test_review_pairs_stream(spark, tmp_path):
     stream = live.read(spark, str(tmp_path / "in"), "uid long, seq long, kind string, answer_key string")
     drain(live.review_pairs(stream, None).writeStream.outputMode("append").format("memory").queryName("pairs"))
     assert sorted(map(tuple, spark.table("pairs").collect())) == [(1, 1, "a", "b", "actor"), (1, 3, "b", None, "submission")]
+
+
+def one(spark, *cols):
+    return spark.range(1).select(*cols).first()
+
+
+def test_boxes_are_unwrapped_to_any_depth(spark):
+    deep = "\\boxed{" * 5 + "7" + "}" * 5
+    assert one(spark, text.explicit_answer(F.lit(f"so {deep}")))[0] == "7"
+    assert one(spark, text.explicit_answer(F.lit("\\boxed{\\text{x} \\frac{1}{2}}")))[0] == "\\text{x} \\frac{1}{2}"
+
+
+def test_a_poll_says_its_last_candidate(spark):
+    rows = [(1, i, "broadcast", "summary", "poll_1", "M", "agent", t, x) for i, (t, x) in enumerate([("candidate = 3\nno, better:\ncandidate = 4", None), ("candidate = none", None), ("candidate = 3", '{"candidate_answer": "5"}'), ("candidate = \\boxed{9}", "")])]
+    got = events.classify(spark.createDataFrame(rows, BASE + ", extra_json string")).orderBy("seq").select("answer").collect()
+    assert [r.answer for r in got] == ["4", "", "5", "9"]
+
+
+@pytest.mark.parametrize(("change", "status"), [
+    ({}, "linked"), ({"extra": "{broken"}, "malformed_extra_json|stage_mismatch|source_mismatch|authority_mismatch|missing_action"), ({"extra": "[1]"}, "extra_json_not_object|stage_mismatch|source_mismatch|authority_mismatch|missing_action"),
+    ({"prev": "e7"}, "previous_event_uid_mismatch"), ({"source": "Executor"}, "source_mismatch"), ({"authority": "actor"}, "authority_mismatch"), ({"stage": "reviewer_1_candidate_memory"}, "stage_mismatch"), ({"seq": 5}, "not_immediate_sequence"),
+])
+def test_memory_records(spark, change, status):
+    said = f'{{"candidate_memory_event": {{"action": "review_route", "source": "{change.get("source", "reviewer")}", "authority": "{change.get("authority", "internal_reviewer_suggestion")}", "stage": "reviewer_0"}}}}'
+    rows = [
+        (1, 0, "per", "message", "executor_0", "Executor", "agent", "\\boxed{A}", "e0", None, None), (1, 1, "per", "message", "reviewer_0", "Reviewer", "agent", "It looks odd.", "e1", None, None),
+        (1, change.get("seq", 2), "per", "summary", change.get("stage", "reviewer_0_candidate_memory"), "system", "system", "", "e2", change.get("prev", "e1"), change.get("extra", said)),
+    ]
+    r = transitions.memory_link(events.classify(spark.createDataFrame(rows, BASE + ", event_uid string, previous_event_uid string, extra_json string"))).first()
+    assert (r.link_status, r.memory_valid, r.route_observed) == (status, status == "linked", status == "linked")
+
+
+def test_final_answers_label_and_conflict(spark):
+    e = events.classify(log(spark, "per", submit("A"), verdict("PASS")))
+    finals = spark.createDataFrame([(1, "a", False), (1, "b", True), (2, "", True), (3, "c", None)], "uid bigint, answer_key string, value boolean")
+    got = {(r.uid, r.answer_key): (r.value, r.conflict) for r in transitions.frozen_labels(e, finals).collect()}
+    assert got == {(1, "a"): (None, True), (1, "b"): (True, False)}
+
+
+def test_number_equality_against_decimals(spark):
+    from decimal import Decimal, InvalidOperation
+
+    def value(t):
+        try:
+            v = Decimal(t.replace(",", "").strip().rstrip("."))
+        except InvalidOperation:
+            return None
+        return v if v.is_finite() else None
+
+    texts = ["1", "01.0", "1.", "-0", "0.00", "1,000", "1000.0", "1e3", "1E+3", ".5", "-.50", "x", "", "inf", "nan", "1" * 60, "1" * 60 + ".0", "1" * 59 + "2", "0." + "3" * 50, "0." + "3" * 49 + "4", "+7", "7"]
+    rows = [(a, b) for a in texts for b in texts]
+    d = spark.createDataFrame(rows, "a string, b string")
+    for r in d.select("a", "b", rules.numeric_equal(F.col("a"), F.col("b")).alias("same")).collect():
+        assert r.same == (value(r.a) is not None and value(r.a) == value(r.b)), r
+    assert one(spark, rules.numeric_equal(F.lit("0.3"), F.lit("0.2"), 0.1), rules.numeric_equal(F.lit("0.31"), F.lit("0.2"), 0.1)) == (True, False)
+
+
+def test_small_text_functions(spark):
+    f, lit = text, F.lit
+    got = one(
+        spark, f.metric_safe(lit("Solver #1 (a)")), f.number_text(lit(3.0)), f.number_text(lit(0.25)), f.route(lit("[ROUTE_PLANNER] x")), f.route(lit("route to: executor")), f.compact(lit("<b>a</b>  b"), 20), f.compact(lit("abcdefgh"), 6),
+        f.redact(lit("key ab and abc"), F.array(lit("ab"), lit("abc"))), f.first_real(lit(" "), lit("none"), lit("x")), f.two_bool(lit("True")), f.two_bool(lit("1")), f.final_answer(lit("a\n b. \n")), f.last_number(lit("3 then 1,250.5 end")),
+        f.tokens_approx(lit(" a b  c ")), f.candidate_key(lit("A b")), F.length(f.signature(lit("p"), lit("g"))),
+    )
+    assert tuple(got) == ("solver_1_a", "3", "0.25", "planner", "executor", "a b", "abc...", "key [redacted] and [redacted]", "x", True, False, "b", "1250.5", 3, "ab", 64)
+
+
+def test_streamed_windows_sessions_and_once_equal_batch(spark, tmp_path):
+    rows = [(i, f"u{i % 3}", f"2024-01-01 00:{i:02d}:00") for i in range(0, 50, 3)] + [(99, "u1", "2024-01-02 00:00:00")]
+    d = spark.createDataFrame(rows + rows[:4], "id long, user string, at string").withColumn("ts", F.to_timestamp("at")).drop("at")
+    d.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: live.read(spark, str(tmp_path / "in"), "id long, user string, ts timestamp")
+    cases = {"t": lambda x: live.tumbling(x, "ts", "10 minutes", ["user"]), "s": lambda x: live.sessions(x, "ts", "5 minutes", ["user"]), "o": lambda x: live.once(x, ["id"], "ts")}
+    for name, make in cases.items():
+        q = make(stream()).writeStream.format("memory").queryName(f"live_{name}").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        want = make(d)
+        if name != "o":
+            want = want.where("start < '2024-01-02'")  # the last window stays open
+        assert sorted(map(tuple, spark.table(f"live_{name}").collect())) == sorted(map(tuple, want.collect()))
