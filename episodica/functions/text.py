@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Closed sets of texts that stand for no answer.
 NO_ANSWER = ["", ".", "..", "...", "…", "none", "[none]", "null", "n/a", "[no candidate answer]", "[no extracted final answer]", "no solution yet", "no advice yet"]
-#: What the log calls an answer: fixed wording and its longest length.
+# The wording by which the log names an answer, and how long it may be.
 EXPLICIT = r"(?i)(?:final\s+answer|answer)\s*(?:is|:)\s*([^\n]{1,160})"
 BOX = "\\boxed{"
 _EDGES = r"^\s+|\s+$"
@@ -116,6 +116,9 @@ def last_number(x: Column) -> Column:
     return F.replace(F.try_element_at(F.regexp_extract_all(F.coalesce(boxed_last(x), x), F.lit(r"(-?\d[\d,]*(?:\.\d+)?)"), F.lit(1)), F.lit(-1)), F.lit(","), F.lit(""))
 
 
+# Fixed values in the patterns below: the log's names of its fields (evaluation signal, review position, source, candidate under review).
+
+
 def pass_fail(x: Column) -> Column:
     """True, False or null from an evaluator's text."""
     t = strip(F.coalesce(x, F.lit("")))

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 FIELDS = ["uid", "protocol", "review_seq", "review_number", "action", "before_seq", "before_key", "after_seq", "after_key", "actor_turn_observed", "updates", "status", "exclusion_reason"]
 
 
+# The status, reason, outcome, bucket and link texts below are what readers of the results look for.
+
+
 def _w() -> Window:
     return Window.partitionBy("uid").orderBy("seq")
 
