@@ -4,8 +4,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from episodica.functions import rules, text
-from episodica.operators import cells, events, reports, sampling, sequences, transitions
+from episodica.functions import outputs, rules, text
+from episodica.operators import cells, events, reports, runs, sampling, sequences, transitions
 from episodica.sources import files
 from episodica.streaming import live
 
@@ -253,3 +253,42 @@ def test_streamed_windows_sessions_and_once_equal_batch(spark, tmp_path):
         if name != "o":
             want = want.where("start < '2024-01-02'")  # the last window stays open
         assert sorted(map(tuple, spark.table(f"live_{name}").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_json_objects_in_odd_texts(spark):
+    texts = {
+        '{"a": 1, "b": {"c": "x } y"}}': (1, "x } y"), 'pre {not json} then {"a": 2}': (2, None), "{'a': 3, 'b': {'c': 'it'}": (3, "it"), '```json\n{"a": 4,}\n```': (4, None),
+        '{a: 5, "b": {"c": null': (5, None), "“a”": None, "[1, 2]": None, "": None, '{"b": {"c": "say \\"{\\""}, "a": 6}': (6, 'say "{"'), "none": None, "x" * 20000 + ' {"a": 7}': (7, None),
+        '{"z": {"y": {"x": {"w": {"v": 1}}}}, "a": 8}': (8, None),
+    }
+    d = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", outputs.json_object(F.col("t"), "a int, b struct<c: string>").alias("o"))
+    for r in d.collect():
+        want = texts.get(r.t)
+        assert (None if r.o is None else (r.o.a, r.o.b and r.o.b.c)) == want, r.t
+
+
+def test_fields_scores_and_decisions_of_missing_texts(spark):
+    d = spark.createDataFrame([(None,), ("",)], "t string")
+    t = F.col("t")
+    for r in d.select(outputs.int_field(t, "score"), outputs.bool_field(t, "ok", True), outputs.boxed_field(t, ["x"]), outputs.scored(t, ["A"]), outputs.critique(t), outputs.judge_report(t), outputs.fail_route(t, t), outputs.authority(t, t, t)).collect():
+        assert (r[0], r[1], r[2], r[3], tuple(r[4]), tuple(r[5]), r[6], r[7]) == (1, True, "", None, (False, ""), (None, None, None), "planner", "internal_observation")
+
+
+def test_run_without_examples_and_without_scores(spark):
+    schema = "uid long, seq long, round long, event_type string, stage string, sender string, content string"
+    none = runs.collect(spark.createDataFrame([], schema))
+    extra = {"first_success": F.lit(None).cast("long"), "attempts": F.lit(None).cast("long"), "tokens": F.lit(3).cast("long")}
+    assert none.count() == 0 and set(runs.summary(none.withColumns(extra)).first()) == {0}
+    one = runs.collect(spark.createDataFrame([(1, 0, 0, "message", "poll_1", "A", "score = 900"), (1, 1, 0, None, "poll_1", None, None), (1, 2, 0, "message", "executor", "A", "so \\boxed{7}")], schema))
+    r = one.first()
+    assert (r.messages, r.polls, r.confidence_sum, r.correct, r.predicted, r.first_passed) == (2, 2, 101, -1, "7", None)
+    s = runs.summary(one.withColumns(extra)).first()
+    assert (s.examples, s.scored, s.accuracy, s.avg_tokens, s.avg_confidence) == (1, 0, 0, 3, 50.5)
+    assert runs.pass_at_attempt(one.withColumns(extra)).count() == 0
+
+
+def test_label_cache_takes_the_last_row_and_null_parts(spark):
+    cache = spark.createDataFrame([("p", None, "a", True, 1), ("p", "", "a", False, 2), ("q", None, "a", True, 1)], "problem string, gold string, answer string, value boolean, position long")
+    asked = spark.createDataFrame([(1, "p", None, "a", None), (2, "p", "", "a", True), (3, "r", None, "a", None)], "id long, problem string, gold string, answer string, runtime boolean")
+    got = {r.id: (r.value, r.source) for r in runs.look_up(asked, cache, ["problem", "gold", "answer"]).collect()}
+    assert got == {1: (False, "cache"), 2: (True, "runtime_evaluator"), 3: (None, None)}
