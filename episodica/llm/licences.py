@@ -26,18 +26,48 @@ SENTENCES = {
     "cc_by4": ["Licensed under CC BY 4.0", "This work is licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc_by_sa4": ["Licensed under CC BY-SA 4.0", "This work is licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "cc0": ["Licensed under CC0 1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
+    "gpl2_free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
+    "gpl2_name": ["Licensed under the GNU General Public License, version 2", "Released under the GNU General Public License, version 2"],
+    "lgpl21_free": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
+    "lgpl3_free": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "agpl3_free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "isc_grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "unlicense": ["This is free and unencumbered software released into the public domain"],
+    "bsl_grant": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"],
+    "epl2_name": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution"],
+    "zlib_as_is": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib_grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "bsd3_name": ["Licensed under the BSD 3-Clause License", "Released under the BSD 3-Clause License", "BSD 3-Clause License"],
+    "bsd2_name": ["Licensed under the BSD 2-Clause License", "Released under the BSD 2-Clause License", "BSD 2-Clause License"],
     "reserved": ["All rights reserved"],
 }
+# Short names of licences that a tag may give.
+TAGGED = ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "ISC", "BSL-1.0", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0"]
+TAG = "SPDX-License-Identifier:"
+SENTENCES |= {f"tag_{x}": [f"{TAG} {x}"] for x in TAGGED}
 # Ordered rules: a rule fits where its identifiers follow each other; the first rule that fits names the licence.
 RULES = [
+    *((x, [f"tag_{x}"]) for x in TAGGED),
     ("Apache-2.0", ["apache2_name", "apache2_copy", "apache2_as_is"]),
     ("MIT", ["mit_grant", "mit_notice"]),
     ("GPL-3.0-or-later", ["gpl_free", "gpl_hope"]),
     ("BSD-3-Clause", ["bsd_grant", "bsd_endorse", "bsd_warranty"]),
     ("BSD-2-Clause", ["bsd_grant", "bsd_warranty"]),
+    ("AGPL-3.0-or-later", ["agpl3_free"]),
+    ("LGPL-3.0-or-later", ["lgpl3_free"]),
+    ("LGPL-2.1-or-later", ["lgpl21_free"]),
+    ("Zlib", ["zlib_as_is", "zlib_grant"]),
+    ("BSL-1.0", ["bsl_grant"]),
+    ("ISC", ["isc_grant"]),
+    ("Unlicense", ["unlicense"]),
+    ("EPL-2.0", ["epl2_name"]),
     ("Apache-2.0", ["apache2_name"]),
     ("GPL-3.0-or-later", ["gpl_free"]),
+    ("GPL-2.0-or-later", ["gpl2_free"]),
     ("GPL-3.0-only", ["gpl3_name"]),
+    ("GPL-2.0-only", ["gpl2_name"]),
+    ("BSD-3-Clause", ["bsd3_name"]),
+    ("BSD-2-Clause", ["bsd2_name"]),
     ("MPL-2.0", ["mpl2_name"]),
     ("MIT", ["mit_grant"]),
     ("MIT", ["mit_name"]),
@@ -50,8 +80,11 @@ RULES = [
 # Sentences as the SQL sees them.
 END = r"[.!?:;]+[ \t\r\n]+|\n+|[.!?:;]+\z"
 OTHER = r"[^a-z0-9\n]+"
+# The tag's colon ends no sentence for either.
+TAG_END = ("license-identifier:", "license-identifier ")
 # Sentences as scan() sees them: marks that begin a line (comments, bullets) go, `v. 2` is no end, and so is a single line break.
 STEPS = [
+    TAG_END,
     (r"(\A|\n)[^a-z0-9\n]+", "$1"),
     (r"\bv\.[ \t\r\n]+(?=[0-9])", "v "),
     (r"(?<![.!?:;])[.!?:;]++(?:[ \t\r\n]+|\z)|\n[^a-z0-9]*\n", "\u0001"),
@@ -71,7 +104,7 @@ def marked(text: Column) -> Column:
 
 def notices() -> dict[str, str]:
     """The words of a notice, ` . ` between its sentences -> identifier."""
-    ends = lambda s: re.split(r"[.!?:;]+(?:\s+|\Z)", re.sub(r"\bv\.\s+(?=\d)", "v ", s.lower()))
+    ends = lambda s: re.split(r"[.!?:;]+(?:\s+|\Z)", re.sub(r"\bv\.\s+(?=\d)", "v ", s.lower().replace(*TAG_END)))
     return {" . ".join(" ".join(re.findall("[a-z0-9]+", x)) for x in ends(s) if x): name for name, said in SENTENCES.items() for s in said}
 
 
@@ -82,7 +115,7 @@ def pattern() -> str:
 
 
 def normal(sentence: str) -> list[str]:
-    text = re.sub(OTHER, " ", re.sub(END.replace(r"\z", r"\Z"), "\n", sentence.lower()))
+    text = re.sub(OTHER, " ", re.sub(END.replace(r"\z", r"\Z"), "\n", sentence.lower().replace(*TAG_END)))
     return [s.strip() for s in text.split("\n") if s.strip()]
 
 
@@ -118,7 +151,7 @@ def oracle() -> str:
     fits = ", ".join(f"CASE WHEN contains(line, {q(' ' + ' '.join(seq) + ' ')}) THEN {q(name)} END" for name, seq in RULES)
     return f"""
     WITH s AS (
-      SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(lower(coalesce(text, '')),
+      SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(replace(lower(coalesce(text, '')), {q(TAG_END[0])}, {q(TAG_END[1])}),
         {q(END)}, chr(10), 'g'), {q(OTHER)}, ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: list_contains([{keys}], x)) AS said
       FROM documents),
     i AS (SELECT doc_id, list_transform(said, lambda x: list_extract([{values}], list_position([{keys}], x))) AS ids FROM s),

@@ -315,6 +315,10 @@ def test_licences_wrapped_over_lines(spark):
     licence = {k: " ".join(licences.SENTENCES[n][0 if n == "mpl2_name" else -1] + "." for n in v) for k, v in want.items()}
     cases = [(k, ",".join(v), f"int x;\n\n{wrap(licence[k], mark)}\n{mark}\n{mark}more text") for k, v in want.items() for mark in ("", "# ", " * ", "// ", "; ", "-- ")]
     cases += [(None, "", t) for t in ("2.0", "Version: 2.0", "see\n2.0\nthere", "Apache License, v. 2.0", "you can redistribute it", full("gpl_hope").split("; ")[1], "the MIT License is short")]
+    tag = "SPDX-License-Identifier: "
+    cases += [("Apache-2.0", "tag_Apache-2.0", f"/* {tag}Apache-2.0 */\nint x;"), ("GPL-2.0-or-later", "tag_GPL-2.0-or-later", f"# {tag}GPL-2.0-or-later\n"), (None, "", f"{tag}MIT OR ISC"), (None, "", "MIT"), (None, "", "ISC\nApache-2.0")]
+    more = {"GPL-2.0-or-later": ["gpl2_free"], "LGPL-2.1-or-later": ["lgpl21_free"], "LGPL-3.0-or-later": ["lgpl3_free"], "AGPL-3.0-or-later": ["agpl3_free"], "ISC": ["isc_grant"], "BSL-1.0": ["bsl_grant"], "Zlib": ["zlib_as_is", "zlib_grant"], "Unlicense": ["unlicense"]}
+    cases += [(k, ",".join(v), f"x\n\n{wrap(full(*v), mark)}\n\ny") for k, v in more.items() for mark in ("", " * ", "// ")]
     cases += [("MIT", "mit_name", "a line\nMIT License\nanother line"), ("Apache-2.0", "apache2_name", "Licensed under the Apache License,\r\nVersion 2.0\r\n")]
     d = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(cases)], "doc_id long, text string")
     got = {r["doc_id"]: (r["licence"], r["sentence_ids"]) for r in licences.scan(d).collect()}
