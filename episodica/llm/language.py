@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,13 @@ REMEMBERED = 300_000
 BENEFIT = 12
 
 
+#: Scripts written without blanks: Thai to Tibetan, Burmese, Khmer, kana, Han. Each of their signs is a word.
+_UNSPACED = re.compile("([\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff])")
+
+
 def words_of(text: str) -> list[bytes]:
+    if not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \1 ", text)
     return text.lower().encode("utf-8", "replace").translate(_APART).split()
 
 
@@ -187,9 +194,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     spans array<struct<lang, start, stop>> (in words, stop excluded).
 
     Letters of scripts that no learned language uses, and of spans that read far less like their language than learned text does,
-    are no language's but count in the whole, so that the score says how sure lang_pred is; such spans aren't returned.
-    Rows are independent; nothing is shuffled. Null texts, texts without a letter or without a span of a learned language, or a
-    model without languages, give `und` with score 0 and no spans. Ties go to the language that comes first by name. A null id counts as held out. Repeated rows
+    are no language's but count in the whole, so that the score says how sure lang_pred is; such spans aren't returned. A text of such
+    letters only still gets the likeliest language, with score 0 and no spans. Signs of scripts written without blanks are words.
+    Rows are independent; nothing is shuffled. Null texts, texts without a letter, or a model without languages, give `und` with
+    score 0 and no spans. Ties go to the language that comes first by name. A null id counts as held out. Repeated rows
     pass through, an empty table gives an empty result, long texts are read whole, other columns are ignored.
     """
     kept = list(dict.fromkeys(c for c in (id_col, *keep)))
@@ -218,7 +226,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                         size = np.where(likely + BENEFIT * model.usual[lang] >= model.least[lang] * (size + BENEFIT), size, 0)
                     letters = np.bincount(lang, size, minlength=len(langs))
                     best = int(letters.argmax())
-                    if letters[best]:
+                    if not letters[best]:
+                        out[i] = (langs[int(np.bincount(lang, np.add.reduceat(used, first), minlength=len(langs)).argmax())], 0.0, [])
+                    else:
                         spans = [{"lang": langs[x], "start": a, "stop": b} for x, n, a, b in zip(lang.tolist(), size.tolist(), cuts.tolist(), cuts[1:].tolist(), strict=False) if n]
                         out[i] = (langs[best], float(letters[best] / scorer.letters[at].sum()), spans)
             return out

@@ -250,6 +250,17 @@ def test_language_spans(spark):
     assert [got[i]["lang_pred"] for i in (2, 3, 4, 5)] == ["und", "und", "ru", "und"] and 0.5 < got[1]["score"] < 1
 
 
+def test_language_of_unlike_texts(spark):
+    rng, langs = random.Random(4), {"en": "the of and is was with that".split(), "zh": ["我们的语言", "这是一个", "不是他们"]}
+    rows = [(i, prose(rng, 40, langs[x]), x) for i, x in enumerate(rng.choice(list(langs)) for _ in range(300))]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    test = [(1, "это что как не был"), (2, "zxqj qqkz vvxw " * 20), (3, "这是我们的the language of that这是一个"), (4, "ª"), (5, "、。！")]
+    got = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(test, "doc_id long, text string"), model).collect()}
+    assert got[1]["lang_pred"] in langs and got[2]["lang_pred"] in langs and got[4]["lang_pred"] in langs and got[5]["lang_pred"] == "und"
+    assert (got[1]["score"], got[2]["score"], got[1]["spans"], got[2]["spans"]) == (0, 0, [], [])
+    assert [(s["lang"], s["start"], s["stop"]) for s in got[3]["spans"]] == [("zh", 0, 5), ("en", 5, 9), ("zh", 9, 13)]
+
+
 def test_viterbi_against_all_paths():
     import itertools
 
