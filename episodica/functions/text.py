@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Closed sets of texts that stand for no answer.
 NO_ANSWER = ["", ".", "..", "...", "…", "none", "[none]", "null", "n/a", "[no candidate answer]", "[no extracted final answer]", "no solution yet", "no advice yet"]
+# Texts of a turn that say nothing.
+NOTHING_SAID = ["", "[empty]", "[none]", "none", "n/a", "na", "no comment", "no comments", "no feedback", "no substantive feedback", "nothing to add", "skip", "pass", "[]", "{}", '""', "''"]
 # The wording by which the log names an answer, and how long it may be.
 EXPLICIT = r"(?i)(?:final\s+answer|answer)\s*(?:is|:)\s*([^\n]{1,160})"
 BOX = "\\boxed{"
@@ -70,6 +72,12 @@ def is_placeholder(x: Column) -> Column:
     return F.lower(strip(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))).isin(NO_ANSWER)
 
 
+def meaningful(x: Column) -> Column:
+    """Whether a turn says something: a box, or four characters and more that aren't a filler."""
+    said = F.lower(strip(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " ")))
+    return ~said.isin(NOTHING_SAID) & (F.coalesce(x, F.lit("")).contains(BOX) | (F.char_length(said) >= 4))
+
+
 def explicit_answer(x: Column) -> Column:
     """The last box, unwrapped as long as it holds boxes; else the last "final answer is"; '' for placeholders, long prose and nothing."""
     raw = strip(sanitize_boxed(x))

@@ -71,6 +71,13 @@ def route_counts(labeled: DataFrame, by: list[str]) -> DataFrame:
     return per.groupBy(*by).agg(count_if(explicit).alias("explicit"), count_if(linked).alias("linked_route"), *_followed("", F.lit(True)))
 
 
+def route_cells(labeled: DataFrame, by: list[str] = CELL) -> DataFrame:
+    """route_counts() of every cell, with zeros where it has no such pair. labeled: with_memory()."""
+    here = (F.col("protocol") == "per") & F.col("strict") & F.coalesce(~F.col("before_correct"), F.lit(False))
+    explicit, linked = here & (F.col("action") == "revise"), here & (F.col("action") == "unknown") & F.col("route_observed")
+    return labeled.groupBy(*by).agg(count_if(explicit).alias("explicit"), count_if(linked).alias("linked_route"), *_followed("", explicit | linked))
+
+
 def matrix(labeled: DataFrame, grid: DataFrame) -> DataFrame:
     """The dense matrix: precision, uptake and repair of each grid cell, each as (successes, n, rate, Wilson bounds); cells without rows have n = 0."""
     revise = F.col("action") == "revise"

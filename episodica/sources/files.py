@@ -144,6 +144,29 @@ def write_table(df: DataFrame, path: str, fields: list[str], sep: str = ",") ->
     df.select(*map(cell, fields)).write.mode("overwrite").csv(path, header=True, sep=sep, escape='"', nullValue="", emptyValue="")
 
 
+def best_sidecar(spark: SparkSession, path: str, stems: list[str], suffix: str = ".metrics.jsonl") -> DataFrame:
+    """The metrics file of a folder to read, as `path` and `lines`: one named like a trace if there is any, then the one with the most lines that aren't blank, the latest, the last by name. No row if the folder has none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    # Spark's own listing leaves empty files out.
+    listed = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, f"*{suffix}"))
+    found = spark.createDataFrame([(s.getPath().toString(), s.getModificationTime(), s.getPath().getName()) for s in listed], "path string, modified bigint, name string")
+    lines = spark.read.option("pathGlobFilter", f"*{suffix}").text(path).where("trim(value) <> ''").groupBy(F.col(_FILE).alias("path")).agg(F.count("*").alias("lines"))
+    same = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  both readers name a local file in their own way
+    x = found.withColumn("_at", same("path")).join(lines.select(same("path").alias("_at"), "lines"), "_at", "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
+    return x.orderBy(F.col("name").isin([f"{s}{suffix}" for s in stems]).desc(), F.col("lines").desc(), F.col("modified").desc(), F.col("name").desc()).select("path", "lines").limit(1)
+
+
+def write_or_remove(df: DataFrame, path: str, fields: list[str]) -> bool:
+    """Writes a report as CSV; if it has no row, removes the one that a run before may have left. Returns whether it was written."""
+    if not df.isEmpty():
+        write_table(df, path, fields)
+        return True
+    spark = df.sparkSession
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return False
+
+
 def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

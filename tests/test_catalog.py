@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from episodica.plans import catalog, runs, traces  # noqa: F401  all register their queries
+from episodica.plans import catalog, problems, runs, traces  # noqa: F401  all register their queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

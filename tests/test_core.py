@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from episodica.functions import outputs, rules, text
-from episodica.operators import cells, events, reports, runs, sampling, sequences, transitions
+from episodica.operators import cells, events, problems, reports, runs, sampling, sequences, transitions
 from episodica.sources import files
 from episodica.streaming import live
 
@@ -292,3 +292,51 @@ def test_label_cache_takes_the_last_row_and_null_parts(spark):
     asked = spark.createDataFrame([(1, "p", None, "a", None), (2, "p", "", "a", True), (3, "r", None, "a", None)], "id long, problem string, gold string, answer string, runtime boolean")
     got = {r.id: (r.value, r.source) for r in runs.look_up(asked, cache, ["problem", "gold", "answer"]).collect()}
     assert got == {1: (False, "cache"), 2: (True, "runtime_evaluator"), 3: (None, None)}
+
+
+def test_problem_record_takes_tries_then_trace_then_metrics(spark):
+    examples = spark.createDataFrame([(u, 5, 4) for u in range(1, 6)], "uid bigint, model_turns bigint, reasoning_turns bigint")
+    attempts = spark.createDataFrame([(1, 3, 3, False, 2), (2, 2, None, False, 2)], "uid bigint, attempts bigint, first_success bigint, first_passed boolean, hints_used bigint")
+    metrics = spark.createDataFrame(
+        [(1, [True], [False], 9, None, 1, 2, 3, 0.5), (2, [], [True], None, {"a": 2, "b": None}, None, None, None, None), (3, None, [None, False, True], 2, {"a": 99}, 1, 1, None, 1.0), (4, [None, None], None, None, None, None, None, None, None)],
+        f"uid bigint, {problems.METRICS}",
+    )
+    results = spark.createDataFrame([(3, 2, "x", "y")], "uid bigint, tier int, domain string, source string")
+    x = problems.records(examples, attempts, metrics, results)
+    got = {r.uid: (r.final_passed, r.first_passed, r.first_success, r.correction_loops, r.evaluator_submissions, r.hints_used, r.model_calls, r.total_tokens, r.tier) for r in x.collect()}
+    assert got == {
+        1: (True, True, 1, 1, 3, 2, 9, 3, None), 2: (False, False, None, 2, 2, 2, 5, 0, None), 3: (True, False, 2, 2, 2, 0, 5, 0, 2),
+        4: (False, False, None, 2, 0, 0, 5, 0, None), 5: (False, False, None, 0, 0, 0, 5, 0, None),
+    }
+    said = {r.metric: (r.value, r.numerator, r.denominator) for r in problems.basic_metrics(x).collect()}
+    assert said["Pass@1"] == (0.2, 1, 5) and said["AvgCorrectionAttemptsToSuccess"] == (1.5, 3, 2) and said["TotalModelCalls"] == (29.0, None, None)
+    none = {r.metric: r.value for r in problems.basic_metrics(x.where("uid > 9")).collect()}
+    assert none["FinalPassRate"] is None and none["TotalModelCalls"] == 0
+
+
+def test_reflective_rounds_count_changes_within_closed_attempts(spark):
+    said = ["a", "a", None, "b", "a", "V", "c", "V", "d", "e"]
+    e = spark.createDataFrame([(1, i, True if s == "V" else None, None if s == "V" else s) for i, s in enumerate(said)], "uid bigint, seq bigint, verdict boolean, answer_key string")
+    assert [tuple(r) for r in problems.reflective_rounds(e).collect()] == [(1, 2)]
+
+
+def test_fixed_order_and_transition_names(spark):
+    x = spark.createDataFrame([("z", 1), ("b", 2), (None, 3), ("a", 4), ("y", 5)], "name string, n int")
+    assert [r.n for r in problems.in_order(x, {"name": ["b", "a"]}, "n").collect()] == [2, 4, 5, 1, 3]
+    y = spark.createDataFrame([(False, True), (None, True), (True, True)], "a boolean, b boolean").select(problems.transition_name(F.col("a"), F.col("b")).alias("n"))
+    assert [r.n for r in y.collect()] == ["wrong_to_correct", "unknown", "correct_to_correct"]
+
+
+def test_best_sidecar(spark, tmp_path):
+    for name, lines in (("a", "1\n\n \n2\n3\n"), ("b", "1\n\n\n\n\n"), ("c", "")):
+        (tmp_path / f"{name}.metrics.jsonl").write_text(lines)
+    pick = lambda *stems: [(r.path.rsplit("/", 1)[1][0], r.lines) for r in files.best_sidecar(spark, str(tmp_path), list(stems)).collect()]
+    assert (pick(), pick("b"), pick("c"), pick("b", "c"), pick("x")) == ([("a", 3)], [("b", 1)], [("c", 0)], [("b", 1)], [("a", 3)])
+    (tmp_path / "none").mkdir()
+    assert files.best_sidecar(spark, str(tmp_path / "none"), ["a"]).isEmpty()
+
+
+def test_an_empty_report_leaves_none(spark, tmp_path):
+    path, x = str(tmp_path / "r"), spark.createDataFrame([(1, "a")], "n int, t string")
+    assert files.write_or_remove(x, path, ["n", "t"]) and (tmp_path / "r").exists()
+    assert not files.write_or_remove(x.where("n > 1"), path, ["n", "t"]) and not (tmp_path / "r").exists()
