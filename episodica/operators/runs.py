@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions.stats import count_if
 from ..functions.text import boxed_last
 from . import sampling
@@ -85,6 +86,41 @@ def look_up(candidates: DataFrame, cache: DataFrame, key: list[str], runtime: st
     return x.withColumns({"value": F.coalesce(runtime, "_cached"), "source": source}).drop("_cached")
 
 
+def judge(candidates: DataFrame, mode: str = "exact", tolerance: float = 0.0) -> DataFrame:
+    """Labels of candidates: value and source. candidates: answer, gold, final (the answer that was submitted last) and runtime (what the run said of it).
+
+    Without an answer or a gold answer there is no label (`missing`). The run's own label holds for the answer submitted last, other answers
+    are compared: `exact`, `numeric-verifier` within the tolerance, or by the rules of `omni-rule`. Other modes ask a model: `unsupported:MODE`.
+    """
+    clean = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    answer, gold = clean("answer"), clean("gold")
+    modes = {"exact": lambda: rules.exact_match(answer, gold), "numeric-verifier": lambda: rules.exact_match(answer, gold, tolerance), "omni-rule": lambda: rules.math_equal(answer, gold)}
+    missing, known = (answer == "") | (gold == ""), F.col("runtime").isNotNull() & (answer == clean("final"))
+    compared = modes[mode]() if mode in modes else F.lit(None).cast("boolean")
+    x = candidates.withColumn("_compared", compared)
+    return x.withColumns({"value": F.when(missing, None).when(known, F.col("runtime")).otherwise(F.col("_compared")), "source": F.when(missing, "missing").when(known, "runtime_evaluator").otherwise(mode if mode in modes else f"unsupported:{mode}")}).drop("_compared")
+
+
+def saved_evaluations(log: DataFrame, by: str = "uid") -> DataFrame:
+    """What the run's evaluator noted last of each trajectory, if anything: by, mode, correct. log: by, seq, event_type, stage, mode, correctness."""
+    noted = (F.col("event_type") == "meta") & F.startswith("stage", F.lit("evaluation")) & F.col("correctness").isin(0, 1) & (F.coalesce("mode", F.lit("")) != "")
+    return log.where(noted).groupBy(by).agg(F.max_by(F.struct("mode", (F.col("correctness") == 1).alias("correct")), "seq").alias("last")).select(by, "last.*")
+
+
+def post_evaluation(records: DataFrame, saved: DataFrame, by: str = "uid", extra: str | None = None) -> DataFrame:
+    """Scored records: correctness (0 or 1), judge and evaluation_source. records: by, answer, gold.
+
+    Unless an extra mode is asked for, saved evaluations count if all records have one and of one mode; else every record is compared exactly.
+    """
+    has = records.join(saved, by, "left")
+    use = F.lit(extra is None) & has.agg((F.count("*") == F.count("mode")) & F.coalesce(F.min("mode") == F.max("mode"), F.lit(False))).scalar()
+    compared = judge(has.withColumns({"final": F.lit(None).cast("string"), "runtime": F.lit(None).cast("boolean")}), extra or "exact")
+    return compared.select(
+        *records.columns, F.when(use, F.col("correct")).otherwise(F.coalesce("value", F.lit(False))).cast("int").alias("correctness"), F.when(use, F.col("mode")).otherwise(extra or "exact").alias("judge"),
+        F.when(use, "per_evaluator").otherwise("extra_post_eval" if extra else "fallback_exact").alias("evaluation_source"),
+    )
+
+
 #: Statuses of Broadcast reviews, the riskiest provenance first.
 RISK = ["actor_response_after_protocol_selection", "actor_response_before_gate", "no_actor_response_before_submission", "no_actor_response_before_next_review", "missing_actor_candidate_before", "no_actor_response_observed"]
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import cells
 from ..operators import problems as P
+from ..operators import runs as R
 from . import adapter, sql
 from .catalog import _labeled, _parsed, _problems, _remembered
 from .registry import query
@@ -98,3 +99,30 @@ _ROUTES = (("explicit", " AND action = 'revise'"), ("linked_route", " AND action
 @query(sql.labeled(f"""SELECT dataset, actor, protocol, {", ".join(f"{sql.count(_HERE + c)} AS {n}" for n, c in (*_ROUTES, *sql.FOLLOWED))} FROM l GROUP BY dataset, actor, protocol"""))
 def route_sensitivity_cells(spark, d):
     return cells.route_cells(_remembered(spark, d))
+
+
+_JUDGED = """
+  fx AS (SELECT uid, arg_max(answer, seq) FILTER (kind = 'submission') AS final, arg_max(kind = 'pass', seq) FILTER (kind IN ('pass', 'fail')) AS runtime, substr('ABCD', (1 + (uid // 2) % 4)::INT, 1) AS gold FROM s WHERE protocol = 'per' GROUP BY uid)"""
+
+
+def _finals(spark: SparkSession, d: str) -> DataFrame:
+    """Of each PER trajectory the answer submitted last, the last verdict and its mode, and the gold answer of its problem."""
+    said = lambda c, kinds: F.max_by(c, F.when(F.col("kind").isin(*kinds), F.col("seq")))
+    gold = F.substring(F.lit("ABCD"), (1 + F.floor(F.col("uid") / 2) % 4).cast("int"), F.lit(1))
+    return adapter.steps(spark, d).where("protocol = 'per'").groupBy("uid").agg(said("answer", ["submission"]).alias("final"), said(F.col("kind") == "pass", ["pass", "fail"]).alias("runtime")).withColumn("gold", gold)
+
+
+@query(sql.over("""SELECT uid, seq, CASE WHEN k % 9 = 0 THEN NULL WHEN answer = final AND runtime IS NOT NULL THEN runtime ELSE answer = gold END AS value,
+  CASE WHEN k % 9 = 0 THEN 'missing' WHEN answer = final AND runtime IS NOT NULL THEN 'runtime_evaluator' ELSE 'exact' END AS source FROM s JOIN fx USING (uid) WHERE kind = 'executor'""", _JUDGED))
+def candidate_labels(spark, d):
+    """Some candidates are blank."""
+    x = adapter.steps(spark, d).where("kind = 'executor'").join(_finals(spark, d), "uid").withColumn("answer", F.when(F.col("k") % 9 == 0, " ").otherwise(F.col("answer")))
+    return R.judge(x).select("uid", "seq", "value", "source")
+
+
+@query(sql.over("""SELECT uid, CASE WHEN a THEN ok ELSE coalesce(final = gold, false) END::INT AS correctness, CASE WHEN a THEN 'rule' ELSE 'exact' END AS judge, CASE WHEN a THEN 'per_evaluator' ELSE 'fallback_exact' END AS evaluation_source
+  FROM fx LEFT JOIN (SELECT uid, arg_max(kind = 'pass', seq) AS ok FROM s WHERE kind IN ('pass', 'fail') GROUP BY uid) USING (uid), (SELECT bool_and(runtime IS NOT NULL) AS a FROM fx)""", _JUDGED))
+def post_evaluation(spark, d):
+    log = adapter.steps(spark, d).where("kind IN ('pass', 'fail')").select("uid", "seq", F.lit("meta").alias("event_type"), F.lit("evaluation").alias("stage"), F.lit("rule").alias("mode"), (F.col("kind") == "pass").cast("int").alias("correctness"))
+    x = _finals(spark, d).select("uid", F.col("final").alias("answer"), "gold")
+    return R.post_evaluation(x, R.saved_evaluations(log)).select("uid", "correctness", "judge", "evaluation_source")

@@ -340,3 +340,23 @@ def test_an_empty_report_leaves_none(spark, tmp_path):
     path, x = str(tmp_path / "r"), spark.createDataFrame([(1, "a")], "n int, t string")
     assert files.write_or_remove(x, path, ["n", "t"]) and (tmp_path / "r").exists()
     assert not files.write_or_remove(x.where("n > 1"), path, ["n", "t"]) and not (tmp_path / "r").exists()
+
+
+def test_labels_of_each_mode(spark):
+    rows = [("1/2", "0.5", "1/2", None), ("3.05", "3", "7", True), ("7", "3", " 7 ", True), (None, "3", None, True), ("4", "", None, None)]
+    x = spark.createDataFrame(rows, "answer string, gold string, final string, runtime boolean")
+    said = lambda *a: [(r.value, r.source) for r in runs.judge(x, *a).collect()]
+    tail = [(True, "runtime_evaluator"), (None, "missing"), (None, "missing")]
+    assert said("exact")[1:] == [(False, "exact"), *tail] and said("numeric-verifier", 0.1)[1:] == [(True, "numeric-verifier"), *tail]
+    assert said("omni-rule")[:2] == [(True, "omni-rule"), (False, "omni-rule")] and said("llm")[0] == (None, "unsupported:llm")
+
+
+def test_saved_evaluations_count_if_all_have_one_of_one_mode(spark):
+    log = [(1, 1, "meta", "evaluation_0", "exact", 0), (1, 2, "meta", "evaluation_1", "rule", 1), (1, 3, "meta", "evaluation_1", "rule", None), (2, 1, "meta", "evaluation", "rule", 0), (2, 2, "message", "evaluation", "rule", 1), (2, 3, "meta", "evaluation", "", 1)]
+    saved = runs.saved_evaluations(spark.createDataFrame(log, "uid bigint, seq bigint, event_type string, stage string, mode string, correctness int"))
+    assert sorted(map(tuple, saved.collect())) == [(1, "rule", True), (2, "rule", False)]
+    records = spark.createDataFrame([(1, "4", "5"), (2, "5", "5")], "uid bigint, answer string, gold string")
+    said = lambda *a: [tuple(r)[3:] for r in runs.post_evaluation(*a).orderBy("uid").collect()]
+    assert said(records, saved) == [(1, "rule", "per_evaluator"), (0, "rule", "per_evaluator")]
+    assert said(records, saved.where("uid = 1")) == [(0, "exact", "fallback_exact"), (1, "exact", "fallback_exact")]
+    assert said(records, saved, "uid", "omni-rule") == [(0, "omni-rule", "extra_post_eval"), (1, "omni-rule", "extra_post_eval")]
