@@ -25,6 +25,7 @@ BINS = 16
 #: Relative to the mean frame energy in dB: a segment begins above ON and ends below OFF.
 ON, OFF = 1.0, -1.0
 PIECE = 1 << 18
+_SPANS = pa.list_(pa.struct([("start", pa.float64()), ("stop", pa.float64())]))
 
 
 def wav(payload: bytes) -> bytes:
@@ -125,7 +126,6 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
     kind = source.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, tensor array<float>, spans array<struct<start: double, stop: double>>, feature string, media binary"
-    span = pa.list_(pa.struct([("start", pa.float64()), ("stop", pa.float64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -145,7 +145,50 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 fixed = pa.FixedShapeTensorArray.from_numpy_ndarray(np.stack(tensors))  # BINS x MELS each
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * BINS * MELS, pa.int32()), fixed.storage.flatten())
                 ints = lambda i: pa.array(c[i], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("id"), ints(0), ints(1), pa.array(c[2]), ints(3), ints(4), pa.array(c[5]), ints(6), listed, pa.array(c[7], span), pa.array(c[8]), pa.array(c[9], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([b.column("id"), ints(0), ints(1), pa.array(c[2]), ints(3), ints(4), pa.array(c[5]), ints(6), listed, pa.array(c[7], _SPANS), pa.array(c[8]), pa.array(c[9], pa.binary())], names)
 
     out = source.mapInArrow(work, schema)
     return out.select(F.col("id").alias(id_col), *names[1:-1], *(["media"] if with_media else []))
+
+
+def tensor_type() -> pa.DataType:
+    return pa.fixed_shape_tensor(pa.float32(), (BINS, MELS), dim_names=("time", "mel"))
+
+
+def tensor_blocks(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of media_columns() as Arrow streams, to be stored in any format: n_rows long, block binary of up to 256 rows each.
+
+    A stream has id, tensor (fixed_shape_tensor of BINS x MELS) and spans (list of start and stop in seconds), so that any Arrow reader finds
+    the shape in its schema. An empty table gives no block; null ids and repeated rows are kept; other columns are left out.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, len(whole), 256):
+                b = whole.slice(k, 256)
+                flat = b.column("tensor").flatten()
+                fixed = pa.ExtensionArray.from_storage(tensor_type(), pa.FixedSizeListArray.from_arrays(flat, BINS * MELS))
+                rows = pa.RecordBatch.from_arrays([b.column("id"), fixed, b.column("spans").cast(_SPANS)], ["id", "tensor", "spans"])
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, rows.schema) as stream:
+                    stream.write_batch(rows)
+                yield pa.RecordBatch.from_pydict({"n_rows": pa.array([len(b)], pa.int64()), "block": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+
+    return media.select(F.col(id_col).alias("id"), "tensor", "spans").mapInArrow(work, "n_rows long, block binary")
+
+
+def read_tensors(blocks: DataFrame, id_type: str = "long", id_col: str = "doc_id") -> DataFrame:
+    """The rows of tensor_blocks() again: id_col, tensor array<float>, spans. A block of another shape is an error."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block in b.column("block"):
+                for rows in pa.ipc.open_stream(block.as_py()):
+                    if rows.schema.field("tensor").type != tensor_type():
+                        raise ValueError(f"not a tensor of {BINS} x {MELS}")
+                    flat = rows.column("tensor").storage.flatten()
+                    listed = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BINS * MELS, pa.int32()), flat)
+                    yield pa.RecordBatch.from_arrays([rows.column("id"), listed, rows.column("spans")], ["id", "tensor", "spans"])
+
+    out = blocks.select("block").mapInArrow(work, f"id {id_type}, tensor array<float>, spans array<struct<start: double, stop: double>>")
+    return out.select(F.col("id").alias(id_col), "tensor", "spans")

@@ -360,3 +360,18 @@ def test_audio_ends_stand_in_a_frame():
         quiet = bytes([128]) * (n - 64)
         assert len(audio.log_mel(quiet + bytes(64))) == max(1, -(-(n - audio.FRAME * audio.DOWN) // hop) + 1)
         assert not np.allclose(audio.log_mel(quiet + bytes(64))[-1], audio.log_mel(quiet + bytes([128]) * 64)[-1])
+
+
+def test_audio_tensors_are_stored_with_their_shape(spark, docs, tmp_path):
+    import pyarrow as pa
+
+    media, path = audio.media_columns(docs), str(tmp_path / "tensors")
+    audio.tensor_blocks(media).write.parquet(path)
+    blocks = spark.read.parquet(path)
+    assert collect(audio.read_tensors(blocks)) == collect(media.select("doc_id", "tensor", "spans"))
+    found = blocks.collect()
+    assert sum(b.n_rows for b in found) == docs.count()
+    for b in found:
+        part = pa.ipc.open_stream(bytes(b.block)).read_all()
+        assert part.column("tensor").chunk(0).to_numpy_ndarray().shape == (b.n_rows, audio.BINS, audio.MELS)
+    assert audio.tensor_blocks(media.where("false")).count() == 0
