@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, chat, classifier, language, licences, minhash, mixing, rules, substrings
+from . import alignment, audio, bpe, chat, classifier, jaccard, language, licences, minhash, mixing, rules, substrings, whitening
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,19 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation is null where it doesn't fit in a long; the operator's own is a decimal of 38 digits."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_chat_format": op2_chat_format,
@@ -72,6 +85,9 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_rules": op9_rules,
     "op10_audio": op10_audio,
+    "op11_alignment": op11_alignment,
+    "op12_whitening": op12_whitening,
+    "op13_jaccard": op13_jaccard,
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE = {"op4_licences": licences.oracle(), "op9_rules": rules.oracle()}
