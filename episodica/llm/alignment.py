@@ -1,133 +1,161 @@
 """Aligns two tokenizers over whole texts: a byte-level BPE (A) and a sentencepiece model with byte fallback (B).
 
-Python only tokenises. Ends that both share (array_intersect), groups, links and their counts are built with Spark's higher-order functions,
-an explode and two aggregates.
+Python only tokenises. It gives blocks of documents: the block's distinct segments with their tokens, and each document as a list of segment
+numbers. A segment ends where a space follows a character that is no white space: neither tokenizer's tokens cross that place. Ends that
+both share (array_intersect), groups, links and their counts are built with Spark's higher-order functions: of the block's distinct segments,
+one behind the other as one text, then of each document.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .bpe import CHUNK_CHARS, REMEMBERED, Codec
+from .bpe import REMEMBERED, Codec
 from .util import shared_table
 
-#: Bits for a token's id beside its end; an id of all ones marks a cut.
+#: Bits for a token's id beside its end. The highest ids stand for a cut, and for the end of a segment.
 BITS = 17
-CUT = (1 << BITS) - 1
+ID = (1 << BITS) - 1
+CUT, END = ID - 1, ID
 #: What sentencepiece writes for a space. A text that holds it can't come back.
-SPACE = "▁"
-
-
-class Pieces:
-    """Encodes with a sentencepiece model, word by word: no piece of it goes on after a space, so that no merge crosses one (asserted)."""
-
-    WORD = re.compile(r" *[^ ]+| +")
-
-    def __init__(self, path: str):
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+SPACE = "\u2581"
+#: Documents of about so many characters make a block; a longer one is a block of its own.
+BLOCK_CHARS = 4_000_000
+SEGMENT = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*|\s+")
+LISTS = ["a_ids", "a_ends", "b_ids", "b_ends", "ends", "n_a", "n_b"]
+
+
+class Tokenizers:
+    """Encodes segments with both tokenizers, whose special tokens' strings are plain text here."""
+
+    def __init__(self, a: str, b: str):
+        self.a = Codec(a)
+        self.a.cut, self.a.special, self.a.ids, self.a.said = None, {}, {}, {}
+        # A merge's text is that of its parts, so that a text's tokens have its bytes if its pre-tokens have them.
+        assert all(self.a.decode_bytes(np.array([i])) == bytes([b]) for b, i in enumerate(self.a.first))
+        self.b = sentencepiece.SentencePieceProcessor(model_file=b)
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         assert not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces), "a piece goes on after a space"
-        self.raw = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.lengths = np.array([len(r) for r in self.raw], dtype=np.int64)
-        #: Of each word its ids, or None where their bytes aren't the word's.
-        self.ids: dict[str, bytes | None] = {}
-        self.one = [self.model.piece_to_id(SPACE)]
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.ids) + len(words) > REMEMBERED:
-            self.ids = {w: v for w, v in self.ids.items() if w in words}
-        new = [w for w in words if w not in self.ids]
-        for w, found in zip(new, self.model.encode([w[1:] for w in new], num_threads=1), strict=True):  # the model adds the first space
-            found = found or self.one  # of a lone space the model is given nothing
-            same = b"".join([self.raw[i] for i in found]) == w.encode()
-            self.ids[w] = np.array(found, dtype=np.int32).tobytes() if same else None
-
-    def encode_many(self, texts: list[str]) -> list[bytes | None]:
-        """Of texts that begin with a space: ids as int32, or None where their bytes aren't the text's."""
-        cut = [self.WORD.findall(t) if SPACE not in t else [] for t in texts]
-        self.learn(set().union(*cut))
-        out = []
-        for words in cut:
-            found = [self.ids[w] for w in words]
-            out.append(b"".join(found) if found and None not in found else None)
-        return out
+        self.raw = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.b_lengths = np.array([len(r) for r in self.raw], dtype=np.int64)
+        self.space = [self.b.piece_to_id(SPACE)]
+        #: Of each segment the ids of both as int32, or None where a tokenizer's bytes aren't the segment's.
+        self.ids: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def learn(self, segments: set[str]) -> None:
+        if len(self.ids) + len(segments) > REMEMBERED:
+            self.ids = {s: v for s, v in self.ids.items() if s in segments}
+        new = [s for s in segments if s not in self.ids]
+        lists = [[t for part in self.a.pre_tokens(s) for t in part] for s in new]
+        for k in range(0, len(new), 20_000):
+            self.a.known(lists[k : k + 20_000] or [[]])
+            # The model adds the first space itself; of a lone space it is given nothing.
+            for s, tokens, b in zip(new[k : k + 20_000], lists[k : k + 20_000], self.b.encode([s[1:] for s in new[k : k + 20_000]], num_threads=1), strict=True):
+                b, a = b or self.space, b"".join([self.a.ids[t] for t in tokens])
+                same = "".join(tokens) == s and b"".join([self.raw[i] for i in b]) == s.encode()
+                self.ids[s] = (a, np.array(b, dtype=np.int32).tobytes()) if same else None
 
 
 @lru_cache(maxsize=2)
-def tokenizers(a: str, b: str) -> tuple[Codec, Pieces]:
-    codec = Codec(a)
-    codec.cut, codec.special, codec.ids, codec.said = None, {}, {}, {}  # special tokens' strings are plain text here
-    return codec, Pieces(b)
+def tokenizers(a: str, b: str) -> Tokenizers:
+    return Tokenizers(a, b)
 
 
 def tokenise(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, a_ids, a_ends, b_ids, b_ends: token ids of space + text, and the byte offset at which each token ends. All are empty for null
-    or empty texts and those whose tokens' bytes are not the text's. a and b are paths that exist on every executor."""
+    """Blocks of space + text: docs array<struct<id, segments array<int>>> (numbers, from 0, of the block's distinct segments); of these, one
+    behind the other, a_ids, a_ends, b_ids, b_ends (token ids, and the byte offset at which each token ends), and by segment its end and
+    numbers of tokens (ends, n_a, n_b), all array<int>. Null or empty texts and those whose tokens' bytes are not the text's have no
+    segments. a and b are paths that exist on every executor."""
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    lists = "a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
-    schema = StructType([source.schema["id"], *StructType.fromDDL(lists).fields])
+    schema = f"docs array<struct<id: {source.schema['id'].dataType.simpleString()}, segments: array<int>>>, " + ", ".join(f"{c} array<int>" for c in LISTS)
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, pieces = tokenizers(a, b)
-
-        def listed(flat: list[np.ndarray]) -> pa.ListArray:
-            at = np.cumsum([0, *map(len, flat)])
-            return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(flat).astype(np.int32)))
-
-        def both(text: str, found_b: bytes | None) -> tuple[np.ndarray, ...]:
-            none = (np.zeros(0, np.int32),) * 4
-            if not text or found_b is None:
-                return none
-            parts = []
-            for part in codec.pre_tokens(" " + text):
-                codec.known([part])
-                parts += [codec.ids[t] for t in part]
-            ids_a, ids_b = (np.frombuffer(x, dtype=np.int32) for x in (b"".join(parts), found_b))
-            if codec.decode_bytes(ids_a) != f" {text}".encode():
-                return none
-            return ids_a, np.cumsum(codec.lengths[ids_a]), ids_b, np.cumsum(pieces.lengths[ids_b])
+        t = tokenizers(a, b)
+
+        def block(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
+            cut = [SEGMENT.findall(" " + x) if x and SPACE not in x else [] for x in texts]
+            t.learn(set().union(*cut))
+            number: dict[str, int] = {}
+            known, put, found = t.ids, number.setdefault, []
+            for segments in cut:
+                if None in [known[s] for s in segments]:
+                    segments = []
+                found.append(np.array([put(s, len(number)) for s in segments], dtype=np.int32))
+            lists = []
+            for side, lengths in ((0, t.a.lengths), (1, t.b_lengths)):
+                flat = np.frombuffer(b"".join([known[s][side] for s in number]), dtype=np.int32)
+                lists += [flat, np.cumsum(lengths[flat])]
+            sizes = [np.array([len(known[s][side]) // 4 for s in number], dtype=np.int32) for side in (0, 1)]
+            lists += [np.concatenate([[0], lists[1]])[np.cumsum(sizes[0])] if number else sizes[0], *sizes]
+            numbers = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found)))
+            rows = pa.StructArray.from_arrays([ids, numbers], ["id", "segments"])
+            return pa.RecordBatch.from_arrays([one(rows), *(one(pa.array(x.astype(np.int32))) for x in lists)], ["docs", *LISTS])
 
         for batch in batches:
-            texts, k = batch.column("t"), 0
-            while k < len(texts):
-                first, group, chars = k, [], 0
-                while k < len(texts) and (chars < CHUNK_CHARS or not group):
-                    group.append(t := texts[k].as_py())
-                    chars, k = chars + len(t), k + 1
-                codec.known([p for t in group if 0 < len(t) <= CHUNK_CHARS for p in codec.pre_tokens(" " + t)] or [[]])
-                rows = [both(t, x) for t, x in zip(group, pieces.encode_many([" " + t if t else "" for t in group]), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, k - first), *(listed([r[i] for r in rows]) for i in range(4))], schema.names)
+            sizes, k = pc.utf8_length(batch.column("t")).to_pylist(), 0
+            while k < len(sizes):
+                first, chars = k, 0
+                while k < len(sizes) and (k == first or chars + sizes[k] <= BLOCK_CHARS):
+                    chars, k = chars + sizes[k], k + 1
+                yield block(batch.column("id").slice(first, k - first), batch.column("t").slice(first, k - first).to_pylist())
 
     return source.mapInArrow(work, schema)
 
 
-def _groups(ids: str, ends: str) -> Column:
-    """One side's groups, as texts of comma-separated ids: tokens and cuts in order of their end, cuts after the token that ends there."""
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _sides(ids: str, ends: str, cuts: Column) -> Column:
+    """One side's segments, as texts: a comma before each token's id, groups parted by semicolons. Tokens and marks stand in order of their end."""
     at = lambda end: F.shiftleft(end.cast("long"), BITS)
-    placed = F.concat(F.zip_with(ends, ids, lambda e, i: at(e).bitwiseOR(i.cast("long"))), F.transform("common", lambda c: at(c).bitwiseOR(F.lit(CUT))))
-    said = F.transform(F.sort_array(placed), lambda x: F.when(x.bitwiseAND(F.lit(CUT)) == CUT, ";").otherwise(x.bitwiseAND(F.lit(CUT)).cast("string")))
-    return F.split(F.rtrim(F.replace(F.array_join(said, ","), F.lit(",;,"), F.lit(";")), F.lit(",;")), ";")
+    marked = lambda c, mark: F.transform(c, lambda e: at(e).bitwiseOR(F.lit(mark)))
+    inner = F.slice("ends", F.lit(1), F.size("ends") - 1)  # the last segment ends the text
+    placed = F.concat(F.zip_with(ends, ids, lambda e, i: at(e).bitwiseOR(i.cast("long"))), marked(cuts, CUT), marked(inner, END))
+    name = lambda i: F.when(i < CUT, F.concat(F.lit(","), i.cast("string"))).when(i == CUT, ";").otherwise("\n")
+    return F.split(F.array_join(F.transform(F.sort_array(placed), lambda x: name(x.bitwiseAND(F.lit(ID)))), ""), "\n")
+
+
+def _segments() -> Column:
+    """Of a block's distinct segments, in order: groups (text: a1,a2|b1;a3|b2,b3) and links."""
+    last = lambda g: F.substring_index(g, ",", -1).cast("long")
+    said = lambda a, b: F.concat(F.substring(a, 2, 1 << 30), F.lit("|"), F.substring(b, 2, 1 << 30))
+    link = lambda a, b: F.shiftleft(last(a), BITS).bitwiseOR(last(b))
+    pair = lambda a, b: _let(
+        F.struct(F.split(a, ";").alias("a"), F.split(b, ";").alias("b")), lambda g: F.struct(F.array_join(F.zip_with(g["a"], g["b"], said), ";").alias("groups"), F.zip_with(g["a"], g["b"], link).alias("links"))
+    )
+    common = F.array_except(F.array_intersect("a_ends", "b_ends"), "ends")
+    return _let(common, lambda cuts: F.zip_with(_sides("a_ids", "a_ends", cuts), _sides("b_ids", "b_ends", cuts), pair))
+
+
+def align(blocks: DataFrame) -> DataFrame:
+    """Of tokenise(), a row for each document: id, n_a, n_b, n_groups, groups (text: a1,a2|b1;a3|b2,b3) and links array<long>, one for each byte
+    offset where both end (packed: A's id, then B's in 17 bits)."""
+
+    def document(d: Column, known: Column) -> Column:
+        total = lambda counts: F.aggregate(d["segments"], F.lit(0), lambda n, i: n + F.get(counts, i)).alias(counts)
+        each = lambda name: F.transform(d["segments"], lambda i: F.get(known, i)[name])
+        return F.struct(d["id"].alias("id"), total("n_a"), total("n_b"), F.array_join(each("groups"), ";").alias("groups"), F.flatten(each("links")).alias("links"))
+
+    rows = _let(F.when(F.size("ends") > 0, _segments()), lambda known: F.transform("docs", lambda d: document(d, known)))
+    return blocks.select(F.explode(rows).alias("row")).select("row.id", "row.n_a", "row.n_b", F.size("row.links").alias("n_groups"), "row.groups", "row.links")
 
 
-def align(tokens: DataFrame) -> DataFrame:
-    """Of tokenise(): id, n_a, n_b, n_groups, groups (text: a1,a2|b1;a3|b2,b3) and links array<struct<group: int, a: int, b: int>>, one for each byte offset where both end."""
-    last = lambda g: F.substring_index(g, ",", -1).cast("int")
-    x = tokens.withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    x = x.select("id", F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"), F.size("common").alias("n_groups"), _groups("a_ids", "a_ends").alias("ga"), _groups("b_ids", "b_ends").alias("gb"))
-    ends = F.zip_with("ga", "gb", lambda a, b: F.struct(last(a).alias("a"), last(b).alias("b")))
-    numbered = F.zip_with(F.sequence(F.lit(1), F.col("n_groups")), ends, lambda g, e: F.struct(g.alias("group"), e["a"].alias("a"), e["b"].alias("b")))
-    none = F.col("n_groups") == 0
-    said = F.array_join(F.zip_with("ga", "gb", lambda a, b: F.concat(a, F.lit("|"), b)), ";")
-    return x.select("id", "n_a", "n_b", "n_groups", F.when(none, "").otherwise(said).alias("groups"), F.when(~none, numbered).alias("links"))
+def numbered_links(aligned: DataFrame) -> DataFrame:
+    """Of align(), a row for each link: id, group (from 1), a, b."""
+    link = F.zip_with(F.sequence(F.lit(1), F.col("n_groups")), "links", lambda g, x: F.struct(g.alias("group"), F.shiftright(x, BITS).cast("int").alias("a"), x.bitwiseAND(F.lit(ID)).cast("int").alias("b")))
+    return aligned.where("n_groups > 0").select("id", F.explode(link).alias("link")).select("id", "link.*")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -137,7 +165,7 @@ def pair_counts(links: DataFrame) -> DataFrame:
     corpus: the sum of their tokens' byte lengths, under 600,000 for those of 50,257 and 32,000 tokens.
     """
     counts = links.select(F.explode("links").alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
-    b = F.col("pair").bitwiseAND(F.lit(CUT))
+    b = F.col("pair").bitwiseAND(F.lit(ID))
     most = counts.groupBy(b.alias("b")).agg(F.max("n").alias("most"))
     return counts.join(most, b == F.col("b")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
@@ -145,14 +173,14 @@ def pair_counts(links: DataFrame) -> DataFrame:
 def align_documents(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id_col, n_a, n_b, n_groups, n_links, n_best, count_sum (long), groups_sha256.
 
-    Groups and links are built row by row and stored once in the shared folder, a link as one number; the pair table, bounded by the
-    vocabularies (pair_counts), is broadcast to the links. Null or empty texts and those that a tokenizer can't give back have zeros and an
-    empty groups_sha256; a null id and repeated rows pass through, each with its own links in the counts; an empty table gives an empty
-    result; other columns are ignored, so that their names can't clash; texts are read whole, in pieces of a million characters.
+    Groups and links are built block by block, nothing is shuffled for them, and stored once in the shared folder, a link as one number; the
+    pair table, bounded by the vocabularies (pair_counts), is broadcast to the links. Null or empty texts and those that a tokenizer can't
+    give back have zeros and an empty groups_sha256; a null id and repeated rows pass through, each with its own links in the counts; an
+    empty table gives an empty result; other columns are ignored, so that their names can't clash; texts are read whole, those over four
+    million characters in blocks of their own.
     """
-    packed = F.transform("links", lambda x: F.shiftleft(x["a"].cast("long"), BITS).bitwiseOR(x["b"].cast("long")))
     hashed = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    rows = shared_table(align(tokenise(docs, a, b, id_col, text_col)).select(F.monotonically_increasing_id().alias("row"), "id", "n_a", "n_b", "n_groups", hashed.alias("groups_sha256"), packed.alias("links")), "align-links")
+    rows = shared_table(align(tokenise(docs, a, b, id_col, text_col)).select(F.monotonically_increasing_id().alias("row"), "id", "n_a", "n_b", "n_groups", hashed.alias("groups_sha256"), "links"), "align-links")
     each = rows.select("row", F.explode("links").alias("pair")).join(F.broadcast(pair_counts(rows)), "pair")
     sums = each.groupBy("row").agg(F.count("*").alias("n_links"), F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)

@@ -62,7 +62,7 @@ def test_alignment_of_the_smallest_table(spark):
 
 
 def test_alignment_of_odd_texts(spark):
-    texts = [None, "", " ", "  ", "a", "  two  spaces ", "tab\tand\nline", "<|endoftext|><s></s><unk>", "literal ▁ mark", "日本語 ภาษา 😀", "\x00﻿​", "a\xa0b é é", "ﬁ ½", "same same", "same same", "x" * 3000]
+    texts = [None, "", " ", "  ", "a", "  two  spaces ", "tab\tand\nline", "<|endoftext|><s></s><unk>", "literal ▁ mark", "日本語 ภาษา 😀", "\x00﻿​", "a\xa0b é é", "ﬁ ½", "same same", "same same", "x" * 3000, "a\n\n  b \n c\t d\n", "end \n", "\u3000 x\u2003 y\x1c z\x85 w"]
     rows = [(i, t, 7) for i, t in enumerate(texts)] + [(None, "an id is missing", 7)]
     df = spark.createDataFrame(rows, "id long, text string, pair int").withColumn("links", F.lit(1)).repartition(3)
     found = {r.id: tuple(r[c] for c in ALIGNED) for r in alignment.align_documents(df, A, B, "id").collect()}
@@ -75,12 +75,14 @@ def test_alignment_of_odd_texts(spark):
 
 def test_alignment_groups_and_links(spark):
     df = spark.createDataFrame([(1, "unbelievable tokenizers"), (2, None)], ODD)
-    one, none = alignment.align(alignment.tokenise(df, A, B, "id")).orderBy("id").collect()
-    assert len(one.groups.split(";")) == one.n_groups == len(one.links) == one.links[-1].group
-    for g, link in zip(one.groups.split(";"), one.links, strict=True):
+    aligned = alignment.align(alignment.tokenise(df, A, B, "id"))
+    one, none = aligned.orderBy("id").collect()
+    links = alignment.numbered_links(aligned).orderBy("group").collect()
+    assert len(one.groups.split(";")) == one.n_groups == len(one.links) == links[-1].group == len(links)
+    for g, link in zip(one.groups.split(";"), links, strict=True):
         a, b = g.split("|")
         assert (int(a.split(",")[-1]), int(b.split(",")[-1])) == (link.a, link.b)
-    assert (none.n_groups, none.groups, none.links) == (0, "", None)
+    assert (none.n_groups, none.groups, none.links) == (0, "", [])
 
 
 def test_alignment_of_a_very_long_text(spark):
