@@ -9,6 +9,7 @@ one behind the other as one text, then of each document.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -29,7 +30,7 @@ CUT, END = ID - 1, ID
 #: What sentencepiece writes for a space. A text that holds it can't come back.
 SPACE = "\u2581"
 #: Documents of about so many characters make a block; a longer one is a block of its own.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_500_000
 SEGMENT = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*|\s+")
 LISTS = ["a_ids", "a_ends", "b_ids", "b_ends", "ends", "n_a", "n_b"]
 
@@ -62,7 +63,7 @@ class Tokenizers:
             for s, tokens, b in zip(new[k : k + 20_000], lists[k : k + 20_000], self.b.encode([s[1:] for s in new[k : k + 20_000]], num_threads=1), strict=True):
                 b, a = b or self.space, b"".join([self.a.ids[t] for t in tokens])
                 same = "".join(tokens) == s and b"".join([self.raw[i] for i in b]) == s.encode()
-                self.ids[s] = (a, np.array(b, dtype=np.int32).tobytes()) if same else None
+                self.ids[s] = (a, array("i", b).tobytes()) if same else None
 
 
 @lru_cache(maxsize=2)
@@ -176,7 +177,7 @@ def align_documents(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", tex
     Groups and links are built block by block, nothing is shuffled for them, and stored once in the shared folder, a link as one number; the
     pair table, bounded by the vocabularies (pair_counts), is broadcast to the links. Null or empty texts and those that a tokenizer can't
     give back have zeros and an empty groups_sha256; a null id and repeated rows pass through, each with its own links in the counts; an
-    empty table gives an empty result; other columns are ignored, so that their names can't clash; texts are read whole, those over four
+    empty table gives an empty result; other columns are ignored, so that their names can't clash; texts are read whole, those over 1.5
     million characters in blocks of their own.
     """
     hashed = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
