@@ -187,39 +187,42 @@ def verify(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
     return dealt.mapInArrow(work, "a long, b long")
 
 
-def alike(a: Column, b: Column) -> Column:
-    """Sizes alone can rule a link out."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+def may_link() -> Column:
+    """Whether sizes, and what either set has from a shared n-gram on, leave room for a link. At the first n-gram that two sets share they
+    have no more in common than that, so that every link passes there, if not at each shared n-gram."""
+    sizes = F.least("n", "an") * 100 >= F.greatest("n", "an") * PERCENT
+    return sizes & (F.least("rest", "arest") * (100 + PERCENT) >= (F.col("n") + F.col("an")) * PERCENT)
 
 
 def link_sets(ordered: DataFrame) -> DataFrame:
     """node, root: components of all links between the sets.
 
-    Two linked sets share one of the first n-grams of both, rarest first. Each such n-gram's documents first make one star around the one that
+    Two linked sets share one of the first n-grams of both, rarest first, and from there on enough (may_link). Each such n-gram's documents first make one star around the one that
     meets most; what links is one component. Then, where an n-gram's documents stand in several components still, more of them become
     centres, GROWTH times as many each round, until all pairs left of it have met: no link between components is lost.
     """
     reach = F.size("grams") - F.ceil(F.col("n") * PERCENT / 100).cast("int") + 1
-    rows = ordered.select("node", "n", F.explode(F.slice("grams", F.lit(1), reach)).alias("h"))
+    rows = ordered.select("node", "n", F.size("grams").alias("m"), F.posexplode(F.slice("grams", F.lit(1), reach)).alias("at", "h")).select("node", "n", "h", (F.col("m") - F.col("at")).alias("rest"))
     index = shared_table(rows.join(rows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "h"), "jaccard-index")
     met = index.groupBy("node").agg(F.sum("k").alias("met"))
     # Centres are the same documents for all n-grams, as far as may be: few different pairs.
-    star = index.join(met, "node").groupBy("h").agg(F.max(F.struct("met", "node", "n")).alias("c")).select("h", F.col("c.node").alias("a"), F.col("c.n").alias("an"))
-    pairs = index.join(star, "h").where((F.col("a") != F.col("node")) & alike(F.col("n"), F.col("an"))).select("a", F.col("node").alias("b")).distinct()
+    star = index.join(met, "node").groupBy("h").agg(F.max(F.struct("met", "node", "n", "rest")).alias("c")).select("h", F.col("c.node").alias("a"), F.col("c.n").alias("an"), F.col("c.rest").alias("arest"))
+    pairs = index.join(star, "h").where((F.col("a") != F.col("node")) & may_link()).select("a", F.col("node").alias("b")).distinct()
     checked = shared_table(pairs, "jaccard-pairs")
     links = shared_table(verify(checked, ordered), "jaccard-links")
     roots = shared_table(components(links), "jaccard-roots")
     parts = F.ceil(F.col("k") / SALT).cast("long")
     turn = F.pmod(F.xxhash64("node"), F.lit(1 << 52)) / float(1 << 52) * F.col("k")
-    low, high = 0, FIRST
+    low, high, open_ = 0, FIRST, index
     while True:
-        now = index.join(roots, "node", "left").withColumns({"root": F.coalesce("root", "node"), "turn": turn})
+        now = open_.join(roots, "node", "left").withColumns({"root": F.coalesce("root", "node"), "turn": turn})
         split = now.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("k").alias("most")).where((F.col("low") != F.col("high")) & (F.col("most") > low)).select("h")
         now = shared_table(now.join(split, "h", "left_semi").withColumns({"parts": parts, "part": F.pmod(F.xxhash64("node"), parts)}), "jaccard-rest")
+        drop_shared(open_)
         if now.isEmpty():
             return roots
-        centre = in_parts(now.where((F.col("turn") >= low) & (F.col("turn") < high)).select("h", "parts", F.col("node").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"), F.struct("turn", "node").alias("aturn")))
-        apart = now.join(centre, ["h", "part"]).where((F.struct("turn", "node") > F.col("aturn")) & (F.col("root") != F.col("ar")) & alike(F.col("n"), F.col("an")))
+        centre = in_parts(now.where((F.col("turn") >= low) & (F.col("turn") < high)).select("h", "parts", F.col("node").alias("a"), F.col("n").alias("an"), F.col("rest").alias("arest"), F.col("root").alias("ar"), F.struct("turn", "node").alias("aturn")))
+        apart = now.join(centre, ["h", "part"]).where((F.struct("turn", "node") > F.col("aturn")) & (F.col("root") != F.col("ar")) & may_link())
         fresh = apart.select("a", F.col("node").alias("b")).distinct()
         known = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
         more = shared_table(fresh.join(known, ["a", "b"], "left_anti"), "jaccard-pairs")
@@ -227,8 +230,11 @@ def link_sets(ordered: DataFrame) -> DataFrame:
         checked = checked.unionByName(more)
         roots, old = shared_table(components(links), "jaccard-roots"), roots
         drop_shared(old)
-        drop_shared(now)
+        # What stands in one component stays there: the next round reads what this one had left.
         low, high = high, GROWTH * high
+        shut = now._shared_path
+        open_ = now.select("node", "n", "h", "rest", "k")
+        open_._shared_path = shut
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,12 +250,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives an empty result; other columns are ignored, so that their names can't clash; texts are read whole. Ids may be of any
     type that has an order.
     """
-    found = shared_table(prints(docs, id_col, text_col), "jaccard-prints")
-    one = found.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("place", "n", "need", "head")).alias("one"))
+    whole = shared_table(prints(docs, id_col, text_col), "jaccard-prints")
+    one = whole.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("place", "n", "need", "head")).alias("one"))
     sets = shared_table(one.select(F.monotonically_increasing_id().alias("node"), "key", "one.*"), "jaccard-sets")
+    found = shared_table(whole.select("id", "n", "key"), "jaccard-found")
+    drop_shared(whole)
     ordered = shared_table(ordered_sets(docs, sets, id_col, text_col), "jaccard-ordered")
+    nodes = shared_table(sets.select("key", "node"), "jaccard-nodes")
+    drop_shared(sets)
     roots = link_sets(ordered)
-    named = sets.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    named = nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     least = found.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least")).join(named, "key")
     ids = least.groupBy("root").agg(F.min("least").alias("component")).join(least.select("root", "key"), "root").select("key", "component")
     out = found.select("id", "n", "key").join(ids, "key", "left")
