@@ -43,20 +43,35 @@ def boxed_field(x: Column, names: list[str]) -> Column:
     return F.coalesce(*map(found, names), F.lit(""))
 
 
-def _objects(depth: int) -> str:
-    """Braces that close, up to a depth, with quoted strings skipped."""
-    inner = r"""[^{}"']++|"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'"""
-    out = rf"\{{(?:{inner})*+\}}"
-    for _ in range(depth - 1):
-        out = rf"\{{(?:{inner}|{out})*+\}}"
-    return out
+def balanced(x: Column, quotes: str = "\"'") -> Column:
+    """All braced parts of a text that close, at any depth, in order of their beginning: one fold over brace, quote and text tokens with a
+    stack of open braces. Braces inside quotes don't count; outside all braces quotes don't."""
+    marks = f"[{{}}{quotes}]"
+    tokens = F.regexp_extract_all(_text(x), F.lit(rf"(?s)(\\.|{marks}|[^{{}}{quotes}\\]+|\\)"), F.lit(1))
+    kind = "struct<at: int, quote: string, open: array<int>, found: array<struct<first: int, size: int>>>"
+    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("quote"), F.array().cast("array<int>").alias("open"), F.array().cast("array<struct<first: int, size: int>>").alias("found")).cast(kind)
+
+    def step(s: Column, t: Column) -> Column:
+        inside, depth = s["quote"] != "", F.size(s["open"])
+        quoted = F.when(inside, F.when(t == s["quote"], "").otherwise(s["quote"])).when((depth > 0) & t.isin(*quotes), t).otherwise("")
+        opens, closes = ~inside & (t == "{"), ~inside & (t == "}") & (depth > 0)
+        opened = F.when(opens, F.concat(s["open"], F.array(s["at"]))).when(closes, F.slice(s["open"], F.lit(1), F.greatest(depth - 1, F.lit(0)))).otherwise(s["open"])
+        part = F.struct(F.try_element_at(s["open"], F.lit(-1)).alias("first"), (s["at"] - F.try_element_at(s["open"], F.lit(-1)) + 1).alias("size"))
+        found = F.when(closes, F.concat(s["found"], F.array(part))).otherwise(s["found"])
+        return F.struct((s["at"] + F.char_length(t)).alias("at"), quoted.alias("quote"), opened.alias("open"), found.alias("found")).cast(kind)
+
+    parts = F.array_sort(F.aggregate(tokens, start, step, lambda s: s["found"]))
+    return _let(_text(x), lambda t: F.transform(parts, lambda p: F.substr(t, p["first"], p["size"])))
 
 
 def repair_json(x: Column) -> Column:
-    """Quotes names and single-quoted strings, spells constants as JSON does, drops commas before a closing mark and closes what is open.
+    """Drops comments, joins strings that a plus parts, quotes names and single-quoted strings, spells constants as JSON does, drops commas before a closing mark and closes what is open.
 
     The closing marks are those of objects within each other and of arrays at the end; text that can't be mended stays as it is."""
-    t = strip(_text(x))
+    # Strings, comments and what is between, so that neither sign is found inside a string.
+    pieces = F.regexp_extract_all(strip(_text(x)), F.lit(r"""(?s)("(?:[^"\\]|\\.)*"|/\*.*?\*/|//[^\n]*|[^"/]+|.)"""), F.lit(1))
+    kept = F.array_join(F.filter(pieces, lambda p: ~p.startswith("/*") & ~p.startswith("//")), "\x01")
+    t = strip(F.replace(F.regexp_replace(kept, r"\"\x01\s*\+\s*\x01\"", ""), F.lit("\x01"), F.lit("")))
     for pattern, by in (
         (r"[\u201c\u201d]", '"'), (r"'([^'\"\\\n]*)'(?=\s*(?:[:,}\]]|\z))", '"$1"'), (r"([{,]\s*)([A-Za-z_]\w*)(\s*:)", '$1"$2"$3'),
         (r"([:,\[]\s*)True(?=\s*(?:[,}\]]|\z))", "$1true"), (r"([:,\[]\s*)False(?=\s*(?:[,}\]]|\z))", "$1false"), (r"([:,\[]\s*)None(?=\s*(?:[,}\]]|\z))", "$1null"), (r",\s*([}\]])", "$1"), (r",\s*\z", ""),
@@ -67,16 +82,23 @@ def repair_json(x: Column) -> Column:
     return _let(t, lambda s: F.concat(s, F.repeat(F.lit("]"), left(s, r"\[", r"\]")), F.repeat(F.lit("}"), left(s, r"\{", r"\}"))))
 
 
-def json_object(x: Column, schema: str, depth: int = 4) -> Column:
-    """The first object in a text, as a struct: the whole text, a fenced block, closed braces inside it (to a depth), from its first brace to its last or to the end; each as it is, then repaired. Null if there is none."""
+def json_object(x: Column, schema: str, keys: list[str] | None = None) -> Column:
+    """The first object in a text that isn't empty and, if keys are given, has one of them, as a struct; null if there is none.
+
+    Looked at, in this order, each as it is, then repaired: the whole text, fenced blocks, braced parts at any depth (apostrophes first as
+    quotes, then not, then no quotes at all), from the first brace to the last, and to the end."""
     t = strip(_text(x))
-    found = lambda pattern: F.nullif(strip(F.regexp_extract(t, pattern, 1)), F.lit(""))
-    parts = F.concat(
-        F.array(t, found(r"(?s)```(?:json)?\s*(\{.*?\})\s*```")), F.regexp_extract_all(t, F.lit(f"({_objects(depth)})"), F.lit(1)), F.array(found(r"(?s)(\{.*\})"), found(r"(?s)(\{.*)"))
-    )
-    ways = F.flatten(F.transform(F.filter(parts, lambda p: p.isNotNull()), lambda p: F.array(p, repair_json(p))))
-    good = F.filter(ways, lambda p: F.schema_of_variant(F.try_parse_json(p)).startswith("OBJECT"))
-    return F.from_json(F.try_element_at(good, F.lit(1)), schema)
+    found = lambda pattern: F.array(strip(F.regexp_extract(t, pattern, 1)))
+    fenced = F.transform(F.regexp_extract_all(t, F.lit(r"(?s)```(?:json|JSON)?\s*(.*?)```"), F.lit(1)), strip)
+    parts = F.array_distinct(F.concat(F.array(t), fenced, balanced(t), balanced(t, '"'), balanced(t, ""), found(r"(?s)(\{.*\})"), found(r"(?s)(\{.*)")))
+    ways = F.flatten(F.transform(F.filter(parts, lambda p: p.contains("{")), lambda p: F.array(p, repair_json(p))))
+
+    def good(p: Column) -> Column:
+        said = F.schema_of_variant(F.try_parse_json(p))
+        fits = said.startswith("OBJECT<") & (said != "OBJECT<>")
+        return fits & F.coalesce(F.arrays_overlap(F.json_object_keys(p), F.array(*map(F.lit, keys))), F.lit(False)) if keys else fits
+
+    return F.from_json(F.try_element_at(F.filter(ways, good), F.lit(1)), schema)
 
 
 def scored(x: Column, dimensions: list[str]) -> Column:

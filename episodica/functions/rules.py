@@ -1,15 +1,11 @@
-"""Answer equality: of numbers, natively, and by rules for written mathematics, on Arrow batches."""
+"""Answer equality: of numbers, natively, and of written mathematics, by canonical forms."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType
 
+from .forms import math_form, math_same, same_form  # noqa: F401
 
 _PLAIN = r"^[+-]?(\d+\.?\d*|\.\d+)$"
 _POWER = r"^[+-]?(\d+\.?\d*|\.\d+)[eE][+-]?\d+$"
@@ -41,65 +37,9 @@ def exact_match(predicted: Column, label: Column, tolerance: float = 0.0) -> Col
     return F.when(a == "", False).when(a == b, True).otherwise(numeric_equal(a, b, tolerance))
 
 
-# Spellings that mean the same.
-_WORDS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
-_DROP = ["\\left", "\\right", "\\!", "\\,", "\\;", "\\ ", "$", "\\%", "%", "^\\circ", "^{\\circ}", "\\displaystyle"]
-
-
-def plain_math(text: str) -> str:
-    """One spelling for fractions, roots, sets, units and small number words."""
-    t = text.strip().rstrip(".")
-    for x in _DROP:
-        t = t.replace(x, "")
-    t = re.sub(r"\\(?:text|mathrm|mbox|textbf|mathbf)\{([^{}]*)\}", r"\1", t)
-    t = t.replace("\\dfrac", "\\frac").replace("\\tfrac", "\\frac").replace("\\cdot", "*").replace("\\times", "*").replace("\\pi", "pi")
-    t = re.sub(r"\\frac\s*(\d)\s*(\d)", r"(\1)/(\2)", t)
-    t = re.sub(r"\\frac\{([^{}]*)\}\{([^{}]*)\}", r"(\1)/(\2)", t)
-    t = re.sub(r"\\sqrt\{([^{}]*)\}", r"sqrt(\1)", t)
-    t = re.sub(r"\\sqrt\s*(\w)", r"sqrt(\1)", t)
-    t = re.sub(r"(?<=\d)\s*(?:cm|mm|km|m|kg|g|s|degrees?|dollars?|units?)$", "", t)
-    t = re.sub(r"\s+", "", t).lower()
-    t = re.sub(r"^[a-z]\w?=", "", t)
-    return _WORDS.get(t, t)
-
-
-def _value(t: str) -> float | None:
-    t = re.sub(r"\((-?[\d.]+)\)", r"\1", t.replace(",", ""))
-    if m := re.fullmatch(r"(-?[\d.]+)/(-?[\d.]+)", t):
-        try:
-            return float(m[1]) / float(m[2])
-        except (ValueError, ZeroDivisionError):
-            return None
-    try:
-        return float(t)
-    except ValueError:
-        return None
-
-
-def math_same(a: str | None, b: str | None) -> bool:
-    x, y = plain_math(a or ""), plain_math(b or "")
-    if not x or not y:
-        return False
-    if x == y:
-        return True
-    if len(x) == 3 and x[0] == "(" and x[2] == ")" and x[1] == y or len(y) == 3 and y[0] == "(" and y[2] == ")" and y[1] == x:
-        return True
-    m, n = _value(x), _value(y)
-    if m is not None and n is not None:
-        return any(abs(m - z) <= 1e-4 * max(abs(z), 1e-12) for z in (n, n * 100, n / 100))
-    if x[0] in "([{" and y[0] in "([{" and x[-1] in ")]}" and y[-1] in ")]}":
-        p, q = x[1:-1].split(","), y[1:-1].split(",")
-        return len(p) == len(q) > 1 and all(math_same(i, j) for i, j in zip(p, q, strict=True))
-    if x.count("=") == 1 and y.count("=") == 1:
-        (l1, r1), (l2, r2) = x.split("="), y.split("=")
-        return (l1, r1) in ((l2, r2), (r2, l2))
-    return False
-
-
-@pandas_udf(BooleanType())
-def _math(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([math_same(x, y) for x, y in zip(a, b, strict=True)])
-
-
 def math_equal(a: Column, b: Column) -> Column:
-    return F.coalesce(F.when(F.trim(a) == F.trim(b), F.trim(a) != "").otherwise(_math(a, b)), F.lit(False))
+    """Whether two written answers are the same mathematics (forms.py): each text's form is made once, the comparison is native. A lone choice letter is found in a text that names it last."""
+    x, y = F.trim(a), F.trim(b)
+    choice = y.rlike("^[A-E]$") & (F.element_at(F.regexp_extract_all(F.upper(x), F.lit(r"\b([A-E])\b"), F.lit(1)), -1) == y)
+    said = F.regexp_count(F.upper(x), F.lit(r"\b[A-E]\b")) > 0
+    return F.coalesce(F.when(F.lower(x) == F.lower(y), x != "").when(said & choice, True).otherwise(same_form(math_form(a), math_form(b))), F.lit(False))

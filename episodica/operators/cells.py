@@ -64,11 +64,8 @@ def revise_counts(labeled: DataFrame, by: list[str]) -> DataFrame:
 
 
 def route_counts(labeled: DataFrame, by: list[str]) -> DataFrame:
-    """Strict PER pairs that were wrong before, if reviews of unknown action whose memory shows a route count as revisions too. labeled: with_memory()."""
-    explicit = F.col("action") == "revise"
-    linked = (F.col("action") == "unknown") & F.col("route_observed")
-    per = labeled.where("protocol = 'per' AND strict AND before_correct = false").where(explicit | linked)
-    return per.groupBy(*by).agg(count_if(explicit).alias("explicit"), count_if(linked).alias("linked_route"), *_followed("", F.lit(True)))
+    """Strict PER pairs that were wrong before, if reviews of unknown action whose memory shows a route count as revisions too; every group has its row, with zeros where it has no such pair. labeled: with_memory()."""
+    return route_cells(labeled, by)
 
 
 def route_cells(labeled: DataFrame, by: list[str] = CELL) -> DataFrame:

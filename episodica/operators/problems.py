@@ -98,3 +98,44 @@ def transition_name(before: Column, after: Column) -> Column:
     """wrong_to_correct and the like; unknown if either label is."""
     word = lambda c: F.when(c, "correct").otherwise("wrong")
     return F.when(before.isNotNull() & after.isNotNull(), F.concat(word(before), F.lit("_to_"), word(after))).otherwise("unknown")
+
+
+def _suffixes(path: Column) -> Column:
+    """Every suffix of a path that begins at a name, longest first."""
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    return _each(parts, lambda all_: F.transform(F.sequence(F.lit(1), F.size(all_)), lambda i: F.array_join(F.slice(all_, i, F.size(all_) - i + 1), "/")))
+
+
+def _each(value: Column, use) -> Column:
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def by_path_suffix(records: DataFrame, path: str, targets: DataFrame, suffix: str, keys: list[str] = []) -> DataFrame:
+    """Each record with the target whose path is the longest suffix of the record's, `keys` being equal: a record's suffixes meet the targets as
+    equal keys, so that no pattern is matched pair by pair. Adds the target's other columns and suffix_names, the names in the suffix.
+
+    Of targets with one suffix and keys, the one with the least other columns counts. A record without any target, a null or an empty
+    path keeps its row, with nulls. A record's row is known by its columns: repeated records stay.
+    """
+    others = [c for c in targets.columns if c not in (suffix, *keys)]
+    names = lambda c: F.size(F.filter(F.split(c, "/"), lambda p: p != ""))
+    known = targets.where(F.col(suffix).isNotNull()).select(F.array_join(F.filter(F.split(suffix, "/"), lambda p: p != ""), "/").alias("_s"), *keys, F.struct(*others).alias("_t"))
+    known = known.groupBy("_s", *keys).agg(F.min("_t").alias("_t"))
+    rows = records.select(F.struct("*").alias("_r"), *keys, F.explode_outer(F.when(F.col(path) != "", _suffixes(F.col(path)))).alias("_s"))
+    met = rows.join(known, ["_s", *keys], "left").withColumn("_n", F.when(F.col("_t").isNotNull(), names("_s")))
+    best = met.groupBy("_r").agg(F.max(F.struct("_n", "_t")).alias("_b"), F.count("*").alias("_c"), F.first(F.greatest(names(F.col(f"_r.{path}")), F.lit(1))).alias("_d"))
+    again = F.explode(F.array_repeat(F.lit(0), (F.col("_c") / F.coalesce("_d", F.lit(1))).cast("int")))
+    return best.select("_r", "_b", again).select("_r.*", *(F.col(f"_b._t.{c}").alias(c) for c in others), F.col("_b._n").alias("suffix_names"))
+
+
+def agent_increases(snapshots: DataFrame, by: list[str], order: str, counters: str) -> DataFrame:
+    """Sums of an agent's own work from snapshots of cumulative counters: by, order, agent, increase, reset.
+
+    A snapshot is a map of agents to running totals that live longer than an example: what counts is the increase over the agent's snapshot
+    before in the same run (`by`). A total below the one before has been reset, and counts as it is; an agent that a snapshot
+    doesn't name has no row and keeps its total. A null total counts as none named, an empty or null map gives no rows.
+    """
+    entry = snapshots.select(*by, order, F.explode(counters).alias("agent", "total")).where("total IS NOT NULL")
+    before = F.lag("total").over(Window.partitionBy(*by, "agent").orderBy(order))
+    x = entry.withColumn("_b", before).withColumn("reset", F.coalesce(F.col("total") < F.col("_b"), F.lit(False)))
+    return x.select(*by, order, "agent", F.when(F.col("reset") | F.col("_b").isNull(), F.col("total")).otherwise(F.col("total") - F.col("_b")).alias("increase"), "reset")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import rules, text
+from ..functions import forms, rules, text
 from ..functions.stats import count_if, rate
 from ..operators import attempts as A
 from ..operators import cells, events, reports, sampling, sequences, transitions
@@ -106,9 +106,12 @@ def revise_conditioned(spark, d):
     return cells.revise_counts(_labeled(spark, d), ["dataset", "protocol"])
 
 
-@query(sql.labeled(f"""SELECT dataset, {sql.count("action = 'revise'")} AS explicit, {sql.count("action = 'unknown'")} AS linked_route, count(*) AS pairs, {sql.count("answer_changed")} AS changed, {sql.count("NOT answer_changed")} AS unchanged,
-  {sql.count("after_correct IS NOT NULL")} AS labeled, {sql.count("after_correct AND answer_changed")} AS repaired, {", ".join(f"{sql.count('true' + c)} AS {n}" for n, c in sql.FOLLOWED)}
-  FROM l WHERE protocol = 'per' AND strict AND NOT before_correct AND (action = 'revise' OR (action = 'unknown' AND route_observed)) GROUP BY dataset"""))
+_ROUTED = "(protocol = 'per' AND strict AND NOT before_correct AND (action = 'revise' OR (action = 'unknown' AND route_observed)))"
+
+
+@query(sql.labeled(f"""SELECT dataset, {sql.count(f"{_ROUTED} AND action = 'revise'")} AS explicit, {sql.count(f"{_ROUTED} AND action = 'unknown'")} AS linked_route, {sql.count(_ROUTED)} AS pairs, {sql.count(f"{_ROUTED} AND answer_changed")} AS changed,
+  {sql.count(f"{_ROUTED} AND NOT answer_changed")} AS unchanged, {sql.count(f"{_ROUTED} AND after_correct IS NOT NULL")} AS labeled, {sql.count(f"{_ROUTED} AND after_correct AND answer_changed")} AS repaired,
+  {", ".join(f"{sql.count(_ROUTED + c)} AS {n}" for n, c in sql.FOLLOWED)} FROM l GROUP BY dataset"""))
 def route_sensitivity(spark, d):
     return cells.route_counts(_remembered(spark, d), ["dataset"])
 
@@ -557,12 +560,21 @@ def exact_match(spark, d):
 QUERIES["exact_match_all"], ORACLE["exact_match_all"] = QUERIES["exact_match"], ORACLE["exact_match"]  # an older name
 
 
-@query()
+@query(sql.over("SELECT uid, seq, k % 3 = k % 2 AS same FROM s"))
 def math_equal_rule(spark, d):
     x = adapter.steps(spark, d)
     return x.select("uid", "seq", rules.math_equal(F.concat(F.lit("\\frac{"), F.col("k") % 3, F.lit("}{2}")), F.concat((F.col("k") % 2 / 2).cast("string"))).alias("same"))
 
 
+@query(sql.over("SELECT (k / 8.0)::DOUBLE AS number, count(*) AS answers, count(DISTINCT k % 4) AS spellings FROM s GROUP BY k"))
+def answers_by_form(spark, d):
+    """Answers that mean the same number, in four spellings, grouped by their form: no pair of texts is compared."""
+    k, m = F.col("k").cast("string"), F.col("k") % 4
+    said = F.when(m == 0, F.concat(F.lit("\\frac{"), k, F.lit("}{8}"))).when(m == 1, F.concat(k, F.lit("/8"))).when(m == 2, F.concat(F.lit("$x = \\dfrac{2 \\cdot "), k, F.lit("}{4^2}$."))).otherwise(F.concat((F.col("k") / 8).cast("string"), F.lit(" \\text{ cm}")))
+    x = adapter.steps(spark, d).select(m.alias("spelling"), forms.math_form(said).alias("f")).where("f.shape = '#'")
+    return x.groupBy(F.col("f.numbers")[0].alias("number")).agg(F.count("*").alias("answers"), F.countDistinct("spelling").alias("spellings"))
+
+
 @query("SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, len(regexp_extract_all(coalesce(html, ''), '<a '))::BIGINT AS links FROM pages")
 def regex_extracts(spark, d):
     return _table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"), F.size(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit("(<a )"), F.lit(1))).cast("long").alias("links"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -126,3 +126,33 @@ def post_evaluation(spark, d):
     log = adapter.steps(spark, d).where("kind IN ('pass', 'fail')").select("uid", "seq", F.lit("meta").alias("event_type"), F.lit("evaluation").alias("stage"), F.lit("rule").alias("mode"), (F.col("kind") == "pass").cast("int").alias("correctness"))
     x = _finals(spark, d).select("uid", F.col("final").alias("answer"), "gold")
     return R.post_evaluation(x, R.saved_evaluations(log)).select("uid", "correctness", "judge", "evaluation_source")
+
+
+@query("""WITH r AS (SELECT o_orderkey, '/scratch/r' || (o_orderkey % 3) || '/' || substr(o_orderpriority, 1, 1) || '/c' || (o_custkey % 10) || '/run.trace' AS path, o_orderkey % 2 AS example FROM orders),
+  t AS (SELECT n_nationkey AS problem, n_nationkey % 2 AS example, CASE WHEN n_nationkey < 15 THEN (1 + n_nationkey % 5) || '/' ELSE '' END || 'c' || (n_nationkey % 10) || '/run.trace' AS suffix, CASE WHEN n_nationkey < 15 THEN 3 ELSE 2 END AS names FROM nation),
+  m AS (SELECT o_orderkey, problem, names, row_number() OVER (PARTITION BY o_orderkey ORDER BY names DESC, problem) AS place FROM r JOIN t ON r.example = t.example AND ends_with(r.path, '/' || t.suffix))
+  SELECT problem, names AS suffix_names, count(*) AS records FROM r LEFT JOIN (SELECT * FROM m WHERE place = 1) USING (o_orderkey) GROUP BY ALL""")
+def episodes_by_suffix(spark, d):
+    """Trace records of orders, placed under problems by the longest suffix of their path; one row for those without any."""
+    orders, nation = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("orders", "nation"))
+    path = F.concat(F.lit("/scratch/r"), F.col("o_orderkey") % 3, F.lit("/"), F.substring("o_orderpriority", 1, 1), F.lit("/c"), F.col("o_custkey") % 10, F.lit("/run.trace"))
+    n = F.col("n_nationkey")
+    suffix = F.concat(F.when(n < 15, F.concat(1 + n % 5, F.lit("/"))).otherwise(""), F.lit("c"), n % 10, F.lit("/run.trace"))
+    found = P.by_path_suffix(orders.select("o_orderkey", path.alias("path"), (F.col("o_orderkey") % 2).alias("example")), "path", nation.select(n.alias("problem"), (n % 2).alias("example"), suffix.alias("suffix")), "suffix", ["example"])
+    return found.groupBy("problem", "suffix_names").agg(F.count("*").alias("records"))
+
+
+@query("""WITH c AS (SELECT user_id, epoch_us(ts) // 86400000000 AS day, event_type AS agent, count(*) AS n FROM events GROUP BY ALL),
+  s AS (SELECT user_id, day, agent, sum(n) OVER (PARTITION BY user_id, agent, CASE WHEN user_id % 2 = 0 THEN day // 5 END ORDER BY day) AS total FROM c),
+  b AS (SELECT *, lag(total) OVER (PARTITION BY user_id, agent ORDER BY day) AS before FROM s)
+  SELECT agent, sum(CASE WHEN before IS NULL OR total < before THEN total ELSE total - before END)::BIGINT AS work, count_if(total < before)::BIGINT AS resets, count_if(before IS NOT NULL)::BIGINT AS carried FROM b GROUP BY agent""")
+def agent_work(spark, d):
+    """Work by agent from daily snapshots of counters that run on, and that start anew every five days for every second user."""
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000)
+    n = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id", day.alias("day"), F.col("event_type").alias("agent")).agg(F.count("*").alias("n"))
+    run = F.when(F.col("user_id") % 2 == 0, F.floor(F.col("day") / 5))
+    totals = n.withColumn("total", F.sum("n").over(Window.partitionBy("user_id", "agent", run).orderBy("day")))
+    snapshots = totals.groupBy("user_id", "day").agg(F.map_from_entries(F.collect_list(F.struct("agent", "total"))).alias("counters"))
+    x = P.agent_increases(snapshots, ["user_id"], "day", "counters")
+    first = F.row_number().over(Window.partitionBy("user_id", "agent").orderBy("day")) == 1
+    return x.withColumn("first", first).groupBy("agent").agg(F.sum("increase").alias("work"), F.count_if("reset").alias("resets"), F.count_if(~F.col("first")).alias("carried"))

@@ -65,6 +65,26 @@ def messages(spark: SparkSession, path: str, schema: str = MESSAGES) -> DataFram
     return x.withColumns({"seq": seq, "event_uid": F.coalesce("event_uid", "message_uid", F.concat(F.lit("sequence:"), F.col("_s")))}).withColumnRenamed("trajectory_uid", "uid").drop("_f", "_r", "_s")
 
 
+def broken_runs(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Keys whose rows are not one run in one file, as a reader of batches would meet them again after they had ended: key, files, rows, span.
+    One aggregate with partial sums; a null key is a key."""
+    at = F.col("_metadata.row_index")
+    x = spark.read.parquet(path).select(key, F.col(_FILE).alias("_f"), at.alias("_i")).groupBy(key, "_f").agg(F.count("*").alias("rows"), (F.max("_i") - F.min("_i") + 1).alias("span"))
+    return x.groupBy(key).agg(F.count("*").alias("files"), F.sum("rows").alias("rows"), F.sum("span").alias("span")).where("files > 1 OR rows <> span")
+
+
+def require_runs(spark: SparkSession, path: str, key: str) -> None:
+    """Raises at a key that re-appears (broken_runs)."""
+    if bad := broken_runs(spark, path, key).orderBy(key).first():
+        raise ValueError(f"{key} {bad[0]} re-appears: {bad['rows']} rows in {bad['files']} files over {bad['span']} places")
+
+
+def require_unique(df: DataFrame, key: str) -> None:
+    """Raises at a key of more than one row."""
+    if bad := df.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1").orderBy(key).first():
+        raise ValueError(f"{key} {bad[0]} has {bad['rows']} rows")
+
+
 def table(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
     """CSV or TSV with a header; fields may hold line ends."""
     return spark.read.schema(schema).csv(path, header=True, sep=sep, multiLine=True, escape='"', quote='"', mode="FAILFAST")

@@ -91,3 +91,33 @@ def first_wins_sink(path: str, key: list[str]):
         rows.write.mode("append").parquet(path)
 
     return put
+
+
+LEDGER = "key string, entry bigint, parent bigint, at bigint, text string"
+
+
+def ledgers(events: DataFrame, limit: int, keep_ms: int | None = None) -> DataFrame:
+    """Each question's newest entries after every batch that touches it, as bounded_ledger() numbers them: key, entry (from 1), parent, at, text.
+
+    events: key string, at bigint (their order), text string; for update mode. State holds `limit` rows of a key at most, and with
+    keep_ms none that is older. Entries arrive in order over batches; within one they are sorted. A null key is no question. The state
+    store must be one with list state (RocksDB).
+    """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    class Ledger(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.rows = handle.getListState("rows", "at bigint, text string", keep_ms)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            new = pd.concat(list(rows)).sort_values(["at", "text"], kind="stable")[["at", "text"]]
+            held = [(int(r[0]), r[1]) for r in self.rows.get()] if self.rows.exists() else []
+            kept = (held + [(int(a), t) for a, t in new.itertuples(index=False)])[-limit:]
+            self.rows.put(kept)
+            out = [(key[0], i, i - 1 if i > 1 else None, at, text) for i, (at, text) in enumerate(kept, 1)]
+            yield pd.DataFrame(out, columns=["key", "entry", "parent", "at", "text"]).astype({"parent": "Int64"})
+
+        def close(self) -> None:
+            pass
+
+    return events.where("key IS NOT NULL").groupBy("key").transformWithStateInPandas(Ledger(), LEDGER, "Update", "processingTime" if keep_ms else "none")
