@@ -65,20 +65,30 @@ def _pair(seed: int):
     return step
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3, seed: int = 11, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def _tie(id_col: str, text_col: str):
+    """What tells documents without an id apart."""
+    return F.when(F.col(id_col).isNull(), F.xxhash64(text_col))
+
+
+def mix_sources(docs: DataFrame, *settings, **more) -> DataFrame:
+    """decide() without what take() needs beside it."""
+    return decide(docs, *settings, **more).drop("tie")
+
+
+def decide(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3, seed: int = 11, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Decides how often the mix takes each document.
 
-    One row for each input row: doc_id, source, size (words), source_size, target (both of its source), copies int.
+    One row for each input row: doc_id, source, size (words), source_size, target (both of its source), copies int, tie.
     A source's copies hold its target up to half of one document's words, none exceeds ceil(target / source_size) <= most.
     The fractional parts of target / source_size are copy probabilities. In a block of about 64 documents they are paired
     from the largest on; the residuals of blocks are paired in the next level, until a source has one, which is rounded.
     Every draw is a hash of ids and sizes: reruns and retried tasks agree.
 
     Null text: size 0. Documents without words weigh nothing; they stay once if target / source_size is 0.5 or more.
-    A null source is a source of its own. Repeated rows (same id, source and size) share one decision. An empty table
-    gives an empty result; other columns are ignored.
+    A null source is a source of its own. Repeated rows (same id, source and size) share one decision; where the id is null,
+    rows of one text do: `tie` has the text's hash there, null elsewhere. An empty table gives an empty result; other columns are ignored.
     """
-    sizes = shared_table(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
+    sizes = shared_table(docs.select(F.struct(F.col(id_col).alias("id"), _tie(id_col, text_col).alias("tie")).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
     goal = shared_table(targets(sizes, weights, share, most), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = (
@@ -113,7 +123,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     out = (
         sizes.alias("s").join(goal.withColumn("rate", rate).alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")))
         .join(chosen, F.col("s.source").eqNullSafe(F.col("c.source")) & F.col("s.id").eqNullSafe(F.col("c.id")) & (F.col("s.size") == F.col("c.size")), "left")
-        .select(F.col("s.id").alias("doc_id"), F.col("s.source").alias("source"), F.col("s.size").alias("size"), "source_size", "target", (whole + F.coalesce("up", F.lit(0))).cast("int").alias("copies"))
+        .select(F.col("s.id.id").alias("doc_id"), F.col("s.source").alias("source"), F.col("s.size").alias("size"), "source_size", "target", (whole + F.coalesce("up", F.lit(0))).cast("int").alias("copies"), F.col("s.id.tie").alias("tie"))
     )
     return out
 
@@ -122,9 +132,12 @@ def take(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The mix itself: each row of docs as often as its decision says, with the columns of docs.
 
     Null ids and sources meet their own decision, repeated rows are taken alike, an empty table gives an empty one. Columns of docs
-    travel as one struct, so that their names can't clash with a decision's.
+    travel as one struct, so that their names can't clash with a decision's. decisions: decide(); those of mix_sources()
+    serve where no two texts without an id have one source and size.
     """
-    d = decisions.select("doc_id", "source", "size", "copies").where("copies > 0").distinct().alias("d")
-    k = docs.select(F.struct("*").alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size")).alias("k")
+    known = "tie" in decisions.columns
+    d = decisions.select("doc_id", "source", "size", "copies", *(["tie"] if known else [])).where("copies > 0").distinct().alias("d")
+    k = docs.select(F.struct("*").alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"), _tie("doc_id", "text").alias("tie")).alias("k")
     on = F.col("k.doc_id").eqNullSafe(F.col("d.doc_id")) & F.col("k.source").eqNullSafe(F.col("d.source")) & (F.col("k.size") == F.col("d.size"))
+    on = on & F.col("k.tie").eqNullSafe(F.col("d.tie")) if known else on
     return k.join(d, on).select(F.col("k.row").alias("row"), F.explode(F.sequence(F.lit(1), F.col("d.copies"))).alias("copy")).select("row.*")

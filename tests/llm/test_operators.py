@@ -375,3 +375,13 @@ def test_audio_tensors_are_stored_with_their_shape(spark, docs, tmp_path):
         part = pa.ipc.open_stream(bytes(b.block)).read_all()
         assert part.column("tensor").chunk(0).to_numpy_ndarray().shape == (b.n_rows, audio.BINS, audio.MELS)
     assert audio.tensor_blocks(media.where("false")).count() == 0
+
+
+def test_mixing_of_documents_without_ids(spark):
+    """Texts that differ are units of their own though no row has an id: the source's copies hold its target up to half a document."""
+    rows = [(None, f"text {i} of ten words that is all there is", "a") for i in range(300)] + [(i, "a longer text of another source " * 20, "b") for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.decide(d, share=0.5).cache()
+    taken = {r.source: (r.taken, r.target) for r in out.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()}
+    assert abs(taken["a"][0] - taken["a"][1]) <= 10 and out.where("source = 'a'").select("copies").distinct().count() > 1
+    assert mixing.take(d, out).where("source = 'a'").count() == out.where("source = 'a'").agg(F.sum("copies")).first()[0]
