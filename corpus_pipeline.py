@@ -62,7 +62,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts weigh nothing; they stay once where their source is wanted in half or more. A null source is a source.
     Repeated rows share one decision; an empty table gives an empty one; extra columns, whatever their names, pass through.
     """
-    return mixing.take(docs, mixing.mix_sources(docs))
+    return mixing.take(docs, mixing.decide(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import forms, rules, text
 from ..functions.stats import count_if, rate
 from ..operators import attempts as A
-from ..operators import cells, events, reports, sampling, sequences, transitions
+from ..operators import admission, cells, events, reports, sampling, sequences, transitions
 from ..sources import files
 from ..streaming import live
 from . import adapter, sql
@@ -583,6 +583,18 @@ def regex_extracts(spark, d):
 # Time
 
 
+@query("""WITH RECURSIVE q AS (SELECT event_id, user_id % 16 AS worker, epoch_us(ts) // 21600 AS due, CASE WHEN event_type = 'error' THEN 2000000 END AS wait, row_number() OVER (PARTITION BY user_id % 16 ORDER BY epoch_us(ts) // 21600, event_id) AS i FROM events),
+  f AS (SELECT worker, i, event_id, due, due AS admitted, [due] AS gone, due + wait AS cool FROM q WHERE i = 1
+    UNION ALL SELECT worker, i, event_id, due, admitted, list_append(gone, admitted)[-18:], greatest(cool, admitted + wait) FROM (
+      SELECT q.worker, q.i, q.event_id, q.due, q.wait, f.gone, f.cool, greatest(q.due, f.admitted, f.cool, CASE WHEN len(f.gone) = 18 THEN f.gone[1] + 1000001 END) AS admitted FROM f JOIN q ON q.worker = f.worker AND q.i = f.i + 1))
+  SELECT event_id, worker, admitted, admitted - due AS waited FROM f""")
+def request_admission(spark, d):
+    """When each event would go out as a request: six hours of the log are a second, 18 requests a second may go out of a worker, and an error closes it for two."""
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 21600)
+    x = _table(spark, d, "events").select("event_id", (F.col("user_id") % 16).alias("worker"), at.alias("at"), F.when(F.col("event_type") == "error", F.lit(2_000_000).cast("long")).alias("wait"))
+    return admission.admit(x, "worker", "at", "event_id", "wait").select("event_id", "worker", "admitted", "waited")
+
+
 @query("SELECT ts, user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS recent FROM events")
 def request_rate(spark, d):
     """Events of a user in the hour up to each."""

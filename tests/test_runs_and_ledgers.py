@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from episodica.operators import cells, problems, sequences
+from episodica.operators import admission, cells, problems, sequences
 from episodica.sources import files
 from episodica.streaming import live
 
@@ -80,3 +80,14 @@ def test_ledgers_of_a_stream_equal_those_of_the_table(spark, tmp_path):
     # Files of one folder may arrive in any order; a ledger holds what came last.
     assert {k: len(v) for k, v in seen.items()} == {k: len(v) for k, v in want.items()}
     assert {k: sorted(v) for k, v in seen.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_requests_wait_for_window_and_cooldown(spark):
+    s = 1_000_000
+    rows = [("a", 10 + i, i, None) for i in range(5)] + [("a", 3 * s, 9, 5 * s), ("a", 3 * s, 10, None), ("b", 0, 1, None), (None, 7, 1, None), ("b", None, 2, None), ("b", 0, 3, None)]
+    d = spark.createDataFrame(rows, "worker string, at long, id long, wait long")
+    got = {(r.worker, r.id): (r.admitted, r.waited) for r in admission.admit(d, "worker", "at", "id", "wait", limit=2).collect()}
+    assert [got["a", i][0] for i in range(5)] == [10, 11, 10 + s + 1, 11 + s + 1, 10 + 2 * s + 2]
+    assert got["a", 9] == (3 * s, 0) and got["a", 10] == (8 * s, 5 * s)
+    assert got["b", 1] == (0, 0) and got["b", 3] == (0, 0) and got["b", 2] == (None, None) and got[None, 1] == (7, 0)
+    assert admission.admit(d.where("false"), "worker", "at", "id", "wait").count() == 0
