@@ -20,7 +20,7 @@ PERCENT = 85
 #: Members that a star's centre meets in one trie; documents of one n-gram that one task joins with its centres.
 CHUNK, SALT = 64, 500
 #: Centres that an n-gram of many documents gets in the first round after its star; each round has GROWTH times as many.
-FIRST, GROWTH = 4, 16
+FIRST, GROWTH = 32, 16
 
 
 def shingles(text: str, hashes: WordHashes) -> np.ndarray:
@@ -194,6 +194,16 @@ def may_link() -> Column:
     return sizes & (F.least("rest", "arest") * (100 + PERCENT) >= (F.col("n") + F.col("an")) * PERCENT)
 
 
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after more links: only the components that these touch are looked at."""
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    between = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    moved = shared_table(components(between.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))), "jaccard-moved")
+    first_met = moved.select("node").join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    to = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return roots.unionByName(first_met).join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+
+
 def link_sets(ordered: DataFrame) -> DataFrame:
     """node, root: components of all links between the sets.
 
@@ -226,10 +236,11 @@ def link_sets(ordered: DataFrame) -> DataFrame:
         fresh = apart.select("a", F.col("node").alias("b")).distinct()
         known = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
         more = shared_table(fresh.join(known, ["a", "b"], "left_anti"), "jaccard-pairs")
-        links = links.unionByName(shared_table(verify(more, ordered), "jaccard-links"))
         checked = checked.unionByName(more)
-        roots, old = shared_table(components(links), "jaccard-roots"), roots
-        drop_shared(old)
+        new = shared_table(verify(more, ordered), "jaccard-links")
+        if not new.isEmpty():
+            roots, old = shared_table(joined(roots, new), "jaccard-roots"), roots
+            drop_shared(old)
         # What stands in one component stays there: the next round reads what this one had left.
         low, high = high, GROWTH * high
         shut = now._shared_path
