@@ -51,6 +51,22 @@ def recent_tail(df: DataFrame, key: list[str], order: list[str], size: Column, b
     return x.where((F.col("tail_size") <= budget) | (F.col("_r") == 1)).drop("_r")
 
 
+def history_tail(df: DataFrame, key: list[str], order: list[str], size: Column, budget: int, last_n: int, pinned: Column | None = None) -> DataFrame:
+    """The newest rows of a history, without a gap: those whose sizes sum to the budget at most, the newest row always; with a budget of 0 or
+    less the newest last_n. Where a row is pinned, the tail goes back to the newest such row. Adds tail_size, the sum from the row on.
+
+    A null size counts 0. One shuffle by key, all windows share it.
+    """
+    back = Window.partitionBy(*key).orderBy(*(F.col(c).desc() for c in order))
+    so_far = F.sum(F.coalesce(size, F.lit(0))).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    x = df.withColumns({"tail_size": so_far, "_r": F.row_number().over(back)})
+    near = (F.col("_r") == 1) | (F.col("tail_size") <= budget) if budget > 0 else F.col("_r") <= last_n
+    if pinned is not None:
+        x = x.withColumn("_p", F.min(F.when(pinned, F.col("_r"))).over(Window.partitionBy(*key)))
+        near = near | F.coalesce(F.col("_r") <= F.col("_p"), F.lit(False))
+    return x.where(near).drop("_r", "_p")
+
+
 def bounded_ledger(df: DataFrame, key: list[str], order: list[str], limit: int) -> DataFrame:
     """The newest rows, numbered anew from 1; parent is the number of the row before, null where that row is gone."""
     back = F.row_number().over(Window.partitionBy(*key).orderBy(*(F.col(c).desc() for c in order)))

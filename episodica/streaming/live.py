@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 
 def read(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
@@ -93,6 +95,69 @@ def first_wins_sink(path: str, key: list[str]):
     return put
 
 
+def _batches(spark: SparkSession, path: str) -> DataFrame:
+    """The batches that ended."""
+    schema = "cache_writer string, cache_batch bigint, cache_ended timestamp"
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/ended")
+    except AnalysisException as e:  # before the first one
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _end(spark: SparkSession, path: str, writer: str, batch: int) -> None:
+    spark.range(1).select(F.lit(writer).alias("cache_writer"), F.lit(batch).cast("long").alias("cache_batch"), F.current_timestamp().alias("cache_ended")).coalesce(1).write.mode("append").parquet(f"{path}/ended")
+
+
+def cached_rows(spark: SparkSession, path: str, schema: StructType, key: list[str] | None = None) -> DataFrame:
+    """What cache_sink() wrote in batches that ended, with cache_writer, cache_batch and cache_bucket; with a key, of rows of one key that several writers
+    added, the one of the batch that ended last."""
+    whole = StructType([*schema.fields, *StructType.fromDDL("cache_writer string, cache_batch bigint, cache_bucket int").fields])
+    try:
+        rows = spark.read.schema(whole).parquet(f"{path}/rows")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], whole)
+    ended = _batches(spark, path)
+    if not key:
+        return rows.join(ended.drop("cache_ended"), ["cache_writer", "cache_batch"], "left_semi")
+    last = F.max_by(F.struct(*(c for c in whole.names if c not in key)), F.struct("cache_ended", "cache_writer", "cache_batch"))
+    return rows.join(ended, ["cache_writer", "cache_batch"]).groupBy(*key).agg(last.alias("_r")).select(*(c if c in key else f"_r.{c}" for c in whole.names))
+
+
+def cache_sink(path: str, key: list[str], order: list[str], required: tuple[str, ...] = (), writer: str = "one", buckets: int = 64):
+    """For foreachBatch: a table in which the first row of each key stays, however often a batch is run or wherever a run ends.
+
+    A batch writes its new rows to a folder of its own, which a second run replaces, and then notes that it ended; readers (cached_rows)
+    take rows of ended batches only, and a batch that ended adds nothing when it is run again. Rows lie in buckets by key, and a batch
+    reads the buckets that its own keys fall into. Of one batch's rows of a key the first in `order` counts. Rows without a key or without
+    a column of `required` go to `refused`, kept apart by batch as well, and stop nothing. Several streams may write to one path, each
+    under a writer's name of its own; what they add at the same time for one key is settled by the reader.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        spark, schema = batch.sparkSession, batch.schema
+        if not _batches(spark, path).where((F.col("cache_writer") == writer) & (F.col("cache_batch") == batch_id)).isEmpty():
+            return
+        folder = f"cache_writer={writer}/cache_batch={batch_id}"
+        whole = F.lit(True)
+        for c in (*key, *required):
+            whole = whole & F.col(c).isNotNull()
+        batch.where(~whole).write.mode("overwrite").parquet(f"{path}/refused/{folder}")
+        others = [c for c in schema.names if c not in key]
+        first = F.min_by(F.struct(F.lit(0).alias("_"), *others), F.struct(*order))
+        rows = batch.where(whole).groupBy(*key).agg(first.alias("_r")).select(*(c if c in key else f"_r.{c}" for c in schema.names))
+        rows = rows.withColumn("cache_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        touched = [r["cache_bucket"] for r in rows.select("cache_bucket").distinct().collect()]  # `buckets` numbers at most
+        held = cached_rows(spark, path, schema).where(F.col("cache_bucket").isin(touched)).select(*key)
+        rows.join(held, key, "left_anti").repartition("cache_bucket").write.mode("overwrite").partitionBy("cache_bucket").parquet(f"{path}/rows/{folder}")
+        _end(spark, path, writer, batch_id)
+
+    return put
+
+
 LEDGER = "key string, entry bigint, parent bigint, at bigint, text string"
 
 
