@@ -18,12 +18,11 @@ KEEP = ("head", "tail", "head_tail")
 
 
 @lru_cache(maxsize=4)
-def tokenizer(path: str) -> tuple[Tokenizer, int]:
-    """The tokenizer, and the characters of its longest token."""
+def tokenizer(path: str) -> Tokenizer:
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return t, max(map(len, t.get_vocab()), default=1)
+    return t
 
 
 def token_count(x: Column, path: str) -> Column:
@@ -31,7 +30,7 @@ def token_count(x: Column, path: str) -> Column:
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        t, _ = tokenizer(path)
+        t = tokenizer(path)
         return pd.Series([len(t.encode(s, add_special_tokens=False).ids) if s else 0 for s in texts], dtype="int64")
 
     return count(x)
@@ -50,16 +49,17 @@ def fitted(text: str, path: str, budget: int, keep: str, mark: str = MARK) -> st
     """The stripped text if it has at most `budget` tokens, else its longest cut that has.
 
     The token that reaches the budget bounds what is tried, so that no try is much longer than the budget. Counts of longer and longer cuts
-    grow but for a token's length: a binary search finds the place, and all lengths within the longest token's from there are tried.
+    grow but for a token's length: a binary search finds the place, and all lengths within the text's longest token from there are tried.
     Where not even LEAST characters with the mark fit, they are given out without it. A budget of 0 or less leaves the text whole.
     """
     text = text.strip()
     if not text or budget <= 0:
         return text
-    t, reach = tokenizer(path)
+    t = tokenizer(path)
     whole = t.encode(text, add_special_tokens=False)
     if len(whole.ids) <= budget:
         return text
+    reach = max(b - a for a, b in whole.offsets) + 2
     front, back = whole.offsets[budget - 1][1], len(text) - whole.offsets[len(whole.ids) - budget][0]
     most = min(len(text), {"head": front, "tail": back, "head_tail": front + back}[keep] + reach)
     fits = lambda lengths: [len(e.ids) <= budget for e in t.encode_batch([shortened(text, n, keep, mark) for n in lengths], add_special_tokens=False)]

@@ -111,6 +111,48 @@ def process(events: DataFrame, looping: int = 3) -> DataFrame:
     return turns.join(answers, "uid", "left")
 
 
+def signals(events: DataFrame, looping: int = 3) -> DataFrame:
+    """Per trajectory what its agreements, attempts, routes and turns say of loops and convergence.
+
+    reviews, agreements, agreed_then_fail and agreed_then_pass (by the next verdict); pairs of attempts next to each other that both have an answer, and
+    repeated ones; fails with a verdict after them, and unchanged ones; loops (an attempt's answer or a route `looping` times, or an unchanged
+    one); distinct_candidates; imbalance of the agents' turns (0 with one speaker, null without any). events: uid, seq, sender, action, route (or
+    null), verdict, answer_key. Every step is keyed by uid; a trajectory without attempts has zeros.
+    """
+    key = Window.partitionBy("uid").orderBy("seq")
+    x = events.withColumn("_later", F.first("verdict", ignorenulls=True).over(key.rowsBetween(1, Window.unboundedFollowing)))
+    agreed = F.col("action") == "agree"
+    counts = [F.count("action").alias("reviews"), count_if(agreed).alias("agreements"), count_if(agreed & ~F.col("_later")).alias("agreed_then_fail"), count_if(agreed & F.col("_later")).alias("agreed_then_pass")]
+    base = x.groupBy("uid").agg(*counts, F.countDistinct("answer_key").alias("distinct_candidates"))
+    near = Window.partitionBy("uid").orderBy("attempt")
+    same = F.when(F.col("last_key").isNotNull(), F.count("*").over(Window.partitionBy("uid", "last_key")))
+    att = attempts(events).withColumns({"_before": F.lag("last_key").over(near), "_next": F.lead("last_key").over(near), "_judged": F.lead("passed").over(near).isNotNull(), "_same": same})
+    failed = ~F.col("passed") & F.col("_judged")
+    tried = att.groupBy("uid").agg(
+        count_if(F.col("last_key").isNotNull() & F.col("_before").isNotNull()).alias("pairs"), count_if(F.col("last_key") == F.col("_before")).alias("repeated"),
+        count_if(failed).alias("fails"), count_if(failed & (F.col("last_key") == F.col("_next"))).alias("unchanged"), F.max("_same").alias("_most"),
+    )
+    routes = events.where("route IS NOT NULL").groupBy("uid", "route").agg(F.count("*").alias("n")).groupBy("uid").agg(F.max("n").alias("_routes"))
+    spoken = events.where(~F.lower("sender").isin("system", "evaluator")).groupBy("uid", "sender").agg(F.count("*").alias("n"))
+    turns = spoken.groupBy("uid").agg(rate(F.max("n") - F.min("n"), F.sum("n")).alias("imbalance"))
+    out = base.join(tried, "uid", "left").join(routes, "uid", "left").join(turns, "uid", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("pairs", "repeated", "fails", "unchanged", "_most", "_routes")}
+    loops = (F.col("_most") >= looping) | (F.col("_routes") >= looping) | (F.col("unchanged") > 0)
+    return out.withColumns(zero).withColumn("loops", loops).drop("_most", "_routes")
+
+
+def signal_rates(per_trajectory: DataFrame) -> DataFrame:
+    """signals() over all trajectories: one row of sums and rates."""
+    total = ("reviews", "agreements", "agreed_then_fail", "agreed_then_pass", "pairs", "repeated", "fails", "unchanged")
+    one = per_trajectory.agg(
+        F.count("*").alias("trajectories"), *(F.sum(c).alias(c) for c in total), count_if(F.col("agreed_then_fail") > 0).alias("wrongly_agreed"), count_if(F.col("loops")).alias("looping"),
+        F.avg("distinct_candidates").alias("mean_candidates"), F.avg("imbalance").alias("mean_imbalance"),
+    )
+    of = {"agreement_rate": ("agreements", "reviews"), "repeated_answer_rate": ("repeated", "pairs"), "no_change_after_fail_rate": ("unchanged", "fails"), "premature_convergence_rate": ("wrongly_agreed", "trajectories"), "looping_rate": ("looping", "trajectories")}
+    later = F.col("agreed_then_fail") + F.col("agreed_then_pass")
+    return one.withColumns({k: rate(F.col(a), F.col(b)) for k, (a, b) in of.items()} | {"wrong_convergence_rate": rate(F.col("agreed_then_fail"), later), "productive_convergence_rate": rate(F.col("agreed_then_pass"), later)})
+
+
 def turn_share(events: DataFrame) -> DataFrame:
     """Each sender's part of all turns."""
     by = events.groupBy("sender").agg(F.count("*").alias("turns"))

@@ -101,6 +101,26 @@ def judge(candidates: DataFrame, mode: str = "exact", tolerance: float = 0.0) ->
     return x.withColumns({"value": F.when(missing, None).when(known, F.col("runtime")).otherwise(F.col("_compared")), "source": F.when(missing, "missing").when(known, "runtime_evaluator").otherwise(mode if mode in modes else f"unsupported:{mode}")}).drop("_compared")
 
 
+def submitted_labels(verdicts: DataFrame, by: list[str]) -> DataFrame:
+    """What runs' evaluators said of every answer that was submitted, over all trajectories of a problem: by, answer, value, conflict.
+
+    verdicts: by, answer, passed; without an answer or a verdict a row says nothing. Verdicts that differ leave value null. Partial
+    aggregation: a popular answer is two booleans a task before the shuffle.
+    """
+    low, high = F.min("passed"), F.max("passed")
+    told = verdicts.where(F.col("passed").isNotNull() & (F.trim(F.coalesce("answer", F.lit(""))) != ""))
+    return told.groupBy(*by, F.trim("answer").alias("answer")).agg(F.when(low == high, low).alias("value"), (low != high).alias("conflict"))
+
+
+def with_submitted(candidates: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:
+    """Candidates with the columns that judge() takes the run's own label from: final, runtime; and conflict. A candidate whose verdicts differ is
+    compared like one that nobody submitted. candidates: by, answer."""
+    said = labels.select(*by, F.col("answer").alias("_answer"), F.col("value").alias("runtime"), F.col("conflict").alias("_conflict"))
+    on = [candidates[c].eqNullSafe(said[c]) for c in by] + [F.trim(candidates["answer"]) == said["_answer"]]
+    x = candidates.join(said, on, "left").drop(*(said[c] for c in by))
+    return x.withColumns({"final": F.col("_answer"), "conflict": F.coalesce("_conflict", F.lit(False))}).drop("_answer", "_conflict")
+
+
 def saved_evaluations(log: DataFrame, by: str = "uid") -> DataFrame:
     """What the run's evaluator noted last of each trajectory, if anything: by, mode, correct. log: by, seq, event_type, stage, mode, correctness."""
     noted = (F.col("event_type") == "meta") & F.startswith("stage", F.lit("evaluation")) & F.col("correctness").isin(0, 1) & (F.coalesce("mode", F.lit("")) != "")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import forms, rules, text
+from ..functions import forms, rules, text, tokens
 from ..functions.stats import count_if, rate
 from ..operators import attempts as A
 from ..operators import admission, cells, events, reports, sampling, sequences, transitions
@@ -344,6 +345,27 @@ def recent_tail_budget(spark, d):
     return sequences.recent_tail(_table(spark, d, "conversations"), ["conv_id"], ["turn"], F.char_length(F.coalesce("text", F.lit(""))), 200).select("conv_id", "turn", "tail_size")
 
 
+@query("""SELECT conv_id, turn, tail_size FROM (SELECT *, min(CASE WHEN role = 'user' THEN r END) OVER (PARTITION BY conv_id) AS p FROM (SELECT conv_id, turn, role, sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS tail_size,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations)) WHERE r = 1 OR tail_size <= 200 OR r <= p""")
+def history_tail(spark, d):
+    """The newest turns of at most 200 characters, and whatever goes back to the last question of the user."""
+    return sequences.history_tail(_table(spark, d, "conversations"), ["conv_id"], ["turn"], F.char_length(F.coalesce("text", F.lit(""))).cast("long"), 200, 0, F.col("role") == "user").select("conv_id", "turn", "tail_size")
+
+
+@query()
+def token_tail(spark, d):
+    """The newest turns of each conversation that take 300 tokens at most, four more for each turn's frame. No SQL: tests hold the counts and cuts against the tokenizer."""
+    x = _table(spark, d, "conversations").withColumn("n_tokens", tokens.token_count(F.col("text"), public_tokenizers.path("byte_bpe_50k.json")))
+    return sequences.history_tail(x, ["conv_id"], ["turn"], F.col("n_tokens") + 4, 300, 0).select("conv_id", "turn", "n_tokens", "tail_size")
+
+
+@query()
+def fitted_prompts(spark, d):
+    """Every document cut to 256 tokens, front and back kept. No SQL, as above."""
+    fit = tokens.fit_tokens(F.col("text"), public_tokenizers.path("byte_bpe_50k.json"), 256)
+    return _table(spark, d, "documents").select("doc_id", fit.alias("prompt"))
+
+
 @query("SELECT conv_id, turn, entry, CASE WHEN entry > 1 THEN entry - 1 END AS parent FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS entry FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) WHERE b <= 3)")
 def bounded_ledger(spark, d):
     return sequences.bounded_ledger(_table(spark, d, "conversations"), ["conv_id"], ["turn"], 3).select("conv_id", "turn", "entry", "parent")

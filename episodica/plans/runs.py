@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import outputs as O
+from ..operators import attempts as A
 from ..operators import runs as R
 from . import adapter, sql
-from .catalog import _labeled, _problems
+from .catalog import _labeled, _parsed, _problems
 from .registry import query
 
 
@@ -152,3 +153,45 @@ _RISK = "CASE " + " ".join(f"WHEN status = '{s}' THEN {i}" for i, s in enumerate
   CASE WHEN protocol = 'broadcast' THEN {_RISK} ELSE (NOT actor_turn_observed)::INT END, CASE WHEN protocol = 'broadcast' THEN -updates ELSE (NOT answer_pair_parsed)::INT END, review_seq, uid) AS r FROM l) WHERE r = 1"""))
 def audit_cases(spark, d):
     return R.audit_cases(_labeled(spark, d), ["dataset", "actor", "protocol"], [F.col("uid")]).select("dataset", "actor", "protocol", "uid", "review_seq", "status")
+
+
+@query(sql.over("""SELECT c.problem, c.answer, c.n, coalesce(lo <> hi, false) AS conflict, CASE WHEN lo = hi THEN lo ELSE c.answer = 'a' END AS value, CASE WHEN lo = hi THEN 'runtime_evaluator' ELSE 'exact' END AS source
+  FROM (SELECT uid // 6 AS problem, lower(answer) AS answer, count(*) AS n FROM s WHERE kind IN ('executor', 'submission', 'discussion') GROUP BY ALL) c LEFT JOIN sl ON sl.problem = c.problem AND sl.answer = c.answer""", """
+  sv AS (SELECT uid // 6 AS problem, kind, last_value(CASE WHEN kind IN ('executor', 'submission', 'discussion') THEN lower(answer) END IGNORE NULLS) OVER (PARTITION BY uid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS answer FROM s),
+  sl AS (SELECT problem, answer, bool_and(kind = 'pass') AS lo, bool_or(kind = 'pass') AS hi FROM sv WHERE kind IN ('pass', 'fail') AND answer IS NOT NULL GROUP BY ALL)"""))
+def submitted_labels_reused(spark, d):
+    """Every candidate's label: what runs said of it wherever it was submitted to the problem, else whether it is the gold answer. Six users share a problem here."""
+    log = _parsed(spark, d).withColumn("problem", F.floor(F.col("uid") / 6))
+    before = F.last("answer_key", ignorenulls=True).over(Window.partitionBy("uid").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    told = log.select("problem", before.alias("answer"), F.col("verdict").alias("passed"))
+    candidates = log.where("answer_key IS NOT NULL").groupBy("problem", F.col("answer_key").alias("answer")).agg(F.count("*").alias("n")).withColumn("gold", F.lit("a"))
+    return R.judge(R.with_submitted(candidates, R.submitted_labels(told, ["problem"]), ["problem"])).select("problem", "answer", "n", "conflict", "value", "source")
+
+
+_SIGNALS = """
+  ev AS (SELECT *, first_value(CASE WHEN kind IN ('pass', 'fail') THEN kind END IGNORE NULLS) OVER (PARTITION BY uid ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM s WHERE protocol = 'per'),
+  sg0 AS (SELECT uid, count_if(kind = 'review') AS reviews, count_if(kind = 'review' AND k BETWEEN 40 AND 69) AS agreements, count_if(kind = 'review' AND k BETWEEN 40 AND 69 AND nxt = 'fail') AS agreed_then_fail,
+    count_if(kind = 'review' AND k BETWEEN 40 AND 69 AND nxt = 'pass') AS agreed_then_pass, count(DISTINCT answer) FILTER (kind IN ('executor', 'submission')) AS distinct_candidates,
+    count_if(kind = 'review' AND k < 40) AS routes, count_if(kind = 'executor') AS e, count_if(kind = 'review') AS r FROM ev GROUP BY uid),
+  tr AS (SELECT uid, count_if(last_key IS NOT NULL AND pk IS NOT NULL) AS pairs, count_if(last_key = pk) AS repeated, count_if(NOT passed AND np IS NOT NULL) AS fails, count_if(NOT passed AND np IS NOT NULL AND nk = last_key) AS unchanged, max(same) AS most
+    FROM (SELECT *, lag(last_key) OVER w AS pk, lead(last_key) OVER w AS nk, lead(passed) OVER w AS np, CASE WHEN last_key IS NOT NULL THEN count(*) OVER (PARTITION BY uid, last_key) END AS same FROM att WINDOW w AS (PARTITION BY uid ORDER BY attempt)) GROUP BY uid),
+  sg AS (SELECT uid, reviews::BIGINT AS reviews, agreements::BIGINT AS agreements, agreed_then_fail::BIGINT AS agreed_then_fail, agreed_then_pass::BIGINT AS agreed_then_pass, distinct_candidates, coalesce(pairs, 0)::BIGINT AS pairs, coalesce(repeated, 0)::BIGINT AS repeated,
+    coalesce(fails, 0)::BIGINT AS fails, coalesce(unchanged, 0)::BIGINT AS unchanged, CASE WHEN e + r > 0 THEN CASE WHEN e = 0 OR r = 0 THEN 0 ELSE abs(e - r)::DOUBLE / (e + r) END END AS imbalance, coalesce(most, 0) >= 3 OR routes >= 3 OR coalesce(unchanged, 0) > 0 AS loops FROM sg0 LEFT JOIN tr USING (uid))"""
+
+
+def _signals(spark: SparkSession, d: str) -> DataFrame:
+    """Of PER trajectories; a review that asks for a revision sends the problem back to the executor."""
+    return A.signals(_parsed(spark, d).where("protocol = 'per'").withColumn("route", F.when(F.col("action") == "revise", "executor")))
+
+
+@query(sql.over("SELECT * REPLACE (round(imbalance, 9) AS imbalance) FROM sg", sql.ATTEMPTS, _SIGNALS))
+def process_signals(spark, d):
+    return _signals(spark, d)
+
+
+@query(sql.over("""SELECT *, round(agreements / reviews, 9) AS agreement_rate, round(repeated / pairs, 9) AS repeated_answer_rate, round(unchanged / fails, 9) AS no_change_after_fail_rate, round(wrongly_agreed / trajectories, 9) AS premature_convergence_rate, round(looping / trajectories, 9) AS looping_rate,
+    round(agreed_then_fail / (agreed_then_fail + agreed_then_pass), 9) AS wrong_convergence_rate, round(agreed_then_pass / (agreed_then_fail + agreed_then_pass), 9) AS productive_convergence_rate FROM (
+  SELECT count(*) AS trajectories, sum(reviews)::BIGINT AS reviews, sum(agreements)::BIGINT AS agreements, sum(agreed_then_fail)::BIGINT AS agreed_then_fail, sum(agreed_then_pass)::BIGINT AS agreed_then_pass, sum(pairs)::BIGINT AS pairs, sum(repeated)::BIGINT AS repeated, sum(fails)::BIGINT AS fails,
+    sum(unchanged)::BIGINT AS unchanged, count_if(agreed_then_fail > 0)::BIGINT AS wrongly_agreed, count_if(loops)::BIGINT AS looping, round(avg(distinct_candidates), 9) AS mean_candidates, round(avg(imbalance), 9) AS mean_imbalance FROM sg)""", sql.ATTEMPTS, _SIGNALS))
+def process_rates(spark, d):
+    return A.signal_rates(_signals(spark, d))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from episodica.operators import admission, cells, problems, sequences
+from episodica.operators import admission, attempts, cells, problems, runs, sequences
 from episodica.sources import files
 from episodica.streaming import live
 
@@ -91,3 +91,31 @@ def test_requests_wait_for_window_and_cooldown(spark):
     assert got["a", 9] == (3 * s, 0) and got["a", 10] == (8 * s, 5 * s)
     assert got["b", 1] == (0, 0) and got["b", 3] == (0, 0) and got["b", 2] == (None, None) and got[None, 1] == (7, 0)
     assert admission.admit(d.where("false"), "worker", "at", "id", "wait").count() == 0
+
+
+def test_signals_of_loops_and_convergence(spark):
+    e, r, v = "Executor", "Reviewer", "Evaluator"
+    rows = [
+        (1, 0, e, None, None, None, "a"), (1, 1, r, "agree", None, None, None), (1, 2, v, None, None, False, None), (1, 3, e, None, None, None, "a"), (1, 4, r, "agree", None, None, None), (1, 5, v, None, None, True, None), (1, 6, r, "agree", None, None, None),
+        (2, 0, e, None, None, None, "b"), (2, 1, v, None, None, True, None),
+        (3, 0, "system", None, None, None, None), (4, 0, r, "revise", "planner", None, None), (4, 1, r, "revise", "planner", None, None), (4, 2, r, "revise", "planner", None, None),
+    ]
+    d = spark.createDataFrame(rows, "uid long, seq long, sender string, action string, route string, verdict boolean, answer_key string")
+    got = {x.uid: x for x in attempts.signals(d).collect()}
+    one = got[1]
+    assert (one.reviews, one.agreements, one.agreed_then_fail, one.agreed_then_pass, one.pairs, one.repeated, one.fails, one.unchanged, one.loops) == (3, 3, 1, 1, 1, 1, 1, 1, True)
+    assert one.imbalance == 0.2 and got[2].imbalance == 0 and got[3].imbalance is None and got[4].loops and not got[2].loops and not got[3].loops
+    total = attempts.signal_rates(attempts.signals(d)).first()
+    assert (total.trajectories, total.premature_convergence_rate, total.looping_rate, total.wrong_convergence_rate, total.no_change_after_fail_rate) == (4, 0.25, 0.5, 0.5, 1.0)
+    assert attempts.signal_rates(attempts.signals(d.where("false"))).first().trajectories == 0
+
+
+def test_submitted_labels_are_reused_unless_they_differ(spark):
+    told = spark.createDataFrame([("p", "a", False), ("p", " a ", False), ("p", "b", True), ("p", "b", False), ("q", "b", True), ("q", None, True), ("q", "c", None), (None, "z", True)], "problem string, answer string, passed boolean")
+    labels = runs.submitted_labels(told, ["problem"])
+    d = spark.createDataFrame([("p", "a", "a"), ("p", "b", "b"), ("q", "b", "x"), ("q", "c", "x"), ("q", "", "x"), (None, "z", "x"), ("r", "a", "a")], "problem string, answer string, gold string")
+    got = {(x.problem, x.answer): (x.value, x.source, x.conflict) for x in runs.judge(runs.with_submitted(d, labels, ["problem"])).collect()}
+    assert got == {
+        ("p", "a"): (False, "runtime_evaluator", False), ("p", "b"): (True, "exact", True), ("q", "b"): (True, "runtime_evaluator", False), ("q", "c"): (False, "exact", False),
+        ("q", ""): (None, "missing", False), (None, "z"): (True, "runtime_evaluator", False), ("r", "a"): (True, "exact", False),
+    }
