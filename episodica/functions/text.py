@@ -167,6 +167,20 @@ def reviewed_answer(x: Column) -> Column:
     return F.coalesce(F.try_element_at(boxed_all(after), F.lit(1)), F.lit(""))
 
 
+def updated_answer(x: Column) -> Column:
+    """What a system's update of the candidate chose: the last of several boxes after "candidate updated from", else the answer after the header of the new candidate, else the last box; '' for none."""
+    text = sanitize_boxed(x)
+    # The texts of an update.
+    from_to, header = "candidate updated from", r"(?is)Current\s+Candidate\s+For\s+Further\s+Review\s*:\s*(.*)$"
+    headed = explicit_answer(F.regexp_extract(text, header, 1))
+
+    def pick(b: Column) -> Column:
+        last = F.when(F.size(b) > 0, field_answer(F.element_at(b, -1))).otherwise("")
+        return F.when(F.lower(text).contains(from_to) & (F.size(b) >= 2), last).when(headed != "", headed).otherwise(last)
+
+    return _let(boxed_all(text), pick)
+
+
 def json_field(x: Column, name: str) -> Column:
     return F.get_json_object(F.coalesce(x, F.lit("")), f"$.{name}")
 

@@ -32,12 +32,14 @@ def alignment(before_seq: Column, before: Column, reviewed: Column, adjacent: Co
     )
 
 
-def per_transitions(events: DataFrame) -> DataFrame:
+def per_transitions(events: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """PER: before is the latest executor turn since the last submission; after is the next event of (submission, review, executor turn)
-    if that is an executor turn. An event that is both review and submission counts as a submission."""
+    if that is an executor turn. An event that is both review and submission counts as a submission.
+
+    carry: columns of both turns to return as before_NAME and after_NAME, with first_review, last_review and selected (what updates chose)."""
     kind = F.when(F.col("is_submission"), "submission").when(F.col("is_review"), "review").when(F.col("is_actor"), "actor")
     e = events.where("protocol = 'per'").withColumn("kind", kind).where("kind IS NOT NULL").withColumn("seg", F.count_if(F.col("kind") == "submission").over(_to(0)))
-    turn = F.struct("seq", "answer_key")
+    turn = F.struct("seq", "answer_key", *carry)
     back = Window.partitionBy("uid", "seg").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     e = e.withColumns({"before": F.last(F.when(F.col("kind") == "actor", turn), ignorenulls=True).over(back), "next_kind": F.lead("kind").over(_w()), "next": F.lead(turn).over(_w())})
     acted = F.col("next_kind") == "actor"
@@ -56,12 +58,16 @@ def per_transitions(events: DataFrame) -> DataFrame:
         F.when(acted, F.col("next")["seq"]).alias("after_seq"), F.when(acted, F.col("next")["answer_key"]).alias("after_key"),
         F.coalesce(acted, F.lit(False)).alias("actor_turn_observed"), F.lit(0).cast("long").alias("updates"), status.alias("status"), why.alias("exclusion_reason"),
         alignment(F.col("before")["seq"], F.col("before")["answer_key"], F.col("reviewed_key"), F.lit(True)).alias("candidate_alignment"),
+        *(f for c in carry for f in (F.col("before")[c].alias(f"before_{c}"), F.when(acted, F.col("next")[c]).alias(f"after_{c}"))),
+        *((F.col("seq").alias("first_review"), F.col("seq").alias("last_review"), F.array().cast("array<string>").alias("selected")) if carry else ()),
     )
 
 
-def broadcast_transitions(events: DataFrame) -> DataFrame:
+def broadcast_transitions(events: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Broadcast: an anchor opens an interval that the next anchor or submission closes. An interval with reviews is one opportunity; its
-    actors link to anchors by equal source and answer key."""
+    actors link to anchors by equal source and answer key.
+
+    carry: as in per_transitions; then events have `selected`, what an update chose. Of updates of one stage the first counts."""
     e = events.where("protocol = 'broadcast'").withColumn("bound", F.col("is_anchor") | F.col("is_submission"))
     e = e.withColumn("iv", F.count_if("bound").over(_to(0)))
     reviewed = F.max(F.when(F.col("is_review"), F.col("seq"))).over(Window.partitionBy("uid", "iv"))
@@ -73,15 +79,17 @@ def broadcast_transitions(events: DataFrame) -> DataFrame:
         F.max("last_review").alias("last_review"), F.countDistinct(F.when(F.col("is_update"), F.lower("stage"))).alias("updates"),
         F.coalesce(F.bool_or(F.col("is_actor") & (F.col("seq") > F.col("last_review"))), F.lit(False)).alias("acted"),
         F.flatten(F.array_sort(F.collect_list("positions"))).alias("positions"),
+        *((F.min(F.when(F.col("is_review"), F.col("seq"))).alias("first_review"), F.array_sort(F.collect_list(F.when(F.col("is_update"), F.struct("seq", F.lower("stage").alias("stage"), "selected")))).alias("chosen")) if carry else ()),
     )
     by = Window.partitionBy("uid").orderBy("iv")
     iv = iv.withColumns({f"next_{c}": F.lead(c).over(by) for c in ("opens", "source", "reviewed")}).where("opens = 'anchor' AND last_review IS NOT NULL")
-    actors = e.where("is_actor AND answer_key IS NOT NULL").select("uid", "iv", F.lower(F.trim("sender")).alias("by"), F.col("answer_key").alias("key"), "seq", (F.col("seq") > F.col("last_review")).alias("late"))
-    before = actors.groupBy("uid", (F.col("iv") + 1).alias("iv"), "by", "key").agg(F.max("seq").alias("before_seq"))
-    after = actors.where("late").groupBy("uid", "iv", "by", "key").agg(F.max("seq").alias("after_seq"))
+    actors = e.where("is_actor AND answer_key IS NOT NULL").select("uid", "iv", F.lower(F.trim("sender")).alias("by"), F.col("answer_key").alias("key"), "seq", (F.col("seq") > F.col("last_review")).alias("late"), *carry)
+    last = lambda side: [F.max("seq").alias(f"{side}_seq"), *(F.max_by(c, "seq").alias(f"{side}_{c}") for c in carry)]
+    before = actors.groupBy("uid", (F.col("iv") + 1).alias("iv"), "by", "key").agg(*last("before"))
+    after = actors.where("late").groupBy("uid", "iv", "by", "key").agg(*last("after"))
     on = lambda s, k: [F.col("i.uid") == F.col("a.uid"), F.col("i.iv") == F.col("a.iv"), F.col(s) == F.col("a.by"), F.col(k) == F.col("a.key"), F.col(s) != "", F.col(k) != ""]
-    x = iv.alias("i").join(before.alias("a"), on("i.source", "i.reviewed"), "left").select("i.*", "before_seq")
-    x = x.alias("i").join(after.alias("a"), [*on("i.next_source", "i.next_reviewed"), F.col("i.next_opens") == "anchor"], "left").select("i.*", "after_seq")
+    x = iv.alias("i").join(before.alias("a"), on("i.source", "i.reviewed"), "left").select("i.*", "before_seq", *(f"before_{c}" for c in carry))
+    x = x.alias("i").join(after.alias("a"), [*on("i.next_source", "i.next_reviewed"), F.col("i.next_opens") == "anchor"], "left").select("i.*", "after_seq", *(f"after_{c}" for c in carry))
     linked, some = F.col("after_seq").isNotNull(), F.col("updates") > 0
     anchor, gate = F.col("next_opens") == "anchor", F.col("next_opens") == "submission"
     pairs = [
@@ -96,29 +104,51 @@ def broadcast_transitions(events: DataFrame) -> DataFrame:
     pick = lambda i, last: F.coalesce(*(F.when(c[0], c[i]) for c in pairs), F.lit(last))
     from ..functions.text import broadcast_action
 
+    first_of_stage = F.filter("chosen", lambda u, i: F.array_position(F.col("chosen")["stage"], u["stage"]) == i + 1)
+    chosen = F.filter(F.transform(first_of_stage, lambda u: u["selected"]), lambda a: a != "")
     return x.select(
         "uid", F.lit("broadcast").alias("protocol"), F.col("open_seq").alias("review_seq"), F.row_number().over(by).cast("long").alias("review_number"),
         broadcast_action(F.col("positions")).alias("action"), "before_seq", F.when(F.col("before_seq").isNotNull(), F.col("reviewed")).alias("before_key"),
         "after_seq", F.when(linked, F.col("next_reviewed")).alias("after_key"), F.col("acted").alias("actor_turn_observed"), F.col("updates").cast("long").alias("updates"),
         pick(1, "no_actor_response_observed").alias("status"), pick(2, "no_linked_later_actor_candidate").alias("exclusion_reason"),
         alignment(F.col("before_seq"), F.col("reviewed"), F.col("reviewed"), F.lit(False)).alias("candidate_alignment"),
+        *(f"{side}_{c}" for c in carry for side in ("before", "after")), *(("first_review", "last_review", chosen.alias("selected")) if carry else ()),
     )
 
 
-def transitions(events: DataFrame) -> DataFrame:
-    return per_transitions(events).unionByName(broadcast_transitions(events))
+def transitions(events: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    return per_transitions(events, carry).unionByName(broadcast_transitions(events, carry))
 
 
-def memory_link(log: DataFrame) -> DataFrame:
-    """The event right after each PER review, checked as its memory record: uid, review_seq, memory_action, memory_valid, route_observed, link_status.
+def previous_actor(events: DataFrame, asks: Column, preferred: Column) -> DataFrame:
+    """For each event that asks: the latest actor turn before it since the last submission, of the preferred sender if there is one, else of anyone.
+
+    Returns uid, seq, preferred (trimmed, lower case), before_seq, before_sender, by_preferred. Without a preferred sender (null or blank) the latest of all is taken;
+    without any turn the last three are null, null and false. Turns and questions are rows of their own, so that a sender's turns stand beside its questions.
+    """
+    key = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    e = events.withColumn("seg", F.count_if("is_submission").over(_to(0)))
+    turn = e.where(F.col("is_actor") & ~F.col("is_submission")).select("uid", "seg", "seq", key(F.col("sender")).alias("who"), F.struct("seq", "sender").alias("turn"))
+    ask = e.where(asks).select("uid", "seg", "seq", key(preferred).alias("who"), F.lit(True).alias("asks"))
+    x = turn.unionByName(ask, allowMissingColumns=True)
+    before = lambda *by: F.last("turn", ignorenulls=True).over(Window.partitionBy("uid", *by).orderBy("seq").rangeBetween(Window.unboundedPreceding, -1))
+    x = x.withColumns({"any": before("seg"), "own": before("seg", "who")}).where("asks")
+    found = F.when(F.col("who") != "", F.col("own"))
+    best = F.coalesce(found, F.col("any"))
+    return x.select("uid", "seq", F.col("who").alias("preferred"), best["seq"].alias("before_seq"), best["sender"].alias("before_sender"), found.isNotNull().alias("by_preferred"))
+
+
+def memory_records(log: DataFrame) -> DataFrame:
+    """The event right after each PER review, checked as its memory record: what it says, each check as a boolean, and link_status.
 
     link_status is "linked" or all reasons against it, joined by |. Only a record without any counts. log: classified, with event_uid,
-    previous_event_uid and extra_json.
+    previous_event_uid and extra_json. Texts that aren't there are empty, a missing event has sequence -1; events without an id go by "sequence:N".
     """
     w = Window.partitionBy("uid").orderBy("seq")
-    cols = ["seq", "event_type", "sender", "role", "stage", "previous_event_uid", "extra_json"]
+    cols = ["seq", "event_type", "sender", "role", "stage", "event_uid", "previous_event_uid", "extra_json"]
     m = log.where("protocol = 'per'").withColumn("n", F.lead(F.struct(*cols)).over(w)).where("is_review")
     clean = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    named = lambda uid, seq: F.when(clean(uid) != "", clean(uid)).otherwise(F.concat(F.lit("sequence:"), seq))
     n, extra = F.col("n"), clean(F.col("n")["extra_json"])
     payload = F.get_json_object(extra, "$.candidate_memory_event")
     field = lambda f: clean(F.get_json_object(payload, f"$.{f}"))
@@ -126,19 +156,27 @@ def memory_link(log: DataFrame) -> DataFrame:
         F.when(extra == "", "missing_extra_json").when(F.try_parse_json(extra).isNull(), "malformed_extra_json")
         .when(~extra.startswith("{"), "extra_json_not_object").when(~F.coalesce(payload, F.lit("")).startswith("{"), "missing_candidate_memory_event")
     )
-    stage, action = clean(F.col("stage")), field("action")
-    against = [
-        unread, F.when(n["seq"] != F.col("seq") + 1, "not_immediate_sequence"), F.when(F.lower(clean(n["event_type"])) != "summary", "event_type_not_summary"),
-        F.when((F.lower(clean(n["sender"])) != "system") | (F.lower(clean(n["role"])) != "system"), "not_system_authored"),
-        F.when((stage == "") | (clean(n["stage"]) != F.concat(stage, F.lit("_candidate_memory"))) | (field("stage") != stage), "stage_mismatch"),
-        F.when((clean(F.col("event_uid")) == "") | (clean(n["previous_event_uid"]) != clean(F.col("event_uid"))), "previous_event_uid_mismatch"),
-        F.when((field("source") == "") | (F.lower(field("source")) != F.lower(clean(F.col("sender")))), "source_mismatch"),
-        F.when(field("authority") != "internal_reviewer_suggestion", "authority_mismatch"), F.when(action == "", "missing_action"),
-    ]
-    status = F.when(n.isNull(), "no_immediate_next_event").otherwise(F.coalesce(F.nullif(F.concat_ws("|", *against), F.lit("")), F.lit("linked")))
-    x = m.select("uid", F.col("seq").alias("review_seq"), action.alias("memory_action"), status.alias("link_status"))
+    stage = clean(F.col("stage"))
+    x = m.select(
+        "uid", F.col("seq").alias("review_seq"), n.isNotNull().alias("there"), unread.alias("unread"), F.when(n.isNull(), "").otherwise(named(n["event_uid"], n["seq"])).alias("memory_event_uid"),
+        F.coalesce(n["seq"], F.lit(-1)).cast("long").alias("memory_seq"), *(field(f).alias(f"memory_{f}") for f in ("action", "source", "authority", "stage")), clean(n["previous_event_uid"]).alias("memory_previous_event_uid"),
+        (n["seq"] == F.col("seq") + 1).alias("immediate"), (F.lower(clean(n["event_type"])) == "summary").alias("event_type_valid"),
+        ((F.lower(clean(n["sender"])) == "system") & (F.lower(clean(n["role"])) == "system")).alias("system_authored"),
+        ((stage != "") & (clean(n["stage"]) == F.concat(stage, F.lit("_candidate_memory"))) & (field("stage") == stage)).alias("stage_matches"),
+        (clean(n["previous_event_uid"]) == named(F.col("event_uid"), F.col("seq"))).alias("previous_event_uid_matches"),
+        ((field("source") != "") & (F.lower(field("source")) == F.lower(clean(F.col("sender"))))).alias("source_matches"), (field("authority") == "internal_reviewer_suggestion").alias("authority_matches"),
+    )
+    said = {"immediate": "not_immediate_sequence", "event_type_valid": "event_type_not_summary", "system_authored": "not_system_authored", "stage_matches": "stage_mismatch", "previous_event_uid_matches": "previous_event_uid_mismatch", "source_matches": "source_mismatch", "authority_matches": "authority_mismatch"}
+    x = x.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in said})
+    against = F.concat_ws("|", "unread", *(F.when(~F.col(c), why) for c, why in said.items()), F.when(F.col("memory_action") == "", "missing_action"))
+    x = x.withColumn("link_status", F.when(~F.col("there"), "no_immediate_next_event").when(against == "", "linked").otherwise(against))
     valid = F.col("link_status") == "linked"
-    return x.select("uid", "review_seq", "memory_action", valid.alias("memory_valid"), (valid & (F.col("memory_action") == "review_route")).alias("route_observed"), "link_status")
+    return x.withColumns({"memory_valid": valid, "route_observed": valid & (F.col("memory_action") == "review_route")}).drop("there", "unread")
+
+
+def memory_link(log: DataFrame) -> DataFrame:
+    """memory_records, in short: uid, review_seq, memory_action, memory_valid, route_observed, link_status."""
+    return memory_records(log).select("uid", "review_seq", "memory_action", "memory_valid", "route_observed", "link_status")
 
 
 def with_memory(labeled: DataFrame, links: DataFrame) -> DataFrame:
@@ -174,12 +212,12 @@ def frozen_labels(events: DataFrame, finals: DataFrame | None = None) -> DataFra
     return said.groupBy("uid", "answer_key").agg(F.when(low == high, low).alias("value"), (low != high).alias("conflict"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"))
 
 
-def label(pairs: DataFrame, labels: DataFrame, aligned: bool = True) -> DataFrame:
+def label(pairs: DataFrame, labels: DataFrame, aligned: bool = True, sources: bool = False) -> DataFrame:
     """Adds before_correct, after_correct (tri-state), conflicts, transition_outcome, answer_pair_parsed, strict, bucket.
 
-    A strict pair's review speaks of the answer before it; aligned=False leaves this condition out.
+    A strict pair's review speaks of the answer before it; aligned=False leaves this condition out. sources: also before_sources, after_sources.
     """
-    side = lambda s: labels.select("uid", F.col("answer_key").alias(f"{s}_key"), F.col("value").alias(f"{s}_correct"), F.col("conflict").alias(f"{s}_conflict"))
+    side = lambda s: labels.select("uid", F.col("answer_key").alias(f"{s}_key"), F.col("value").alias(f"{s}_correct"), F.col("conflict").alias(f"{s}_conflict"), *([F.col("sources").alias(f"{s}_sources")] if sources else []))
     x = pairs.join(side("before"), ["uid", "before_key"], "left").join(side("after"), ["uid", "after_key"], "left")
     both = F.col("before_key").isNotNull() & F.col("after_key").isNotNull()
     strict = F.col("before_seq").isNotNull() & F.col("after_seq").isNotNull() & both & (F.col("updates") == 0) & (F.col("exclusion_reason") == "")

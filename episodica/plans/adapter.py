@@ -70,6 +70,20 @@ def memory_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.unionByName(memory).drop("d")
 
 
+def full_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """memory_log with the Broadcast trajectories, which have no memory; their seq is that of steps()."""
+    return memory_log(spark, sf_dir).unionByName(messages(spark, sf_dir).where("protocol = 'broadcast'").select("uid", "seq", "protocol", "event_type", "stage", "sender", "role", "content"), allowMissingColumns=True)
+
+
+def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the trajectories' table says of each: uid, protocol, problem, dataset, slice_id, actor, evaluator, release_status, provenance_status."""
+    u, text = F.col("uid"), lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("uid")).distinct().select(
+        "uid", F.when(u % 2 == 0, "per").otherwise("broadcast").alias("protocol"), F.floor(u / 2).alias("problem"), text("d", u % 5).alias("dataset"), text("s", F.floor(u / 4) % 2).alias("slice_id"),
+        text("m", F.floor(u / 2) % 2).alias("actor"), text("e", u % 3).alias("evaluator"), F.when(u % 7 == 0, "provisional").otherwise("final").alias("release_status"), F.when(u % 11 == 0, "rebuilt").otherwise("logged").alias("provenance_status"),
+    )
+
+
 def finals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each PER trajectory's last submitted answer, and what its producer said of it: uid, answer_key, value (null for some)."""
     s = steps(spark, sf_dir).where("protocol = 'per' AND kind = 'submission'")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import forms, rules, text, tokens
 from ..functions.stats import count_if, rate
 from ..operators import attempts as A
-from ..operators import admission, cells, events, reports, sampling, sequences, transitions
+from ..operators import admission, cells, details, events, reports, sampling, sequences, transitions
 from ..sources import files
 from ..streaming import live
 from . import adapter, sql
@@ -128,6 +128,27 @@ def pre_wrong_labeled(spark, d):
     return cells.pre_wrong_counts(_labeled(spark, d), ["dataset", "actor"])
 
 
+def _detail(spark: SparkSession, d: str) -> DataFrame:
+    log = events.classify(adapter.full_log(spark, d))
+    members = [(f"d{i}", "s0", f"m{j}") for i in range(5) for j in range(2)]
+    return details.checked(details.detail_rows(log, _labels(log), details.trajectories(adapter.trajectories(spark, d), members)))
+
+
+@query(sql.detail())
+def detail_rows(spark, d):
+    """Every review opportunity in full, with its memory record's checks, both turns, labels and their sources."""
+    return _detail(spark, d)
+
+
+@query(sql.over("""SELECT a.uid, a.seq, lower(a.c_sender) AS preferred, coalesce(max(CASE WHEN lower(t.sender) = lower(a.c_sender) THEN t.seq END), max(t.seq)) AS before_seq,
+  coalesce(arg_max(t.sender, t.seq) FILTER (lower(t.sender) = lower(a.c_sender)), arg_max(t.sender, t.seq)) AS before_sender, coalesce(bool_or(lower(t.sender) = lower(a.c_sender)), false) AS by_preferred
+  FROM (SELECT * FROM s WHERE kind = 'anchor') a LEFT JOIN (SELECT uid, seq, sender FROM s WHERE protocol = 'broadcast' AND kind = 'discussion') t ON t.uid = a.uid AND t.seq < a.seq
+    AND NOT EXISTS (SELECT 1 FROM s g WHERE g.uid = a.uid AND g.protocol = 'broadcast' AND g.kind = 'submission' AND g.seq > t.seq AND g.seq < a.seq) GROUP BY ALL"""))
+def preferred_actors(spark, d):
+    """The turn before each anchor, of the source that it names if it has spoken since the last submission."""
+    return transitions.previous_actor(_parsed(spark, d), F.col("is_anchor"), F.col("source_key"))
+
+
 @query(sql.over("SELECT uid, answer_key, value, conflict, sources FROM labf", sql.LABELS, sql.FINALS))
 def frozen_labels_with_finals(spark, d):
     return transitions.frozen_labels(_parsed(spark, d), adapter.finals(spark, d))

@@ -78,6 +78,16 @@ MEMORY = """
     WHEN k % 10 = 7 THEN 'malformed_extra_json|stage_mismatch|source_mismatch|authority_mismatch|missing_action' WHEN k % 10 = 8 THEN 'event_type_not_summary|previous_event_uid_mismatch' WHEN nk IS NULL THEN 'no_immediate_next_event'
     ELSE 'missing_extra_json|not_immediate_sequence|event_type_not_summary|' || CASE WHEN nk = 'submission' THEN '' ELSE 'not_system_authored|' END || 'stage_mismatch|previous_event_uid_mismatch|source_mismatch|authority_mismatch|missing_action' END AS link_status FROM me0 WHERE kind = 'review')"""
 
+#: Parts of a detail row: memory records by the review's k, bounds of a group review, what updates chose, sources of labels. Sequences of PER are twice those of the steps.
+DETAIL = """
+  nx AS (SELECT uid, seq AS review_seq, k % 10 AS g, lead(kind) OVER w AS nk, lead(seq) OVER w AS ns, kind FROM s WHERE protocol = 'per' WINDOW w AS (PARTITION BY uid ORDER BY seq)),
+  mem AS (SELECT me.*, g, nk, ns FROM me JOIN nx USING (uid, review_seq)),
+  bounds AS (SELECT uid, iv, max(CASE WHEN kind = 'anchor' THEN seq END) AS review_seq, min(CASE WHEN kind = 'approval' THEN seq END) AS lo, max(CASE WHEN kind = 'approval' THEN seq END) AS hi FROM e0 GROUP BY uid, iv),
+  sel AS (SELECT uid, iv, '[' || string_agg('"' || answer || '"', ', ' ORDER BY seq) || ']' AS chosen FROM (SELECT uid, iv, k % 2 AS side, min(seq) AS seq, arg_min(answer, seq) AS answer FROM e0 WHERE kind = 'update' GROUP BY ALL) GROUP BY uid, iv),
+  labd AS (SELECT uid, pa AS answer_key, CASE WHEN bool_and(kind = 'pass') <> bool_or(kind = 'pass') THEN 'conflict:' ELSE '' END || array_to_string(list_sort(list(DISTINCT 'runtime_evaluator_submission_sequence_' || (2 * ps))), '+') AS source
+    FROM f1 WHERE kind IN ('pass', 'fail') AND pa IS NOT NULL GROUP BY uid, pa),
+  src AS (SELECT * FROM labd UNION ALL SELECT uid + 1, answer_key, source FROM labd)"""
+
 FINALS = """
   fl AS (SELECT uid, pa AS answer_key, kind = 'pass' AS value, 'runtime_evaluator_submission_sequence_' || ps AS source FROM f1 WHERE kind IN ('pass', 'fail') AND pa IS NOT NULL
     UNION ALL SELECT uid, arg_max(lower(answer), seq), uid % 3 = 0, 'trajectory_final_correct' FROM s WHERE protocol = 'per' AND kind = 'submission' AND uid % 5 <> 0 GROUP BY uid),
@@ -134,6 +144,34 @@ def revise(by: str) -> str:
     return f"SELECT *, {', '.join(rates)} FROM (SELECT {by}, {', '.join(out)} FROM l GROUP BY {by})"
 
 
+_FLAGS = {"immediate": "g < 9", "event_type_valid": "g < 8", "system_authored": "g < 9 OR nk = 'submission'", "stage_matches_review": "g < 7 OR g = 8", "previous_event_uid_matches_review": "g < 8", "source_matches_reviewer": "g < 7 OR g = 8", "authority_matches_reviewer": "g < 6 OR g = 8"}
+_SCALE = "CASE WHEN l.protocol = 'per' THEN 2 ELSE 1 END"
+
+
+def detail() -> str:
+    """All 59 columns of a detail row."""
+    side = lambda s: f"""coalesce({s[0]}.seq * {_SCALE}, -1) AS {s}_sequence_index, coalesce({s[0]}.sender, '') AS {s}_sender, coalesce({s[0]}.stage, '') AS {s}_stage, coalesce({s[0]}.answer, '') AS answer_{s},
+      {s}_correct, coalesce(t{s[0]}.source, '') AS {s}_correct_source"""
+    turn = "(SELECT uid, seq, CASE WHEN protocol = 'per' THEN 'Executor' ELSE sender END AS sender, CASE WHEN protocol = 'per' THEN 'executor_0' ELSE 'discussion_0' END AS stage, answer FROM s)"
+    said = lambda yes, text: f"CASE WHEN {yes} THEN {text} ELSE '' END"
+    body = f"""SELECT dataset, 's' || ((l.uid // 4) % 2) AS slice_id, l.actor AS actor_family, 'e' || (l.uid % 3) AS evaluator_model_id, l.protocol, CASE WHEN l.uid % 7 = 0 THEN 'provisional' ELSE 'final' END AS release_status,
+      CASE WHEN l.uid % 11 = 0 THEN 'rebuilt' ELSE 'logged' END AS provenance_status, (l.uid // 4) % 2 = 0 AS matrix_4x2x5, l.uid AS trajectory_uid, problem AS problem_uid, l.uid || '.symmetric_review.' || review_number AS review_id, action AS review_action,
+      CASE WHEN g < 9 THEN 'sequence:' || (2 * l.review_seq + 1) WHEN ns IS NOT NULL THEN 'u' || ns ELSE '' END AS review_memory_event_uid, coalesce(CASE WHEN g < 9 THEN 2 * l.review_seq + 1 ELSE 2 * ns END, -1) AS review_memory_sequence_index,
+      coalesce(memory_action, '') AS review_memory_action, {said("g < 7 OR g = 8", "'Reviewer'")} AS review_memory_source, {said("g < 7 OR g = 8", "CASE WHEN g = 6 THEN 'actor' ELSE 'internal_reviewer_suggestion' END")} AS review_memory_authority,
+      {said("g < 7 OR g = 8", "'reviewer_0'")} AS review_memory_stage, {said("g < 9", "CASE WHEN g = 8 THEN 'u-1' ELSE 'u' || l.review_seq END")} AS review_memory_previous_event_uid,
+      {", ".join(f"coalesce({c}, false) AS review_memory_{n}" for n, c in _FLAGS.items())}, coalesce(link_status = 'linked', false) AS review_memory_provenance_valid, coalesce(link_status, 'not_applicable_broadcast_group_review') AS review_memory_link_status,
+      coalesce(link_status = 'linked' AND memory_action = 'review_route', false) AS review_route_observed, coalesce(lo, 2 * l.review_seq) AS review_sequence_start, coalesce(hi, 2 * l.review_seq) AS review_sequence_end, {side("before")}, {side("after")},
+      CASE WHEN l.protocol = 'per' THEN 'immediate_previous_executor' WHEN before_seq IS NOT NULL THEN 'anchor_source_answer_match_actor_event' ELSE '' END AS before_candidate_link_method,
+      CASE WHEN after_seq IS NULL THEN '' WHEN l.protocol = 'per' THEN 'immediate_next_executor' ELSE 'next_anchor_source_answer_match_actor_event' END AS after_candidate_link_method,
+      CASE WHEN before_seq IS NULL THEN 'missing_actor_before' WHEN l.protocol = 'broadcast' THEN 'match' WHEN nm.reviewed IS NULL THEN 'structural_match' WHEN mismatch THEN 'mismatch' ELSE 'match' END AS candidate_alignment,
+      actor_turn_observed, after_seq IS NOT NULL AS actor_response_observed, answer_pair_parsed, strict AS strict_pre_gate_eligible, updates AS intervening_system_candidate_updates, coalesce(chosen, '[]') AS system_selected_answers_json,
+      false AS system_selected_answer_used_as_after, status, exclusion_reason, answer_changed, before_correct IS NOT NULL AND after_correct IS NOT NULL AS correctness_pair_labeled, transition_outcome, bucket AS primary_eligibility_bucket
+    FROM l LEFT JOIN mem ON mem.uid = l.uid AND mem.review_seq = l.review_seq LEFT JOIN bounds o ON o.uid = l.uid AND o.review_seq = l.review_seq LEFT JOIN sel ON sel.uid = o.uid AND sel.iv = o.iv
+      LEFT JOIN named nm ON nm.uid = l.uid AND nm.review_seq = l.review_seq LEFT JOIN {turn} b ON b.uid = l.uid AND b.seq = l.before_seq LEFT JOIN {turn} a ON a.uid = l.uid AND a.seq = l.after_seq
+      LEFT JOIN src tb ON tb.uid = l.uid AND tb.answer_key = l.before_key LEFT JOIN src ta ON ta.uid = l.uid AND ta.answer_key = l.after_key"""
+    return over(body, PER, BROADCAST, LABELS, LABELED, MEMORY, DETAIL)
+
+
 _Z = 1.959963984540054
 MATRIX = f"""
   grid AS (SELECT dataset, actor, protocol FROM (SELECT unnest(['d0', 'd1', 'd2', 'd3', 'd4', 'd5']) AS dataset), (SELECT unnest(['m0', 'm1']) AS actor), (SELECT unnest(['per', 'broadcast']) AS protocol)),
