@@ -114,12 +114,40 @@ def pooled(mel: np.ndarray) -> np.ndarray:
     return ((sums[ends] - sums[at]) / (ends - at)[:, None]).astype(np.float32)
 
 
+def tensor_type() -> pa.DataType:
+    return pa.fixed_shape_tensor(pa.float32(), (BINS, MELS), dim_names=("time", "mel"))
+
+
+def _pack(ids: pa.Array, flat: pa.Array, spans: pa.Array) -> bytes:
+    """Rows as one Arrow stream, whose schema has the tensors' shape."""
+    fixed = pa.ExtensionArray.from_storage(tensor_type(), pa.FixedSizeListArray.from_arrays(flat, BINS * MELS))
+    rows = pa.RecordBatch.from_arrays([ids, fixed, spans], ["id", "tensor", "spans"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema) as stream:
+        stream.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
+def _unpack(block: bytes) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+    """ids, tensors as lists of floats and spans of a stored stream. One of another shape is an error."""
+    for rows in pa.ipc.open_stream(block):
+        if rows.schema.field("tensor").type != tensor_type():
+            raise ValueError(f"not a tensor of {BINS} x {MELS}")
+        yield rows.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BINS * MELS, pa.int32()), rows.column("tensor").storage.flatten()), rows.column("spans")
+
+
+def feature(n_frames: int, cuts: list[dict], tensor: np.ndarray) -> str:
+    """What is told of a text's sound: its frames, its segments with their seconds, and a digest of its tensor in eighths."""
+    voiced = sum(x["stop"] - x["start"] for x in cuts)
+    return f"frames={n_frames};segments={len(cuts)};voiced={voiced:.3f};mel={zlib.crc32(np.round(tensor * 8).astype('<i2').tobytes()):08x}"
+
+
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False) -> DataFrame:
     """Stores each text's UTF-8 bytes, filled up with zeros to a positive multiple of 64, as 8-bit samples, and reads them back.
 
     Returns id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, n_frames long, tensor
     array<float> (BINS x MELS values of one Arrow fixed-shape tensor, row by row), spans array<struct<start, stop>> in seconds,
-    feature string, and media binary if with_media. Rows are independent; equal texts give equal values. A null text is empty: its
+    feature string, and media binary if with_media. Tensors and spans go through the stored form of tensor_blocks() and come, as does the feature, from what is read back. Rows are independent; equal texts give equal values. A null text is empty: its
     payload is 64 zeros. Null ids and repeated rows pass through, an empty table gives an empty result, other columns are ignored.
     """
     names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "tensor", "spans", "feature", "media"]
@@ -137,24 +165,19 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     media = wav(raw + bytes(-len(raw) % 64 or 64 * (not raw)))
                     back = samples(media)
                     mel = log_mel(back)
-                    cuts, tensor = segments(mel), pooled(mel)
-                    tensors.append(tensor)
-                    said = f"frames={len(mel)};segments={len(cuts)};voiced={sum(y - x for x, y in cuts):.3f};mel={zlib.crc32(np.round(tensor * 8).astype('<i2').tobytes()):08x}"
-                    rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), len(mel), [{"start": x, "stop": y} for x, y in cuts], said, media if with_media else None))
+                    tensors.append(pooled(mel))
+                    rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), len(mel), [{"start": x, "stop": y} for x, y in segments(mel)], media if with_media else None))
                 c = [list(x) for x in zip(*rows, strict=True)]
-                fixed = pa.FixedShapeTensorArray.from_numpy_ndarray(np.stack(tensors))  # BINS x MELS each
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * BINS * MELS, pa.int32()), fixed.storage.flatten())
+                ((_, listed, spans),) = _unpack(_pack(b.column("id"), pa.array(np.stack(tensors).ravel()), pa.array(c[7], _SPANS)))
+                stored = listed.flatten().to_numpy().reshape(len(b), -1)
+                said = [feature(n, cuts, tensor) for n, cuts, tensor in zip(c[6], spans.to_pylist(), stored, strict=True)]
                 ints = lambda i: pa.array(c[i], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("id"), ints(0), ints(1), pa.array(c[2]), ints(3), ints(4), pa.array(c[5]), ints(6), listed, pa.array(c[7], _SPANS), pa.array(c[8]), pa.array(c[9], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([b.column("id"), ints(0), ints(1), pa.array(c[2]), ints(3), ints(4), pa.array(c[5]), ints(6), listed, spans, pa.array(said), pa.array(c[8], pa.binary())], names)
 
     out = source.mapInArrow(work, schema)
     return out.select(F.col("id").alias(id_col), *names[1:-1], *(["media"] if with_media else []))
 
 
-def tensor_type() -> pa.DataType:
-    return pa.fixed_shape_tensor(pa.float32(), (BINS, MELS), dim_names=("time", "mel"))
-
-
 def tensor_blocks(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of media_columns() as Arrow streams, to be stored in any format: n_rows long, block binary of up to 256 rows each.
 
@@ -166,13 +189,8 @@ def tensor_blocks(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
         for whole in batches:
             for k in range(0, len(whole), 256):
                 b = whole.slice(k, 256)
-                flat = b.column("tensor").flatten()
-                fixed = pa.ExtensionArray.from_storage(tensor_type(), pa.FixedSizeListArray.from_arrays(flat, BINS * MELS))
-                rows = pa.RecordBatch.from_arrays([b.column("id"), fixed, b.column("spans").cast(_SPANS)], ["id", "tensor", "spans"])
-                out = pa.BufferOutputStream()
-                with pa.ipc.new_stream(out, rows.schema) as stream:
-                    stream.write_batch(rows)
-                yield pa.RecordBatch.from_pydict({"n_rows": pa.array([len(b)], pa.int64()), "block": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+                block = _pack(b.column("id"), b.column("tensor").flatten(), b.column("spans").cast(_SPANS))
+                yield pa.RecordBatch.from_pydict({"n_rows": pa.array([len(b)], pa.int64()), "block": pa.array([block], pa.binary())})
 
     return media.select(F.col(id_col).alias("id"), "tensor", "spans").mapInArrow(work, "n_rows long, block binary")
 
@@ -183,12 +201,8 @@ def read_tensors(blocks: DataFrame, id_type: str = "long", id_col: str = "doc_id
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block in b.column("block"):
-                for rows in pa.ipc.open_stream(block.as_py()):
-                    if rows.schema.field("tensor").type != tensor_type():
-                        raise ValueError(f"not a tensor of {BINS} x {MELS}")
-                    flat = rows.column("tensor").storage.flatten()
-                    listed = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BINS * MELS, pa.int32()), flat)
-                    yield pa.RecordBatch.from_arrays([rows.column("id"), listed, rows.column("spans")], ["id", "tensor", "spans"])
+                for columns in _unpack(block.as_py()):
+                    yield pa.RecordBatch.from_arrays(list(columns), ["id", "tensor", "spans"])
 
     out = blocks.select("block").mapInArrow(work, f"id {id_type}, tensor array<float>, spans array<struct<start: double, stop: double>>")
     return out.select(F.col("id").alias(id_col), "tensor", "spans")

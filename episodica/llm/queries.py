@@ -57,8 +57,9 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time spans come as JSON; the tensors themselves are columns of media_columns() and blocks of tensor_blocks()."""
     d = audio.media_columns(documents(spark, sf_dir))
-    return d.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return d.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.to_json("spans").alias("spans"))
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
