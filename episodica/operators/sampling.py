@@ -56,16 +56,20 @@ def numbered(stats: DataFrame, group: str, unit: str) -> DataFrame:
 
 
 def bootstrap(stats: DataFrame, group: str, unit: str, num: str, den: str, replicates: int, seed: str = "b") -> DataFrame:
-    """Ratios of sums over resampled units: group, rep, rate. The units are stored once, in ranges, so that no task numbers a whole group.
+    """Ratios of sums over resampled units: group, rep, rate. The units are stored, in ranges, so that no task numbers a whole group, and dealt evenly.
 
-    Units of a group are numbered; draw i of a replicate takes unit md5(seed, group, rep, i) mod n. Draws are counted by unit before they meet the statistics, so that
-    what is shuffled is at most one row per unit and replicate; a paired comparison uses equal seeds over equal unit numbers.
+    Units of a group are numbered; draw i of a replicate takes unit md5(seed, rep, i) mod n. Each draw is shuffled once, to its unit, and added up by replicate there:
+    draws are never grouped by unit or sorted. A paired comparison uses equal seeds over equal unit numbers.
     """
-    units = numbered(stored(ranged(stats, group, unit), "bootstrap-units"), group, unit)
-    draws = units.select(group, "_n", F.col("_i").alias("_d"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
+    spark = stats.sparkSession
+    ranges = stored(ranged(stats, group, unit), "bootstrap-ranges")
+    units = stored(numbered(ranges, group, unit).select(group, "_n", "_i", num, den), "bootstrap-units")
+    # Few bytes of units make many draws: without a number Spark would put them all into one task.
+    dealt = units.select(group, "_n", F.col("_i").alias("_d")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), group, "_d")
+    draws = dealt.select(group, "_n", "_d", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
     taken = md5_draw(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), F.col("_d").cast("string")), F.col("_n"))
-    times = draws.groupBy(group, "rep", taken.alias("_i")).agg(F.count("*").alias("times"))
-    sums = times.join(units.select(group, "_i", num, den), [group, "_i"]).groupBy(group, "rep").agg(F.sum(F.col("times") * F.col(num)).alias("num"), F.sum(F.col("times") * F.col(den)).alias("den"))
+    drawn = draws.select(group, "rep", taken.alias("_i"))
+    sums = drawn.join(units.select(group, "_i", num, den).hint("shuffle_hash"), [group, "_i"]).groupBy(group, "rep").agg(F.sum(num).alias("num"), F.sum(den).alias("den"))
     return sums.select(group, "rep", rate(F.col("num"), F.col("den")).alias("rate"))
 
 
