@@ -86,19 +86,22 @@ def json_object(x: Column, schema: str, keys: list[str] | None = None) -> Column
     """The first object in a text that isn't empty and, if keys are given, has one of them, as a struct; null if there is none.
 
     Looked at, in this order, each as it is, then repaired: the whole text, fenced blocks, braced parts at any depth (apostrophes first as
-    quotes, then not, then no quotes at all), from the first brace to the last, and to the end."""
-    t = strip(_text(x))
-    found = lambda pattern: F.array(strip(F.regexp_extract(t, pattern, 1)))
-    fenced = F.transform(F.regexp_extract_all(t, F.lit(r"(?s)```(?:json|JSON)?\s*(.*?)```"), F.lit(1)), strip)
-    parts = F.array_distinct(F.concat(F.array(t), fenced, balanced(t), balanced(t, '"'), balanced(t, ""), found(r"(?s)(\{.*\})"), found(r"(?s)(\{.*)")))
-    ways = F.flatten(F.transform(F.filter(parts, lambda p: p.contains("{")), lambda p: F.array(p, repair_json(p))))
+    quotes, then not, then no quotes at all), from the first brace to the last, and to the end. Each is made only if none before it will do."""
+    found = lambda t, pattern: F.array(strip(F.regexp_extract(t, pattern, 1)))
+    fenced = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"(?s)```(?:json|JSON)?\s*(.*?)```"), F.lit(1)), strip)
 
     def good(p: Column) -> Column:
         said = F.schema_of_variant(F.try_parse_json(p))
         fits = said.startswith("OBJECT<") & (said != "OBJECT<>")
         return fits & F.coalesce(F.arrays_overlap(F.json_object_keys(p), F.array(*map(F.lit, keys))), F.lit(False)) if keys else fits
 
-    return F.from_json(F.try_element_at(F.filter(ways, good), F.lit(1)), schema)
+    def first(parts: Column) -> Column:
+        mended = lambda p: F.when(p.contains("{"), F.when(good(p), p).otherwise(_let(repair_json(p), lambda r: F.when(good(r), r))))
+        return F.try_element_at(F.filter(F.transform(F.array_distinct(parts), mended), lambda p: p.isNotNull()), F.lit(1))
+
+    ways = (F.array, fenced, balanced, lambda t: balanced(t, '"'), lambda t: balanced(t, ""), lambda t: found(t, r"(?s)(\{.*\})"), lambda t: found(t, r"(?s)(\{.*)"))
+    one = _let(strip(_text(x)), lambda t: F.when(t.contains("{"), F.coalesce(*(first(way(t)) for way in ways))))
+    return F.from_json(one, schema)
 
 
 def scored(x: Column, dimensions: list[str]) -> Column:

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each event: uid, seq, protocol, kind, answer, sender, k, keys of the cell, and the candidate of an anchor."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    """One row for each event: uid, seq, protocol, kind, answer, sender, k, keys of the cell, and the candidate of an anchor.
+
+    Users are dealt to a fixed number of tasks: rows are few bytes here, so that Spark would put them all into one or two, but the texts made of them are costly to read.
+    """
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "user_id")
     per = F.col("user_id") % 2 == 0
     kinds = {"view": ("executor", "discussion"), "click": ("review", "anchor"), "purchase": ("submission", "approval"), "signup": ("pass", "update"), "error": ("fail", "submission")}
     kind = F.coalesce(*(F.when(F.col("event_type") == t, F.when(per, a).otherwise(b)) for t, (a, b) in kinds.items()))

@@ -3,6 +3,9 @@
 import hashlib
 
 from episodica.operators import sampling
+from episodica.plans import adapter
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_draws_are_dealt_and_not_sorted(spark):
@@ -18,3 +21,8 @@ def test_draws_are_dealt_and_not_sorted(spark):
             below = sum(r[3] for r in took)
             want[g, rep] = sum(r[2] for r in took) / below if below else None
     assert {(r.g, r.rep): r.rate for r in made.collect()} == want
+
+
+def test_the_log_is_dealt_to_all_tasks(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert adapter.steps(spark, SF).rdd.getNumPartitions() == n == adapter.messages(spark, SF).rdd.getNumPartitions()
