@@ -12,6 +12,7 @@ NOTHING_SAID = ["", "[empty]", "[none]", "none", "n/a", "na", "no comment", "no
 # The wording by which the log names an answer, and how long it may be.
 EXPLICIT = r"(?i)(?:final\s+answer|answer)\s*(?:is|:)\s*([^\n]{1,160})"
 BOX = "\\boxed{"
+PLAIN_BOX = r"\A[^{}\\]*\\boxed\{([^{}\\]*)\}[^{}\\]*\z"
 _EDGES = r"^\s+|\s+$"
 
 
@@ -31,9 +32,16 @@ def sanitize_boxed(x: Column) -> Column:
 def boxed_all(x: Column) -> Column:
     """Payloads of balanced boxes from left to right; the search goes on after a closing brace and ends at an open box.
 
-    Tokens are braces, markers and what lies between; one pass over them keeps the depth.
+    Tokens are braces, markers and what lies between; one pass over them keeps the depth. Most texts have no box, or one and no other brace
+    or backslash; these are told by one pattern.
     """
-    tokens = F.regexp_extract_all(sanitize_boxed(x), F.lit(r"(\\boxed\{|[{}]|[^{}\\]+|\\)"), F.lit(1))
+    plain = lambda t: strip(F.regexp_extract(t, PLAIN_BOX, 1))
+    none = F.array().cast("array<string>")
+    return _let(sanitize_boxed(x), lambda t: F.when(~t.contains(BOX), none).otherwise(_let(plain(t), lambda one: F.when(one != "", F.array(one)).otherwise(_boxes(t)))))
+
+
+def _boxes(text: Column) -> Column:
+    tokens = F.regexp_extract_all(text, F.lit(r"(\\boxed\{|[{}]|[^{}\\]+|\\)"), F.lit(1))
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("buf"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, t: Column) -> Column:

@@ -2,6 +2,9 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
+from episodica.functions import text
 from episodica.operators import sampling
 from episodica.plans import adapter
 
@@ -26,3 +29,10 @@ def test_draws_are_dealt_and_not_sorted(spark):
 def test_the_log_is_dealt_to_all_tasks(spark):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert adapter.steps(spark, SF).rdd.getNumPartitions() == n == adapter.messages(spark, SF).rdd.getNumPartitions()
+
+
+def test_plain_boxes_equal_the_fold(spark):
+    texts = ["\\boxed{A}", "so \\boxed{ a b } ends.\nmore", "\\boxed{}", "\\boxed{ }", "\\boxed{A", "\\boxed{A}}", "{\\boxed{A}", "\\boxed{\\frac{1}{2}}", "\\boxed{A} \\boxed{B}", "x \\ \\boxed{A}", "\\boxed{A} \\", "\x08oxed{A}", "no box", "", None, "boxed{A}", "\\boxed{a\\b}"]
+    x = spark.createDataFrame([(t,) for t in texts], "t string").select(text.boxed_all(F.col("t")).alias("a"), text._boxes(text.sanitize_boxed(F.col("t"))).alias("b")).collect()
+    assert [r.a for r in x] == [r.b for r in x]
+    assert [r.a for r in x[:4]] == [["A"], ["a b"], [], []]
