@@ -382,9 +382,10 @@ def token_tail(spark, d):
 
 @query()
 def fitted_prompts(spark, d):
-    """Every document cut to 256 tokens, front and back kept. No SQL, as above."""
+    """Every document cut to 256 tokens, front and back kept. No SQL, as above. Rows are dealt to all tasks, however few the files' parts are."""
     fit = tokens.fit_tokens(F.col("text"), public_tokenizers.path("byte_bpe_50k.json"), 256)
-    return _table(spark, d, "documents").select("doc_id", fit.alias("prompt"))
+    dealt = _table(spark, d, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.select("doc_id", fit.alias("prompt"))
 
 
 @query("SELECT conv_id, turn, entry, CASE WHEN entry > 1 THEN entry - 1 END AS parent FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS entry FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) WHERE b <= 3)")

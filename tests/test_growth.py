@@ -1,10 +1,12 @@
 """Steps that few bytes lead to much work: they are dealt to all tasks, and short paths give what the long ones give."""
 
 import hashlib
+import random
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from episodica.functions import text
+from episodica.functions import text, tokens
 from episodica.operators import sampling
 from episodica.plans import adapter
 
@@ -36,3 +38,40 @@ def test_plain_boxes_equal_the_fold(spark):
     x = spark.createDataFrame([(t,) for t in texts], "t string").select(text.boxed_all(F.col("t")).alias("a"), text._boxes(text.sanitize_boxed(F.col("t"))).alias("b")).collect()
     assert [r.a for r in x] == [r.b for r in x]
     assert [r.a for r in x[:4]] == [["A"], ["a b"], [], []]
+
+
+def test_cuts_encode_only_what_may_stay(monkeypatch):
+    path, real = public_tokenizers.path("byte_bpe_50k.json"), tokens.tokenizer
+    seen = []
+
+    class Counting:
+        def __init__(self, t):
+            self.t = t
+
+        def encode(self, s, **k):
+            seen.append(len(s))
+            return self.t.encode(s, **k)
+
+        def encode_batch(self, many, **k):
+            seen.extend(map(len, many))
+            return self.t.encode_batch(many, **k)
+
+        def to_str(self):
+            return self.t.to_str()
+
+    t = Counting(real(path))
+    monkeypatch.setattr(tokens, "tokenizer", lambda _: t)
+    tokens.pieces.cache_clear()
+    try:
+        r = random.Random(3)
+        long = " ".join(r.choice(["one", "two's", "three,", "\n\nfour", "5 6", "<|endoftext|>", "caf\u00e9 ", "\x1f.", "\u180e x"]) for _ in range(20_000))
+        for keep in tokens.KEEP:
+            for budget in (5, 40):
+                seen.clear()
+                got = tokens.fitted(long, path, budget, keep)
+                assert sum(seen) < 10_000
+                whole, fits = long.strip(), lambda s: len(t.t.encode(s, add_special_tokens=False).ids) <= budget
+                fit = [n for n in range(32, 400) if fits(tokens.shortened(whole, n, keep))]
+                assert got == (tokens.shortened(whole, fit[-1], keep) if fit else whole[-32:] if keep == "tail" else whole[:32])
+    finally:
+        tokens.pieces.cache_clear()
