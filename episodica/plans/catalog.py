@@ -129,7 +129,7 @@ def pre_wrong_labeled(spark, d):
 
 
 def _detail(spark: SparkSession, d: str) -> DataFrame:
-    log = events.classify(adapter.full_log(spark, d))
+    log = files.stored_once(spark, "detail-log", f"{d}/events.parquet", lambda: events.classify(adapter.full_log(spark, d)))
     members = [(f"d{i}", "s0", f"m{j}") for i in range(5) for j in range(2)]
     return details.checked(details.detail_rows(log, _labels(log), details.trajectories(adapter.trajectories(spark, d), members)))
 

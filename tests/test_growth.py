@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from episodica.functions import text, tokens
 from episodica.operators import sampling
-from episodica.plans import adapter
+from episodica.plans import adapter, catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,6 +33,11 @@ def test_the_log_is_dealt_to_all_tasks(spark):
     assert adapter.steps(spark, SF).rdd.getNumPartitions() == n == adapter.messages(spark, SF).rdd.getNumPartitions()
 
 
+def test_detail_rows_read_the_log_parsed_once(spark):
+    plan = catalog.QUERIES["detail_rows"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Position" not in plan and "Evaluation" not in plan  # of the patterns that read the texts
+
+
 def test_plain_boxes_equal_the_fold(spark):
     texts = ["\\boxed{A}", "so \\boxed{ a b } ends.\nmore", "\\boxed{}", "\\boxed{ }", "\\boxed{A", "\\boxed{A}}", "{\\boxed{A}", "\\boxed{\\frac{1}{2}}", "\\boxed{A} \\boxed{B}", "x \\ \\boxed{A}", "\\boxed{A} \\", "\x08oxed{A}", "no box", "", None, "boxed{A}", "\\boxed{a\\b}"]
     x = spark.createDataFrame([(t,) for t in texts], "t string").select(text.boxed_all(F.col("t")).alias("a"), text._boxes(text.sanitize_boxed(F.col("t"))).alias("b")).collect()
