@@ -1,38 +1,37 @@
 """Aligns two tokenizers over whole texts: a byte-level BPE (A) and a sentencepiece model with byte fallback (B).
 
-Python only tokenises. It gives blocks of documents: the block's distinct segments with their tokens, and each document as a list of segment
-numbers. A segment ends where a space follows a character that is no white space: neither tokenizer's tokens cross that place. Ends that
-both share (array_intersect), groups, links and their counts are built with Spark's higher-order functions: of the block's distinct segments,
-one behind the other as one text, then of each document.
+A segment ends where a space follows a character that is no white space: neither tokenizer's tokens cross that place. Each distinct segment is
+tokenised and cut into groups once, many of them together as arrays (Tokenizers.aligned), and remembered; a document's groups and links are its
+segments' ones behind each other. Counts of links over the corpus, and what becomes of them by document, are Spark's (pair_counts).
 """
 
 from __future__ import annotations
 
 import re
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import REMEMBERED, Codec
+from .bpe import Codec
 from .util import shared_table
 
-#: Bits for a token's id beside its end. The highest ids stand for a cut, and for the end of a segment.
+#: Bits for B's id beside A's in a link.
 BITS = 17
 ID = (1 << BITS) - 1
-CUT, END = ID - 1, ID
 #: What sentencepiece writes for a space. A text that holds it can't come back.
 SPACE = "\u2581"
 #: Documents of about so many characters make a block; a longer one is a block of its own.
 BLOCK_CHARS = 1_500_000
+#: Characters of segments remembered by a worker, each segment counted with 8 more; segments that are learned together.
+REMEMBERED, TOGETHER = 3_000_000, 10_000
 SEGMENT = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*|\s+")
-LISTS = ["a_ids", "a_ends", "b_ids", "b_ends", "ends", "n_a", "n_b"]
 
 
 class Tokenizers:
@@ -49,21 +48,56 @@ class Tokenizers:
         self.raw = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.b_lengths = np.array([len(r) for r in self.raw], dtype=np.int64)
         self.space = [self.b.piece_to_id(SPACE)]
-        #: Of each segment the ids of both as int32, or None where a tokenizer's bytes aren't the segment's.
-        self.ids: dict[str, tuple[bytes, bytes] | None] = {}
+        # Ids in decimal with what follows: inside a group of A, at its end; inside a group of B, at its end, at the segment's end.
+        self.ids = max(len(self.a.lengths), len(pieces))
+        assert len(pieces) <= ID
+        self.said = np.array([f"{i}{mark}" for mark in ",|,;\n" for i in range(self.ids)], dtype=object)
+        #: Of each segment n_a, n_b, its groups as text and its links as int64, or None where a tokenizer's bytes aren't the segment's.
+        self.known: dict[str, tuple[int, int, str, bytes] | None] = {}
+        self.before, self.held = {}, 0
 
     def learn(self, segments: set[str]) -> None:
-        if len(self.ids) + len(segments) > REMEMBERED:
-            self.ids = {s: v for s, v in self.ids.items() if s in segments}
-        new = [s for s in segments if s not in self.ids]
-        lists = [[t for part in self.a.pre_tokens(s) for t in part] for s in new]
-        for k in range(0, len(new), 20_000):
-            self.a.known(lists[k : k + 20_000] or [[]])
+        """Has all of them in `known`. When what it holds is half of REMEMBERED, it begins anew, and takes from the one before what is met again."""
+        if self.held > REMEMBERED // 2:
+            self.before, self.known, self.held = self.known, {}, 0
+            self.a.ids, self.a.said = {}, {}
+        missing = [s for s in segments if s not in self.known]
+        self.known |= {s: self.before[s] for s in missing if s in self.before}
+        self.held += sum(map(len, missing)) + 8 * len(missing)
+        new = [s for s in missing if s not in self.known]
+        for k in range(0, len(new), TOGETHER):
+            part = new[k : k + TOGETHER]
+            lists = [[t for some in self.a.pre_tokens(s) for t in some] for s in part]
+            self.a.known(lists)
+            ids = self.a.ids
             # The model adds the first space itself; of a lone space it is given nothing.
-            for s, tokens, b in zip(new[k : k + 20_000], lists[k : k + 20_000], self.b.encode([s[1:] for s in new[k : k + 20_000]], num_threads=1), strict=True):
-                b, a = b or self.space, b"".join([self.a.ids[t] for t in tokens])
-                same = "".join(tokens) == s and b"".join([self.raw[i] for i in b]) == s.encode()
-                self.ids[s] = (a, array("i", b).tobytes()) if same else None
+            b = [x or self.space for x in self.b.encode([s[1:] for s in part], num_threads=1)]
+            same = ["".join(x) == s and b"".join([self.raw[i] for i in y]) == s.encode() for s, x, y in zip(part, lists, b, strict=True)]
+            self.known |= dict.fromkeys(part)
+            if any(same):
+                good = [s for s, ok in zip(part, same, strict=True) if ok]
+                a = [b"".join([ids[t] for t in x]) for x, ok in zip(lists, same, strict=True) if ok]
+                self.known |= zip(good, self.aligned(a, [y for y, ok in zip(b, same, strict=True) if ok]), strict=True)
+
+    def aligned(self, a: list[bytes], b: list[list[int]]) -> Iterator[tuple[int, int, str, bytes]]:
+        """n_a, n_b, groups and links of segments, given A's ids as int32 and B's. They are laid one behind the other as one text: a segment's
+        bytes are the same for both, so that its end is one of the places where both end."""
+        n_a, n_b = np.array([len(x) // 4 for x in a]), np.array([len(y) for y in b])
+        a_ids = np.frombuffer(b"".join(a), dtype=np.int32).astype(np.int64)
+        b_ids = np.fromiter(chain.from_iterable(b), dtype=np.int64, count=n_b.sum())
+        a_ends, b_ends = np.cumsum(self.a.lengths[a_ids]), np.cumsum(self.b_lengths[b_ids])
+        ends = np.zeros((2, a_ends[-1] + 1), dtype=bool)
+        ends[0, a_ends], ends[1, b_ends] = True, True
+        a_shut, b_shut = ends[1, a_ends], ends[0, b_ends]
+        last = np.cumsum(n_b) - 1
+        b_mark = 2 + b_shut
+        b_mark[last] = 4
+        group = np.concatenate([2 * (np.cumsum(a_shut) - a_shut), 2 * (np.cumsum(b_shut) - b_shut) + 1])
+        named = np.concatenate([a_shut * self.ids + a_ids, b_mark * self.ids + b_ids])[np.argsort(group, kind="stable")]
+        texts = "".join(self.said[named].tolist()).split("\n")
+        links = (a_ids[a_shut] << BITS | b_ids[b_shut]).tobytes()
+        stops = (8 * np.cumsum(b_shut)[last]).tolist()
+        return zip(n_a.tolist(), n_b.tolist(), texts[:-1], (links[x:y] for x, y in zip([0, *stops[:-1]], stops, strict=True)), strict=True)
 
 
 @lru_cache(maxsize=2)
@@ -72,13 +106,10 @@ def tokenizers(a: str, b: str) -> Tokenizers:
 
 
 def tokenise(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Blocks of space + text: docs array<struct<id, segments array<int>>> (numbers, from 0, of the block's distinct segments); of these, one
-    behind the other, a_ids, a_ends, b_ids, b_ends (token ids, and the byte offset at which each token ends), and by segment its end and
-    numbers of tokens (ends, n_a, n_b), all array<int>. Null or empty texts and those whose tokens' bytes are not the text's have no
-    segments. a and b are paths that exist on every executor."""
+    """Of space + text, a row for each document: id, n_a, n_b, groups (text: a1,a2|b1;a3|b2,b3) and links array<long>. Null or empty texts and
+    those whose tokens' bytes are not the text's have no tokens. a and b are paths that exist on every executor."""
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    schema = f"docs array<struct<id: {source.schema['id'].dataType.simpleString()}, segments: array<int>>>, " + ", ".join(f"{c} array<int>" for c in LISTS)
-    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    schema = f"id {source.schema['id'].dataType.simpleString()}, n_a int, n_b int, groups string, links array<long>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizers(a, b)
@@ -86,21 +117,15 @@ def tokenise(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col:
         def block(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
             cut = [SEGMENT.findall(" " + x) if x and SPACE not in x else [] for x in texts]
             t.learn(set().union(*cut))
-            number: dict[str, int] = {}
-            known, put, found = t.ids, number.setdefault, []
+            known, rows = t.known, []
             for segments in cut:
-                if None in [known[s] for s in segments]:
-                    segments = []
-                found.append(np.array([put(s, len(number)) for s in segments], dtype=np.int32))
-            lists = []
-            for side, lengths in ((0, t.a.lengths), (1, t.b_lengths)):
-                flat = np.frombuffer(b"".join([known[s][side] for s in number]), dtype=np.int32)
-                lists += [flat, np.cumsum(lengths[flat])]
-            sizes = [np.array([len(known[s][side]) // 4 for s in number], dtype=np.int32) for side in (0, 1)]
-            lists += [np.concatenate([[0], lists[1]])[np.cumsum(sizes[0])] if number else sizes[0], *sizes]
-            numbers = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found)))
-            rows = pa.StructArray.from_arrays([ids, numbers], ["id", "segments"])
-            return pa.RecordBatch.from_arrays([one(rows), *(one(pa.array(x.astype(np.int32))) for x in lists)], ["docs", *LISTS])
+                found = [known[s] for s in segments]
+                n_a, n_b, groups, links = zip(*found, strict=True) if found and None not in found else [()] * 4
+                rows.append((sum(n_a), sum(n_b), ";".join(groups), b"".join(links)))
+            n_a, n_b, groups, links = zip(*rows, strict=True)
+            flat = pa.array(np.frombuffer(b"".join(links), dtype=np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 8 for x in links)]), pa.int32()), flat)
+            return pa.RecordBatch.from_arrays([ids, pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32()), pa.array(groups, pa.string()), lists], ["id", "n_a", "n_b", "groups", "links"])
 
         for batch in batches:
             sizes, k = pc.utf8_length(batch.column("t")).to_pylist(), 0
@@ -113,44 +138,10 @@ def tokenise(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col:
     return source.mapInArrow(work, schema)
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
-def _sides(ids: str, ends: str, cuts: Column) -> Column:
-    """One side's segments, as texts: a comma before each token's id, groups parted by semicolons. Tokens and marks stand in order of their end."""
-    at = lambda end: F.shiftleft(end.cast("long"), BITS)
-    marked = lambda c, mark: F.transform(c, lambda e: at(e).bitwiseOR(F.lit(mark)))
-    inner = F.slice("ends", F.lit(1), F.size("ends") - 1)  # the last segment ends the text
-    placed = F.concat(F.zip_with(ends, ids, lambda e, i: at(e).bitwiseOR(i.cast("long"))), marked(cuts, CUT), marked(inner, END))
-    name = lambda i: F.when(i < CUT, F.concat(F.lit(","), i.cast("string"))).when(i == CUT, ";").otherwise("\n")
-    return F.split(F.array_join(F.transform(F.sort_array(placed), lambda x: name(x.bitwiseAND(F.lit(ID)))), ""), "\n")
-
-
-def _segments() -> Column:
-    """Of a block's distinct segments, in order: groups (text: a1,a2|b1;a3|b2,b3) and links."""
-    last = lambda g: F.substring_index(g, ",", -1).cast("long")
-    said = lambda a, b: F.concat(F.substring(a, 2, 1 << 30), F.lit("|"), F.substring(b, 2, 1 << 30))
-    link = lambda a, b: F.shiftleft(last(a), BITS).bitwiseOR(last(b))
-    pair = lambda a, b: _let(
-        F.struct(F.split(a, ";").alias("a"), F.split(b, ";").alias("b")), lambda g: F.struct(F.array_join(F.zip_with(g["a"], g["b"], said), ";").alias("groups"), F.zip_with(g["a"], g["b"], link).alias("links"))
-    )
-    common = F.array_except(F.array_intersect("a_ends", "b_ends"), "ends")
-    return _let(common, lambda cuts: F.zip_with(_sides("a_ids", "a_ends", cuts), _sides("b_ids", "b_ends", cuts), pair))
-
-
-def align(blocks: DataFrame) -> DataFrame:
-    """Of tokenise(), a row for each document: id, n_a, n_b, n_groups, groups (text: a1,a2|b1;a3|b2,b3) and links array<long>, one for each byte
-    offset where both end (packed: A's id, then B's in 17 bits)."""
-
-    def document(d: Column, known: Column) -> Column:
-        total = lambda counts: F.aggregate(d["segments"], F.lit(0), lambda n, i: n + F.get(counts, i)).alias(counts)
-        each = lambda name: F.transform(d["segments"], lambda i: F.get(known, i)[name])
-        return F.struct(d["id"].alias("id"), total("n_a"), total("n_b"), F.array_join(each("groups"), ";").alias("groups"), F.flatten(each("links")).alias("links"))
-
-    rows = _let(F.when(F.size("ends") > 0, _segments()), lambda known: F.transform("docs", lambda d: document(d, known)))
-    return blocks.select(F.explode(rows).alias("row")).select("row.id", "row.n_a", "row.n_b", F.size("row.links").alias("n_groups"), "row.groups", "row.links")
+def align(tokenised: DataFrame) -> DataFrame:
+    """Of tokenise(), a row for each document: id, n_a, n_b, n_groups, groups and links, one for each byte offset where both end (packed: A's
+    id, then B's in 17 bits)."""
+    return tokenised.select("id", "n_a", "n_b", F.size("links").alias("n_groups"), "groups", "links")
 
 
 def numbered_links(aligned: DataFrame) -> DataFrame:
@@ -174,7 +165,7 @@ def pair_counts(links: DataFrame) -> DataFrame:
 def align_documents(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id_col, n_a, n_b, n_groups, n_links, n_best, count_sum (long), groups_sha256.
 
-    Groups and links are built block by block, nothing is shuffled for them, and stored once in the shared folder, a link as one number; the
+    Groups and links are built where the texts are read, nothing is shuffled for them, and stored once in the shared folder, a link as one number; the
     pair table, bounded by the vocabularies (pair_counts), is broadcast to the links. Null or empty texts and those that a tokenizer can't
     give back have zeros and an empty groups_sha256; a null id and repeated rows pass through, each with its own links in the counts; an
     empty table gives an empty result; other columns are ignored, so that their names can't clash; texts are read whole, those over 1.5

@@ -85,6 +85,21 @@ def test_alignment_groups_and_links(spark):
     assert (none.n_groups, none.groups, none.links) == (0, "", [])
 
 
+def test_alignment_aligns_a_remembered_segment_once(monkeypatch):
+    monkeypatch.setattr(alignment, "REMEMBERED", 100)
+    monkeypatch.setattr(alignment, "TOGETHER", 2)
+    t, whole, worked = alignment.Tokenizers(A, B), alignment.Tokenizers(A, B), []
+    plain = t.aligned
+    monkeypatch.setattr(t, "aligned", lambda a, b: worked.append(len(a)) or plain(a, b))
+    met = [{" naïve,", " \U0001f600x", " "}, {" naïve,", " token", " lost\ufffe"}, {" naïve,", " \n\tword", " 12.5%"}, {" token", " naïve,", " (parsed)"}, {" naïve,"}]
+    for segments in met:
+        t.learn(segments)
+        for s in segments:
+            whole.learn({s})
+            assert t.known[s] == whole.known[s], s
+    assert t.before and len(t.known) < len(set().union(*met)) == sum(worked)
+
+
 def test_alignment_of_a_very_long_text(spark):
     text = "words of every length, again and again; " * 40_000
     r = alignment.align_documents(spark.createDataFrame([(1, text)], ODD), A, B, "id").first()
