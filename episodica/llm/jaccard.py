@@ -91,9 +91,10 @@ class Trie:
 
 
 def prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """For each row id, n, key binary (of the set, 128 bits; null if empty), place (of the row: id and text), need, head array<long>: its least hashes."""
+    """For each row id, n, key binary (of the set, 128 bits; null if empty), place (of the row: id and text), need, low array<int> and high
+    array<tinyint>: the last 40 bits of its least hashes. So few will do to ask whether another set has one; one that seems to costs time, no link."""
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(id_col, text_col).alias("place"))
-    schema = StructType([source.schema["id"], *StructType.fromDDL("place long, n long, key binary, need long, head array<long>").fields])
+    schema = StructType([source.schema["id"], *StructType.fromDDL("place long, n long, key binary, need long, low array<int>, high array<tinyint>").fields])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -107,8 +108,9 @@ def prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 needs.append(shared)
                 flat.append(s[:looked].view(np.int64).copy())
             at = pa.array(np.cumsum([0, *map(len, flat)]), pa.int32())
-            head = pa.ListArray.from_arrays(at, pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("place"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(needs, pa.int64()), head], schema.names)
+            head = np.concatenate(flat) if flat else np.zeros(0, np.int64)
+            low, high = (pa.ListArray.from_arrays(at, pa.array(x)) for x in (head.astype(np.int32), (head >> 32).astype(np.int8)))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("place"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(needs, pa.int64()), low, high], schema.names)
 
     return source.mapInArrow(work, schema)
 
@@ -137,18 +139,21 @@ def ordered_sets(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -
     first, then by hash.
 
     A set's least hashes decide first: as many of them as any partner shares must stand in another set (heads()). For what is left, all
-    n-grams are counted.
+    n-grams are counted. An n-gram stands in several sets if the least and the greatest of their nodes differ: both sides of each join
+    read the same columns, so that one shuffle serves both.
     """
+    several = F.min("node") != F.max("node")
     n_tasks = tasks(docs.sparkSession)
-    first = sets.select("node", F.explode("head").alias("h")).repartition(n_tasks, "h")
-    met = first.join(first.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "h").groupBy("node").agg(F.count("*").alias("met"))
+    forty = lambda low, high: F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long").bitwiseAND(F.lit((1 << 32) - 1)))
+    first = sets.select("node", F.explode(F.zip_with("low", "high", forty)).alias("h")).repartition(n_tasks, "h")
+    met = first.join(first.groupBy("h").agg(several.alias("several")).where("several").select("h"), "h").groupBy("node").agg(F.count("*").alias("met"))
     open_ = shared_table(sets.join(met, "node").where("met >= need").select("node", "n", "key", "place"), "jaccard-open")
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("place"))
     texts = rows.join(open_.select("place", "node", "key"), "place").groupBy("node").agg(F.min(F.struct("key", "text")).alias("one")).select("node", "one.*")
     every = spread(texts).repartition(n_tasks, "h")
-    across = every.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    across = every.groupBy("h").agg(F.count("*").alias("df"), several.alias("several")).where("several").select("h", "df")
     rare = F.array_sort(F.collect_list(F.struct("df", "h")))
-    grouped = every.join(across, "h").groupBy("node").agg(F.transform(rare, lambda x: x["h"]).alias("grams")).join(open_.select("node", "n"), "node")
+    grouped = every.join(across, "h").select("node", "df", "h").repartition(n_tasks, "node").groupBy("node").agg(F.transform(rare, lambda x: x["h"]).alias("grams")).join(open_.select("node", "n"), "node")
     return grouped.where(F.size("grams") >= F.ceil(F.col("n") * PERCENT / 100))
 
 
@@ -262,7 +267,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     type that has an order.
     """
     whole = shared_table(prints(docs, id_col, text_col), "jaccard-prints")
-    one = whole.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("place", "n", "need", "head")).alias("one"))
+    one = whole.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("place", "n", "need", "low", "high")).alias("one"))
     sets = shared_table(one.select(F.monotonically_increasing_id().alias("node"), "key", "one.*"), "jaccard-sets")
     found = shared_table(whole.select("id", "n", "key"), "jaccard-found")
     drop_shared(whole)
