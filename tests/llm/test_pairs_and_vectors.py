@@ -274,3 +274,11 @@ def test_trie_finds_every_overlap():
             both = len(np.intersect1d(own, s))
             if 100 * both >= 85 * (len(own) + len(s) - both):
                 assert found[k] == both
+
+
+def test_jaccard_shuffles_n_grams_once(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 2, 40))) for i in range(6)], ODD)
+    sets = jaccard.prints(docs, "id", "text").where("id < 2").selectExpr("id AS node", "*")
+    ordered = jaccard.ordered_sets(docs, sets, "id", "text")
+    assert len(ordered.collect()) == 2
+    assert "ReusedExchange" in ordered._jdf.queryExecution().executedPlan().toString()
