@@ -21,6 +21,8 @@ PERCENT = 85
 CHUNK, SALT = 64, 500
 #: Centres that an n-gram of many documents gets in the first round after its star; each round has GROWTH times as many.
 FIRST, GROWTH = 32, 16
+#: Bits of the filter that texts pass before they are shuffled: at most 4 MB, however many rows there are.
+SLOTS = 1 << 25
 
 
 def shingles(text: str, hashes: WordHashes) -> np.ndarray:
@@ -134,23 +136,34 @@ def spread(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(work, "node long, h long")
 
 
+def passing(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose place has its bit set by a place of `wanted`: all that join with it by place, and few others. The bits are at most
+    SLOTS, so that the broadcast is bounded; where most are set, more rows pass, and a join still decides."""
+    slot = F.pmod("place", F.lit(SLOTS))
+    bits = wanted.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "bucket").where(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1).select(rows.columns)
+
+
 def ordered_sets(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """node, n, grams array<long>: of the sets that may link at all, the n-grams that another such set has too, in the global order: rarest
     first, then by hash.
 
     A set's least hashes decide first: as many of them as any partner shares must stand in another set (heads()). For what is left, all
     n-grams are counted. An n-gram stands in several sets if the least and the greatest of their nodes differ: both sides of each join
-    read the same columns, so that one shuffle serves both.
+    read the same columns, and nulls are left out before the shuffle, as Spark would do on one side only, so that one shuffle serves both.
     """
-    several = F.min("node") != F.max("node")
+    several, named = F.min("node") != F.max("node"), F.col("node").isNotNull() & F.col("h").isNotNull()
     n_tasks = tasks(docs.sparkSession)
     forty = lambda low, high: F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long").bitwiseAND(F.lit((1 << 32) - 1)))
-    first = sets.select("node", F.explode(F.zip_with("low", "high", forty)).alias("h")).repartition(n_tasks, "h")
+    first = sets.select("node", F.explode(F.zip_with("low", "high", forty)).alias("h")).where(named).repartition(n_tasks, "h")
     met = first.join(first.groupBy("h").agg(several.alias("several")).where("several").select("h"), "h").groupBy("node").agg(F.count("*").alias("met"))
     open_ = shared_table(sets.join(met, "node").where("met >= need").select("node", "n", "key", "place"), "jaccard-open")
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("place"))
-    texts = rows.join(open_.select("place", "node", "key"), "place").groupBy("node").agg(F.min(F.struct("key", "text")).alias("one")).select("node", "one.*")
-    every = spread(texts).repartition(n_tasks, "h")
+    # By place and node, as one place has one node: the join's shuffle serves the grouping.
+    texts = passing(rows, open_).join(open_.select("place", "node", "key"), "place").groupBy("place", "node").agg(F.min(F.struct("key", "text")).alias("one")).select("node", "one.*")
+    every = spread(texts).where(named).repartition(n_tasks, "h")
     across = every.groupBy("h").agg(F.count("*").alias("df"), several.alias("several")).where("several").select("h", "df")
     rare = F.array_sort(F.collect_list(F.struct("df", "h")))
     grouped = every.join(across, "h").select("node", "df", "h").repartition(n_tasks, "node").groupBy("node").agg(F.transform(rare, lambda x: x["h"]).alias("grams")).join(open_.select("node", "n"), "node")

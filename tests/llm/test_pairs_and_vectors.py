@@ -282,3 +282,41 @@ def test_jaccard_shuffles_n_grams_once(spark):
     ordered = jaccard.ordered_sets(docs, sets, "id", "text")
     assert len(ordered.collect()) == 2
     assert "ReusedExchange" in ordered._jdf.queryExecution().executedPlan().toString()
+
+
+def n_gram_shuffles(df):
+    """Shuffles by n-gram that a run of df wrote, those read a second time counted once."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return sum("Exchange hashpartitioning(h#" in line and "Reused" not in line for line in plan.splitlines())
+
+
+def test_jaccard_writes_each_shuffle_by_n_gram_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 2, 40))) for i in range(6)], ODD)
+    sets = jaccard.shared_table(jaccard.prints(docs, "id", "text").where("id < 2").selectExpr("id AS node", "*"), "sets")
+    written, table = [], jaccard.shared_table
+    monkeypatch.setattr(jaccard, "shared_table", lambda df, name: written.append(n_gram_shuffles(df)) or table(df, name))
+    ordered = jaccard.ordered_sets(docs, sets, "id", "text")
+    assert [*written, n_gram_shuffles(ordered)] == [1, 1]
+
+
+@pytest.mark.parametrize("slots", [1 << 26, 1 << 16, 64, 1])
+def test_jaccard_shuffles_few_other_texts(spark, slots, monkeypatch):
+    monkeypatch.setattr(jaccard, "SLOTS", slots)
+    rows = spark.range(-3000, 3000).select(F.xxhash64("id").alias("place"), F.col("id").cast("string").alias("text"), "id")
+    ends = spark.createDataFrame([(p, "", 5000 + k) for k, p in enumerate((0, 1, -1, slots - 1, slots, -(1 << 63), (1 << 63) - 1))], "place long, text string, id long")
+    rows = rows.unionByName(ends)
+    wanted = rows.where("id % 10 = 0 OR id >= 5000").select("place")
+    passed = jaccard.passing(rows, wanted)
+    assert passed.columns == rows.columns
+    ids = [r.id for r in passed.collect()]
+    need = {r.id for r in rows.join(wanted, "place", "left_semi").collect()}
+    assert len(ids) == len(set(ids)) and need <= set(ids)
+    assert len(ids) <= len(need) + {1 << 26: 2, 1 << 16: 200}.get(slots, 6000)
+    assert jaccard.passing(rows, wanted.limit(0)).count() == 0
+
+
+def test_classes_do_not_depend_on_slots(spark, monkeypatch):
+    rows = near_copies(3, groups=4, size=12)
+    monkeypatch.setattr(jaccard, "SLOTS", 8)
+    assert classes(spark.createDataFrame(rows, ODD).repartition(3), id_col="id") == plain_classes(rows)
